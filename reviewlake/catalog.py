@@ -310,7 +310,7 @@ def _(spark, d):
 @query("k4_pr_report_rebuild")
 def _(spark, d):
     report = X.pr_report(spark, d)
-    path, repos = shared_dir(spark, "pr-report"), _repos(report)
+    path, repos = shared_dir(spark, "pr-report"), _repos(X.raw(spark, d, "pull_requests"))
     write_pr_report(spark, report, path, repos)
     write_pr_report(spark, report, path, repos)
     return read_pr_report(spark, path).select(*SCHEMAS["pr_report"].names)
@@ -320,7 +320,7 @@ def _(spark, d):
 def _(spark, d):
     report = X.pipeline_report(spark, d)
     path = shared_dir(spark, "run-report")
-    write_pipeline_report(spark, report, path, _repos(report))
+    write_pipeline_report(spark, report, path, _repos(X.raw(spark, d, "pipelines")))
     return read_pipeline_report(spark, path).select(*SCHEMAS["pipeline_report"].names)
 
 

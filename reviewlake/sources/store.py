@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewlake.schemas import KEYS, SCHEMAS, conform
@@ -121,8 +121,10 @@ def write_replace(
     spark: SparkSession, new: DataFrame, path: str, table: str, repos: Sequence[str]
 ) -> None:
     """Replace ``repos`` in a stored table. Dynamic overwrite leaves a partition that gets no
-    rows, so repositories that ended empty are dropped explicitly."""
-    rows = conform(of_repos(new, repos), table)
-    filled = set(touched_repos(rows))
+    rows, so repositories that ended empty are dropped explicitly; which ones did is observed
+    while writing (names out of ``repos`` only), without computing the rows a second time."""
+    seen = Observation()
+    rows = conform(of_repos(new, repos), table).observe(seen, F.collect_set("repo").alias("repos"))
     _write(rows, path, "overwrite")
+    filled = set(seen.get["repos"])
     _drop_partitions(spark, path, [r for r in repos if r not in filled])
