@@ -19,7 +19,15 @@ from reviewlake.schemas import SCHEMAS, evolve
 from reviewlake.session import shared_dir
 from reviewlake.sources.store import spread_by_repo
 
-SOURCES = ("orders", "lineitem", "events", "documents")
+#: Columns of the test tables the views read. Stating them saves a look into the files.
+SOURCES = {
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, "
+    "o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+    "l_quantity double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double",
+    "documents": "doc_id long, text string, source string",
+}
 
 VIEWS: dict[str, str] = {}
 
@@ -149,9 +157,10 @@ FROM documents"""
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view over the tables in ``sf_dir``."""
     sql = VIEWS[name]
-    for table in SOURCES:
+    for table, columns in SOURCES.items():
         if re.search(rf"FROM {table}\b", sql):
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+            rows = spark.read.schema(columns).parquet(f"{sf_dir}/{table}.parquet")
+            rows.createOrReplaceTempView(table)
     return spark.sql(sql)
 
 

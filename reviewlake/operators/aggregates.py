@@ -31,12 +31,12 @@ RUN_LABELS = ("creator", "repo", "month", "production_ref")
 RUN_COUNTS = ("runs", "successful", "failed", "error", "stopped", "timed", "seconds")
 
 
-def _sum(name: str, alias: str | None = None) -> Column:
-    return F.coalesce(F.sum(name), F.lit(0)).cast("long").alias(alias or name)
+def total_of(name: str, alias: str | None = None) -> Column:
+    return F.expr(f"coalesce(sum({name}), 0L) as {alias or name}")
 
 
 def _roll(measures: DataFrame, labels: Sequence[str], counts: Sequence[str]) -> DataFrame:
-    return measures.groupBy(*labels).agg(*(_sum(c) for c in counts))
+    return measures.groupBy(*labels).agg(*(total_of(c) for c in counts))
 
 
 # --- pull requests ---------------------------------------------------------------------------
@@ -66,26 +66,26 @@ def pr_summary(measures: DataFrame) -> DataFrame:
     """
     pairs = _roll(measures, ("author", "src_repo"), PR_COUNTS)
     return pairs.agg(
-        _sum("prs", "total_prs"),
-        _sum("added", "total_added"),
-        _sum("removed", "total_removed"),
-        _sum("total", "total_changed"),
+        total_of("prs", "total_prs"),
+        total_of("added", "total_added"),
+        total_of("removed", "total_removed"),
+        total_of("total", "total_changed"),
         F.countDistinct("author").alias("unique_authors"),
         F.countDistinct("src_repo").alias("unique_repos"),
     )
 
 
 def prs_by_author(measures: DataFrame) -> DataFrame:
-    return measures.groupBy(F.col("author").alias("label")).agg(_sum("prs", "value"))
+    return measures.groupBy(F.col("author").alias("label")).agg(total_of("prs", "value"))
 
 
 def prs_by_month(measures: DataFrame) -> DataFrame:
-    return measures.groupBy(F.col("month").alias("label")).agg(_sum("prs", "value"))
+    return measures.groupBy(F.col("month").alias("label")).agg(total_of("prs", "value"))
 
 
 def _changes(measures: DataFrame, label: str) -> DataFrame:
     return measures.groupBy(F.col(label).alias("label")).agg(
-        _sum("added"), _sum("removed"), _sum("total")
+        total_of("added"), total_of("removed"), total_of("total")
     )
 
 
@@ -146,11 +146,11 @@ def pipeline_summary(measures: DataFrame) -> DataFrame:
     pairs = _roll(measures, ("creator", "repo"), RUN_COUNTS)
     mean = F.coalesce(F.expr("sum(seconds) div nullif(sum(timed), 0)"), F.lit(0))
     return pairs.agg(
-        _sum("runs", "total_pipelines"),
-        _sum("successful", "success_count"),
-        _sum("failed", "failed_count"),
-        _sum("error", "error_count"),
-        _sum("stopped", "stopped_count"),
+        total_of("runs", "total_pipelines"),
+        total_of("successful", "success_count"),
+        total_of("failed", "failed_count"),
+        total_of("error", "error_count"),
+        total_of("stopped", "stopped_count"),
         mean.alias("avg_duration_seconds"),
         F.countDistinct(F.nullif("creator", F.lit(""))).alias("unique_creators"),
         F.countDistinct("repo").alias("unique_repos"),
@@ -159,18 +159,18 @@ def pipeline_summary(measures: DataFrame) -> DataFrame:
 
 def runs_by_creator(measures: DataFrame) -> DataFrame:
     named = measures.where(F.col("creator") != "")
-    return named.groupBy(F.col("creator").alias("label")).agg(_sum("runs", "value"))
+    return named.groupBy(F.col("creator").alias("label")).agg(total_of("runs", "value"))
 
 
 def runs_by_month(measures: DataFrame) -> DataFrame:
     dated = measures.where(F.col("month").isNotNull())
-    return dated.groupBy(F.col("month").alias("label")).agg(_sum("runs", "value"))
+    return dated.groupBy(F.col("month").alias("label")).agg(total_of("runs", "value"))
 
 
 def results_by_repo(measures: DataFrame) -> DataFrame:
     """Four result counts; a repository with only other results stays, with zeros."""
     return measures.groupBy(F.col("repo").alias("label")).agg(
-        _sum("successful"), _sum("failed"), _sum("error"), _sum("stopped")
+        total_of("successful"), total_of("failed"), total_of("error"), total_of("stopped")
     )
 
 
@@ -187,7 +187,7 @@ def deployment_frequency(measures: DataFrame) -> DataFrame:
         (F.col("production_ref") != "") & F.col("month").isNotNull() & (F.col("successful") > 0)
     )
     return hits.groupBy("month", F.col("production_ref").alias("environment")).agg(
-        _sum("successful", "count")
+        total_of("successful", "count")
     )
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.operators import aggregates as A
@@ -111,23 +111,18 @@ def pipeline_charts(
 # --- whole bundles as one frame ---------------------------------------------------------------
 
 
-def _cells(chart: str, label: Column, cells: dict[str, Column]) -> Column:
-    """Array of (chart, label, measure, value) for one grouped row."""
-    return F.array(
-        *(
-            F.struct(
-                F.lit(chart).alias("chart"),
-                label.alias("label"),
-                F.lit(name).alias("measure"),
-                value.cast("long").alias("value"),
-            )
-            for name, value in cells.items()
-        )
+def _cells(chart: str, label: str, cells: dict[str, str]) -> str:
+    """SQL array of (chart, label, measure, value) for one grouped row."""
+    rows = (
+        f"struct('{chart}' as chart, {label} as label, '{name}' as measure, "
+        f"cast({value} as bigint) as value)"
+        for name, value in cells.items()
     )
+    return f"array({', '.join(rows)})"
 
 
-def _unfold(grouped: DataFrame, cells: Column) -> DataFrame:
-    rows = grouped.select(F.explode(cells).alias("c")).select("c.*")
+def _unfold(grouped: DataFrame, cells: str) -> DataFrame:
+    rows = grouped.selectExpr(f"inline({cells})")
     return rows.where(F.col("value").isNotNull())
 
 
@@ -138,46 +133,40 @@ def pr_chart_rows(
     keys: tuple[str, ...] = ("pr_id",),
 ) -> DataFrame:
     """All PR charts as ``chart, label, measure, value`` rows from one pass over the roll-up."""
-    roll = pr_roll(report, params, bots, keys)
     # Distinct counts need the names outside the grouping columns, which grouping sets blank.
-    roll = roll.withColumns({"_author": F.col("author"), "_repo": F.col("src_repo")})
+    roll = pr_roll(report, params, bots, keys).selectExpr(
+        "*", "author as _author", "src_repo as _repo"
+    )
     author, repo, month = F.col("author"), F.col("src_repo"), F.col("month")
     grouped = roll.groupingSets([[author], [repo], [month], []], author, repo, month).agg(
         F.grouping_id().alias("_set"),
-        *(A._sum(c) for c in A.PR_COUNTS),
+        *(A.total_of(c) for c in A.PR_COUNTS),
         F.countDistinct("_author").alias("authors"),
         F.countDistinct("_repo").alias("repos"),
     )
-    count = {"value": F.col("prs")}
-    changes = {c: F.col(c) for c in ("added", "removed", "total")}
+    count = {"value": "prs"}
+    changes = {"added": "added", "removed": "removed", "total": "total"}
     totals = {
-        "total_prs": F.col("prs"),
-        "total_added": F.col("added"),
-        "total_removed": F.col("removed"),
-        "total_changed": F.col("total"),
-        "unique_authors": F.col("authors"),
-        "unique_repos": F.col("repos"),
+        "total_prs": "prs",
+        "total_added": "added",
+        "total_removed": "removed",
+        "total_changed": "total",
+        "unique_authors": "authors",
+        "unique_repos": "repos",
     }
     # grouping_id bits, left to right: author, repository, month; a set bit is a blanked column.
-    cells = (
-        F.when(
-            F.col("_set") == 0b011,
-            F.concat(
-                _cells("pr_count_by_author", author, count),
-                _cells("code_changes_by_author", author, changes),
-            ),
+    cells = f"""case _set
+        when 3 then concat({_cells("pr_count_by_author", "author", count)},
+                           {_cells("code_changes_by_author", "author", changes)})
+        when 5 then {_cells("code_changes_by_repo", "src_repo", changes)}
+        when 6 then {_cells("pr_count_by_month", "month", count)}
+        else {_cells("summary", "''", totals)} end"""
+    reviews = {"approval": "approval", "comment": "comment"}
+    return _unfold(grouped, cells).unionByName(
+        _unfold(
+            review_activity(report, params, bots), _cells("activity_by_user", "label", reviews)
         )
-        .when(F.col("_set") == 0b101, _cells("code_changes_by_repo", repo, changes))
-        .when(F.col("_set") == 0b110, _cells("pr_count_by_month", month, count))
-        .otherwise(_cells("summary", F.lit(""), totals))
-    )
-    reviews = review_activity(report, params, bots)
-    review_cells = _cells(
-        "activity_by_user",
-        F.col("label"),
-        {"approval": F.col("approval"), "comment": F.col("comment")},
     )
-    return _unfold(grouped, cells).unionByName(_unfold(reviews, review_cells))
 
 
 def pipeline_chart_rows(
@@ -185,60 +174,41 @@ def pipeline_chart_rows(
 ) -> DataFrame:
     """All pipeline charts as ``chart, label, measure, value`` rows from one pass; the label of
     the deployment frequency is ``month ref``."""
-    roll = pipeline_roll(report, params, bots)
-    roll = roll.withColumns({"_creator": F.nullif("creator", F.lit("")), "_repo": F.col("repo")})
+    roll = pipeline_roll(report, params, bots).selectExpr(
+        "*", "nullif(creator, '') as _creator", "repo as _repo"
+    )
     creator, repo = F.col("creator"), F.col("repo")
     month, ref = F.col("month"), F.col("production_ref")
-    grouped = roll.groupingSets(
-        [[creator], [repo], [month], [month, ref], []], creator, repo, month, ref
-    ).agg(
+    sets = [[creator], [repo], [month], [month, ref], []]
+    grouped = roll.groupingSets(sets, creator, repo, month, ref).agg(
         F.grouping_id().alias("_set"),
-        *(A._sum(c) for c in A.RUN_COUNTS),
+        *(A.total_of(c) for c in A.RUN_COUNTS),
         F.countDistinct("_creator").alias("creators"),
         F.countDistinct("_repo").alias("repos"),
     )
-    mean = F.expr("seconds div nullif(timed, 0)")
-    results = {c: F.col(c) for c in ("successful", "failed", "error", "stopped")}
+    mean = "seconds div nullif(timed, 0)"
+    results = {c: c for c in ("successful", "failed", "error", "stopped")}
     totals = {
-        "total_pipelines": F.col("runs"),
-        "success_count": F.col("successful"),
-        "failed_count": F.col("failed"),
-        "error_count": F.col("error"),
-        "stopped_count": F.col("stopped"),
-        "avg_duration_seconds": F.coalesce(mean, F.lit(0)),
-        "unique_creators": F.col("creators"),
-        "unique_repos": F.col("repos"),
+        "total_pipelines": "runs",
+        "success_count": "successful",
+        "failed_count": "failed",
+        "error_count": "error",
+        "stopped_count": "stopped",
+        "avg_duration_seconds": f"coalesce({mean}, 0)",
+        "unique_creators": "creators",
+        "unique_repos": "repos",
+    }
+    by_creator = {"value": "if(creator = '', null, runs)"}
+    by_month = {"value": "if(month is null, null, runs)"}
+    frequency = {
+        "count": "if(month is null or production_ref = '' or successful = 0, null, successful)"
     }
-    frequency = F.when((ref != "") & (F.col("successful") > 0), F.col("successful"))
     # grouping_id bits, left to right: creator, repository, month, ref.
-    cells = (
-        F.when(
-            F.col("_set") == 0b0111,
-            _cells(
-                "pipelines_by_creator", creator, {"value": F.when(creator != "", F.col("runs"))}
-            ),
-        )
-        .when(
-            F.col("_set") == 0b1011,
-            F.concat(
-                _cells("results_by_repo", repo, results),
-                _cells("avg_duration_by_repo", repo, {"value": mean}),
-            ),
-        )
-        .when(
-            F.col("_set") == 0b1101,
-            _cells(
-                "pipelines_by_month", month, {"value": F.when(month.isNotNull(), F.col("runs"))}
-            ),
-        )
-        .when(
-            F.col("_set") == 0b1100,
-            _cells(
-                "deployment_frequency",
-                F.concat_ws(" ", month, ref),
-                {"count": F.when(month.isNotNull(), frequency)},
-            ),
-        )
-        .otherwise(_cells("summary", F.lit(""), totals))
-    )
+    cells = f"""case _set
+        when 7 then {_cells("pipelines_by_creator", "creator", by_creator)}
+        when 11 then concat({_cells("results_by_repo", "repo", results)},
+                            {_cells("avg_duration_by_repo", "repo", {"value": mean})})
+        when 13 then {_cells("pipelines_by_month", "month", by_month)}
+        when 12 then {_cells("deployment_frequency", "concat_ws(' ', month, production_ref)", frequency)}
+        else {_cells("summary", "''", totals)} end"""
     return _unfold(grouped, cells)

@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 ZERO_DAY = "0001-01-01"
@@ -168,34 +167,30 @@ def page_schema(item: T.StructType) -> T.StructType:
     )
 
 
-def zero_of(data_type: T.DataType) -> Column:
-    """The value a missing field of this type stands for."""
+def _zero(data_type: T.DataType) -> str:
+    """The value a missing field of this type stands for, as SQL."""
     if isinstance(data_type, T.StringType):
-        return F.lit("")
+        return "''"
     if isinstance(data_type, T.BooleanType):
-        return F.lit(False)
-    return F.lit(0).cast(data_type)
+        return "false"
+    return f"cast(0 as {data_type.simpleString()})"
+
+
+def _cast(field: T.StructField) -> str:
+    return f"cast(`{field.name}` as {field.dataType.simpleString()})"
 
 
 def conform(df: DataFrame, table: str, keep: Sequence[str] = ()) -> DataFrame:
     """Select the declared columns, in order, typed, with zero values for NULL (and ``keep``)."""
-    return df.select(
-        *(
-            F.coalesce(F.col(f.name).cast(f.dataType), zero_of(f.dataType)).alias(f.name)
-            for f in SCHEMAS[table]
-        ),
-        *keep,
-    )
+    columns = [
+        f"coalesce({_cast(f)}, {_zero(f.dataType)}) as `{f.name}`" for f in SCHEMAS[table]
+    ]
+    return df.selectExpr(*columns, *keep)
 
 
 def evolve(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Bring an older frame to ``schema``: absent columns appear with their zero value."""
     have = set(df.columns)
-    return df.select(
-        *(
-            F.col(f.name).cast(f.dataType).alias(f.name)
-            if f.name in have
-            else zero_of(f.dataType).alias(f.name)
-            for f in schema
-        )
+    return df.selectExpr(
+        *(f"{_cast(f) if f.name in have else _zero(f.dataType)} as `{f.name}`" for f in schema)
     )
