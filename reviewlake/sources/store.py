@@ -32,7 +32,7 @@ def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], seq: str) -
     neither shuffled nor sorted.
     """
     batch = latest_per_key(new, keys, seq).drop(seq)
-    kept = existing.join(batch.select(*keys), list(keys), "left_anti")
+    kept = existing.join(batch.select(*keys), list(keys), "left_anti").select(*existing.columns)
     return kept.unionByName(batch.select(*existing.columns))
 
 
@@ -45,7 +45,7 @@ def insert_absent(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> D
     keys = list(keys)
     batch = new.dropDuplicates(keys)
     known = existing.join(batch.select(*keys), keys, "left_semi").select(*keys)
-    return batch.join(known, keys, "left_anti")
+    return batch.join(known, keys, "left_anti").select(*new.columns)
 
 
 def replace_partition(existing: DataFrame, new: DataFrame, repos: Sequence[str]) -> DataFrame:
