@@ -628,7 +628,7 @@ def _(spark, d):
 
 @query("a2_pr_summary")
 def _(spark, d):
-    return A.pr_summary(_prs(spark, d))
+    return A.pr_summary(A.roll_prs(_prs(spark, d)))
 
 
 @query("a3_prs_by_author")
@@ -664,7 +664,7 @@ def _(spark, d):
 
 @query("a9_ci_summary")
 def _(spark, d):
-    return A.pipeline_summary(_runs(spark, d))
+    return A.pipeline_summary(A.roll_runs(_runs(spark, d)))
 
 
 @query("a10_runs_by_creator")

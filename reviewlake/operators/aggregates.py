@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlake.functions.text import short_repo
@@ -60,12 +60,9 @@ def roll_prs(measures: DataFrame) -> DataFrame:
 
 
 def pr_summary(measures: DataFrame) -> DataFrame:
-    """One row of totals; distinct authors and repositories include the empty name.
-
-    Distinct counts run over label pairs, not over pull requests.
-    """
-    pairs = _roll(measures, ("author", "src_repo"), PR_COUNTS)
-    return pairs.agg(
+    """One row of totals; distinct authors and repositories include the empty name. Give it the
+    roll-up: distinct counts then run over label combinations, not over pull requests."""
+    return measures.agg(
         total_of("prs", "total_prs"),
         total_of("added", "total_added"),
         total_of("removed", "total_removed"),
@@ -142,10 +139,10 @@ def roll_runs(measures: DataFrame) -> DataFrame:
 
 
 def pipeline_summary(measures: DataFrame) -> DataFrame:
-    """One row of totals. The mean duration is over timed runs and truncated, 0 without any."""
-    pairs = _roll(measures, ("creator", "repo"), RUN_COUNTS)
+    """One row of totals, best from the roll-up. The mean duration is over timed runs and
+    truncated, 0 without any."""
     mean = F.coalesce(F.expr("sum(seconds) div nullif(sum(timed), 0)"), F.lit(0))
-    return pairs.agg(
+    return measures.agg(
         total_of("runs", "total_pipelines"),
         total_of("successful", "success_count"),
         total_of("failed", "failed_count"),
@@ -207,10 +204,10 @@ def dense_frequency(frequency: DataFrame, refs: Iterable[str]) -> DataFrame:
     cells = F.array(
         *(F.struct(F.lit(r).alias("environment"), cell(r).alias("count")) for r in names)
     )
-    grid = frequency.groupBy("month").agg(cells.alias("cells"))
-    rows = grid.select("month", F.explode("cells").alias("c")).select("month", "c.*")
-    present = frequency.select("environment").distinct()
-    return rows.join(present, "environment", "left_semi").select("month", "environment", "count")
+    grid = frequency.groupBy("month").agg(cells.alias("cells")).selectExpr("month", "inline(cells)")
+    # A window over one ref holds one row per month.
+    peak = F.max("count").over(Window.partitionBy("environment"))
+    return grid.withColumn("_peak", peak).where("_peak > 0").drop("_peak")
 
 
 # --- filter metadata -------------------------------------------------------------------------

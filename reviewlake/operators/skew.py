@@ -35,9 +35,13 @@ def needs_salt(facts: DataFrame, salt: bool | None) -> bool:
 def hot_keys(facts: DataFrame, keys: Sequence[str], min_rows: int | None = None) -> DataFrame:
     """Hot keys with their number of pieces; never more than ``MAX_HOT_KEYS`` rows."""
     min_rows = MIN_HOT_ROWS if min_rows is None else min_rows
-    counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    share = facts.agg((F.count(F.lit(1)) / MAX_HOT_KEYS).alias("s")).scalar()
-    limit = F.greatest(share, F.lit(float(min_rows)))
+    # NULL keys match nothing. The overall count is added up from the same counts, so the key
+    # columns are scanned and shuffled (as partial counts) once.
+    counts = facts.dropna("any", subset=list(keys)).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    share = counts.agg((F.sum("_n") / MAX_HOT_KEYS).alias("s")).scalar()
+    limit = F.greatest(F.coalesce(share, F.lit(0.0)), F.lit(float(min_rows)))
     pieces = F.ceil(F.col("_n") / limit).cast("int").alias("_pieces")
     return counts.where(F.col("_n") > limit).select(*keys, pieces)
 
