@@ -7,7 +7,8 @@ the threshold size; the matching unique rows are repeated once per piece.
 
 The piece of a row is a hash of its content and of the input partition it sits in. It does not
 depend on row order, so a task that runs again after a lost executor puts every row into the
-same piece, and identical copies still spread over as many pieces as there are input partitions.
+same piece. Identical copies spread as well: a piece never gets more of them than one input task
+has read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 50_000
 MIN_HOT_ROWS = 1_000_000
-SMALL_INPUT_BYTES = 4 << 30
+SMALL_INPUT_BYTES = 256 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -28,7 +29,7 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def needs_salt(facts: DataFrame, salt: bool | None) -> bool:
-    """Inputs of a few GB are spread well enough by adaptive execution alone."""
+    """A few hundred MB are no trouble even if one key holds most of them."""
     return estimated_bytes(facts) > SMALL_INPUT_BYTES if salt is None else salt
 
 

@@ -97,6 +97,21 @@ KEYS: dict[str, tuple[str, ...]] = {
     "pr_pipelines": ("repo", "pr_id", "pipeline_uuid"),
 }
 
+#: File order within a repository: the date the table is filtered on, or the parent's id.
+SORTED_BY: dict[str, tuple[str, ...]] = {
+    "pull_requests": ("created_on",),
+    "pipelines": ("created_on",),
+    "deployments": ("created_on",),
+    "pr_report": ("updated",),
+    "pipeline_report": ("created_on",),
+    "pr_commits": ("pr_id",),
+    "pr_activity": ("pr_id",),
+    "pr_diffstat": ("pr_id",),
+    "pr_comments": ("pr_id",),
+    "pr_statuses": ("pr_id",),
+    "pr_pipelines": ("pr_id",),
+}
+
 _NAME = _table("name")
 _UUID = _table("uuid")
 _PERSON = _table("display_name uuid account_id nickname")

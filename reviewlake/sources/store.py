@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewlake.schemas import KEYS, SCHEMAS, conform
+from reviewlake.schemas import KEYS, SCHEMAS, SORTED_BY, conform
 from reviewlake.sources.raw import of_repos, read_table
 
 
@@ -63,9 +63,12 @@ def spread_by_repo(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", "repo")
 
 
-def _write(df: DataFrame, path: str, mode: str) -> None:
+def _write(df: DataFrame, path: str, table: str, mode: str) -> None:
+    """Files sorted by the column their readers filter on, so that the minimum and maximum kept
+    per row group let a date range skip most of a repository."""
     (
         spread_by_repo(df)
+        .sortWithinPartitions("repo", *SORTED_BY[table])
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("repo")
@@ -108,13 +111,13 @@ def write_upsert(
 ) -> None:
     """Merge a batch into a stored table; only partitions the batch touches are rewritten."""
     rows = upsert(_stored(spark, path, table, touched_repos(new)), new, KEYS[table], seq)
-    _write(rows, path, "overwrite")
+    _write(rows, path, table, "overwrite")
 
 
 def write_absent(spark: SparkSession, new: DataFrame, path: str, table: str) -> None:
     """Append the rows whose key is not stored; nothing stored is rewritten."""
     existing = _stored(spark, path, table, touched_repos(new))
-    _write(insert_absent(existing, conform(new, table), KEYS[table]), path, "append")
+    _write(insert_absent(existing, conform(new, table), KEYS[table]), path, table, "append")
 
 
 def write_replace(
@@ -125,6 +128,6 @@ def write_replace(
     while writing (names out of ``repos`` only), without computing the rows a second time."""
     seen = Observation()
     rows = conform(of_repos(new, repos), table).observe(seen, F.collect_set("repo").alias("repos"))
-    _write(rows, path, "overwrite")
+    _write(rows, path, table, "overwrite")
     filled = set(seen.get["repos"])
     _drop_partitions(spark, path, [r for r in repos if r not in filled])
