@@ -694,7 +694,7 @@ def _(spark, d):
 
 @query("a15_ci_meta")
 def _(spark, d):
-    return A.pipeline_meta(X.pipeline_report(spark, d), BOTS)
+    return A.pipeline_meta(X.pipeline_report(spark, d), BOTS, REFS)
 
 
 # --- pivot reports ---------------------------------------------------------------------------
@@ -848,6 +848,13 @@ def _(spark, d):
     return O.top(charts["avg_duration_by_repo"], O.TOP_DURATIONS)
 
 
+@query("o9_preview")
+def _(spark, d):
+    rows = _csv_activity(spark, d)
+    order = ["ID", "SrcRepo", "Type", "User"]
+    return O.preview(rows, order).select(*order, "Author", "DateGroup", "Total")
+
+
 # --- unions and dense grids ------------------------------------------------------------------
 
 

@@ -248,8 +248,17 @@ def _named(col: str, bots: Iterable[str] = ()) -> Column:
     return F.when(keep & ~F.col(col).isin(bots) if bots else keep, F.col(col))
 
 
+def _configured(options: DataFrame, kind: str, values: Iterable[str]) -> DataFrame:
+    """Add configured names, which come with the request and not from the data."""
+    rows = [(kind, v) for v in clean_list(values)]
+    if not rows:
+        return options
+    names = options.sparkSession.createDataFrame(rows, "kind string, value string")
+    return options.unionByName(names)
+
+
 def pr_meta(report: DataFrame, bots: Iterable[str] = ()) -> DataFrame:
-    """``kind, value`` rows: repo, author, user, date_min, date_max.
+    """``kind, value`` rows: repo, author, user, date_min, date_max and the configured excluded.
 
     Repositories are not reduced by bots. Zero days do not count for the bounds.
     """
@@ -259,11 +268,14 @@ def pr_meta(report: DataFrame, bots: Iterable[str] = ()) -> DataFrame:
         "author": _named("author", bots),
         "user": _named("activity_user", bots),
     }
-    return _options(report, kinds, day, day)
+    return _configured(_options(report, kinds, day, day), "excluded", bots)
 
 
-def pipeline_meta(report: DataFrame, bots: Iterable[str] = ()) -> DataFrame:
-    """``kind, value`` rows: repo, creator, environment, target, date_min, date_max."""
+def pipeline_meta(
+    report: DataFrame, bots: Iterable[str] = (), production_refs: Iterable[str] = ()
+) -> DataFrame:
+    """``kind, value`` rows: repo, creator, environment, target, date_min, date_max and the
+    configured excluded and production_ref."""
     dated = run_month("created_on").isNotNull()
     day = F.when(dated, F.substring("created_on", 1, 10)).cast("date")
     instant = F.when(dated, parse_time("created_on"))
@@ -273,7 +285,8 @@ def pipeline_meta(report: DataFrame, bots: Iterable[str] = ()) -> DataFrame:
         "environment": _named("environment_name"),
         "target": _named("target_ref_name"),
     }
-    return _options(report, kinds, day, instant)
+    options = _configured(_options(report, kinds, day, instant), "excluded", bots)
+    return _configured(options, "production_ref", production_refs)
 
 
 def author_user_options(meta: DataFrame) -> DataFrame:

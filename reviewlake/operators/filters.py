@@ -81,14 +81,10 @@ def in_known_states(col: Column | str = "state") -> Column:
 def ts_between(
     col: Column | str, from_: dt.datetime | None = None, to: dt.datetime | None = None
 ) -> Column:
-    """Timestamp within both bounds, either may be open."""
+    """Timestamp within both bounds (taken as UTC), either may be open."""
     col = _c(col)
-    return all_of(
-        [
-            col >= F.lit(from_.isoformat(sep=" ")).cast("timestamp") if from_ else None,
-            col <= F.lit(to.isoformat(sep=" ")).cast("timestamp") if to else None,
-        ]
-    )
+    utc = lambda t: F.lit(f"{t.isoformat()}Z").cast("timestamp")
+    return all_of([col >= utc(from_) if from_ else None, col <= utc(to) if to else None])
 
 
 def env_matches(col: Column | str, names: Iterable[str]) -> Column:

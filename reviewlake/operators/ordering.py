@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +34,14 @@ def order_by_month_and_environment(df: DataFrame) -> DataFrame:
 
 
 def top(df: DataFrame, n: int) -> DataFrame:
-    """First rows of an ordered result (top 15 creators, top 12 repositories, a preview)."""
+    """First rows of an ordered result (top 15 creators, top 12 repositories)."""
     return df.limit(n)
 
 
+def preview(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
+    """First rows of a frame in a stated order."""
+    return df.orderBy(*order).limit(n)
+
+
 TOP_CREATORS = 15
 TOP_DURATIONS = 12
-PREVIEW_ROWS = 5

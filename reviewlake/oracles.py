@@ -452,7 +452,7 @@ BODIES: dict[str, str] = {
     "UNION ALL SELECT DISTINCT 'user', activity_user FROM rep "
     "WHERE activity_user NOT IN ('', 'user-3') "
     "UNION ALL SELECT 'date_min', min(updated) FROM rep "
-    "UNION ALL SELECT 'date_max', max(updated) FROM rep",
+    "UNION ALL SELECT 'date_max', max(updated) FROM rep UNION ALL SELECT 'excluded', 'user-3'",
     "a9_ci_summary": f"SELECT {_N} AS total_pipelines, "
     f"{_RESULTS['successful']} AS success_count, {_RESULTS['failed']} AS failed_count, "
     f"{_RESULTS['error']} AS error_count, {_RESULTS['stopped']} AS stopped_count, "
@@ -473,7 +473,9 @@ BODIES: dict[str, str] = {
     "WHERE environment_name <> '' "
     "UNION ALL SELECT DISTINCT 'target', target_ref_name FROM ci "
     "UNION ALL SELECT 'date_min', substring(min(created_on), 1, 10) FROM ci "
-    "UNION ALL SELECT 'date_max', substring(max(created_on), 1, 10) FROM ci",
+    "UNION ALL SELECT 'date_max', substring(max(created_on), 1, 10) FROM ci "
+    "UNION ALL SELECT 'excluded', 'user-3' "
+    "UNION ALL SELECT 'production_ref', unnest(['main', 'master'])",
     # pivot reports
     "n1_total_by_repo": "SELECT split_part(\"SrcRepo\", '/', 2) AS \"SrcRepo\", "
     'CAST(sum("Total") AS BIGINT) AS total FROM csv_prs GROUP BY 1',
@@ -536,6 +538,9 @@ BODIES: dict[str, str] = {
     "GROUP BY 1 ORDER BY value DESC, label LIMIT 15",
     "o9_top_durations": f"SELECT repo AS label, {_MEAN} AS value FROM runs "
     "WHERE duration_seconds > 0 GROUP BY 1 ORDER BY value DESC, label LIMIT 12",
+    "o9_preview": "SELECT \"ID\", split_part(\"SrcRepo\", '/', 2) AS \"SrcRepo\", \"Type\", "
+    '"User", "Author", substring("Updated", 1, 7) AS "DateGroup", "Total" FROM csv_rows '
+    "ORDER BY 1, 2, 3, 4 LIMIT 5",
     # unions and dense grids
     "u1_concat": 'SELECT "ID", repo, "Type", CASE WHEN "Type" = \'approval\' THEN \'-\' '
     'ELSE "Description" END AS note FROM csv_rows',

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +39,10 @@ def pr_table(
     size: int | None = None,
     keys: tuple[str, ...] = ("pr_id",),
 ) -> Page:
-    """One page in pull-request id order."""
-    order = ["id"] if tuple(keys) == ("pr_id",) else ["id", "src_repo", "dest_repo", "src_branch"]
-    return paged(pr_table_rows(report, params, bots, keys), order, page, size)
+    """One page in pull-request id order, equal ids by repository."""
+    unique = dedup_prs(pr_filter(report, params, bots), keys)
+    picked = paged(unique, ["pr_id", "repo"], page, size)
+    return replace(picked, rows=pr_rows(picked.rows))
 
 
 def pipeline_table_rows(

@@ -141,7 +141,8 @@ def test_pr_meta(rows):
     df = rows("pr_report", *(pr(i, f"ws/r{i}", "Ann", "approval", "Bot", d) for i, d in enumerate(days)))
     got = {tuple(r) for r in A.pr_meta(df, ["Bot"]).collect()}
     assert got == {("repo", f"r{i}") for i in range(4)} | {
-        ("author", "Ann"), ("date_min", "2024-01-01"), ("date_max", "2024-12-31")
+        ("author", "Ann"), ("date_min", "2024-01-01"), ("date_max", "2024-12-31"),
+        ("excluded", "Bot"),
     }
     empty = {tuple(r) for r in A.pr_meta(df.where("updated = '0001-01-01'")).collect()}
     assert {("date_min", ""), ("date_max", "")} <= empty
@@ -267,10 +268,11 @@ def test_pipeline_meta_bounds_follow_the_instant(rows):
         run("p2", "r", "B", "FAILED", "E", "", "2024-01-02T05:00:00Z"),
         run("p3", "r", "", "FAILED", "", "m", "junk"),
     )
-    got = {tuple(r) for r in A.pipeline_meta(df, ["A"]).collect()}
+    got = {tuple(r) for r in A.pipeline_meta(df, ["A"], ["main"]).collect()}
     assert got == {
         ("repo", "r"), ("creator", "B"), ("environment", "E"), ("target", "m"),
         ("date_min", "2024-01-02"), ("date_max", "2024-01-01"),
+        ("excluded", "A"), ("production_ref", "main"),
     }
 
 
