@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake import fixtures as X
+from reviewlake import fixtures
 from reviewlake.functions.diffs import diff_line_counts
 from reviewlake.functions.text import (
     pipeline_uuid_from_url,
@@ -28,10 +28,7 @@ from reviewlake.functions.times import (
     seconds_text,
     time_or_null,
 )
-from reviewlake.operators import aggregates as A
-from reviewlake.operators import ordering as O
-from reviewlake.operators import pivots as V
-from reviewlake.operators import projections as P
+from reviewlake.operators import aggregates, ordering, pivots, projections
 from reviewlake.operators.dedup import dedup_pipelines, dedup_prs, distinct_prs, pr_rows
 from reviewlake.operators.filters import (
     author_filter,
@@ -141,11 +138,11 @@ def query(name: str) -> Callable[[Query], Query]:
 
 def _prs(spark: SparkSession, d: str) -> DataFrame:
     """Deduplicated pull requests as chart measures."""
-    return A.pr_measures(dedup_prs(X.pr_report(spark, d)))
+    return aggregates.pr_measures(dedup_prs(fixtures.pr_report(spark, d)))
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
-    return A.run_measures(dedup_pipelines(X.pipeline_report(spark, d)), REFS)
+    return aggregates.run_measures(dedup_pipelines(fixtures.pipeline_report(spark, d)), REFS)
 
 
 def _text(df: DataFrame, *columns: str) -> DataFrame:
@@ -162,7 +159,7 @@ def _repos(df: DataFrame) -> list[str]:
 
 @query("s1_page_scan")
 def _(spark, d):
-    rows = read_pages(spark, X.land_pages(spark, d), RECORDS["pull_request"])
+    rows = read_pages(spark, fixtures.land_pages(spark, d), RECORDS["pull_request"])
     return rows.select(
         "repo",
         F.col("id").alias("pr_id"),
@@ -175,7 +172,7 @@ def _(spark, d):
 
 @query("s2_decode_prs")
 def _(spark, d):
-    rows = decode_raw(X.raw_json(spark, d, "pull_request"), RECORDS["pull_request"])
+    rows = decode_raw(fixtures.raw_json(spark, d, "pull_request"), RECORDS["pull_request"])
     return rows.select(
         "repo", "pr_id", "title", "description", F.col("author.display_name").alias("author")
     )
@@ -183,7 +180,7 @@ def _(spark, d):
 
 @query("s2_decode_activity")
 def _(spark, d):
-    rows = decode_raw(X.raw_json(spark, d, "activity"), RECORDS["activity"])
+    rows = decode_raw(fixtures.raw_json(spark, d, "activity"), RECORDS["activity"])
     user = F.coalesce(
         "comment.user.display_name", "approval.user.display_name", "update.author.display_name"
     )
@@ -192,13 +189,13 @@ def _(spark, d):
 
 @query("s2_decode_diffstat")
 def _(spark, d):
-    rows = decode_raw(X.raw_json(spark, d, "diffstat"), RECORDS["diffstat"], ["repo-1", "repo-2"])
+    rows = decode_raw(fixtures.raw_json(spark, d, "diffstat"), RECORDS["diffstat"], ["repo-1", "repo-2"])
     return rows.select("repo", "pr_id", "lines_added", "lines_removed")
 
 
 @query("s3_decode_runs")
 def _(spark, d):
-    rows = decode_raw(X.raw_json(spark, d, "pipeline"), RECORDS["pipeline"])
+    rows = decode_raw(fixtures.raw_json(spark, d, "pipeline"), RECORDS["pipeline"])
     return rows.select(
         "repo",
         F.col("uuid").alias("pipeline_uuid"),
@@ -210,7 +207,7 @@ def _(spark, d):
 
 @query("s3_decode_deployments")
 def _(spark, d):
-    rows = decode_raw(X.raw_json(spark, d, "deployment"), RECORDS["deployment"])
+    rows = decode_raw(fixtures.raw_json(spark, d, "deployment"), RECORDS["deployment"])
     return rows.select(
         "repo",
         F.col("uuid").alias("deployment_uuid"),
@@ -221,12 +218,12 @@ def _(spark, d):
 
 @query("s4_pr_links")
 def _(spark, d):
-    return pr_links(X.raw(spark, d, "pr_pipelines"))
+    return pr_links(fixtures.raw(spark, d, "pr_pipelines"))
 
 
 @query("s4_pr_link_lists")
 def _(spark, d):
-    lists = pr_link_lists(X.raw(spark, d, "pr_pipelines"))
+    lists = pr_link_lists(fixtures.raw(spark, d, "pr_pipelines"))
     return lists.select(
         "repo", "pr_id", "part", F.array_join("pipeline_uuids", ",").alias("pipeline_uuids")
     )
@@ -234,7 +231,7 @@ def _(spark, d):
 
 @query("s5_pr_report_scan")
 def _(spark, d):
-    rows = with_days(X.pr_report(spark, d))
+    rows = with_days(fixtures.pr_report(spark, d))
     return _text(
         rows.select("repo", "pr_id", "author", "created_date", "updated_date"),
         "created_date",
@@ -244,7 +241,7 @@ def _(spark, d):
 
 @query("s6_ci_report_scan")
 def _(spark, d):
-    rows = with_instants(X.pipeline_report(spark, d))
+    rows = with_instants(fixtures.pipeline_report(spark, d))
     return rows.select(
         "pipeline_uuid",
         "environment_name",
@@ -255,7 +252,7 @@ def _(spark, d):
 
 def _exported(spark: SparkSession, d: str) -> str:
     path = shared_dir(spark, "export")
-    export_csv(X.pr_report(spark, d), path)
+    export_csv(fixtures.pr_report(spark, d), path)
     return path
 
 
@@ -268,7 +265,7 @@ def _(spark, d):
 
 @query("k1_upsert")
 def _(spark, d):
-    prs = X.raw(spark, d, "pull_requests").drop("raw_json", "reviewers", "participants")
+    prs = fixtures.raw(spark, d, "pull_requests").drop("raw_json", "reviewers", "participants")
     stored = prs.where(F.col("created_on") < "1996-01-01")
     merged = prs.where(F.col("state") == "MERGED")
     writes = [
@@ -284,21 +281,21 @@ def _(spark, d):
 @query("k1_stream_upsert")
 def _(spark, d):
     path = shared_dir(spark, "stream-prs")
-    start_ingest(spark, X.land_pages(spark, d), "pull_request", path).awaitTermination()
+    start_ingest(spark, fixtures.land_pages(spark, d), "pull_request", path).awaitTermination()
     rows = store.read_table(spark, path, "pull_requests")
     return rows.select("repo", "pr_id", "title", "state", "created_on", "updated_on")
 
 
 @query("k2_insert_absent")
 def _(spark, d):
-    statuses = X.view(spark, d, "fx_pr_statuses")
+    statuses = fixtures.view(spark, d, "fx_pr_statuses")
     stored = status_links(statuses.where(F.col("url").contains("?")))
     return store.insert_absent(stored, status_links(statuses), ("repo", "pr_id", "pipeline_uuid"))
 
 
 @query("k3_replace_repos")
 def _(spark, d):
-    activity = X.raw(spark, d, "pr_activity")
+    activity = fixtures.raw(spark, d, "pr_activity")
     path = shared_dir(spark, "activity")
     store.write_replace(spark, activity, path, "pr_activity", _repos(activity))
     approvals = activity.where((F.col("activity_type") == "approval") & (F.col("repo") != "repo-3"))
@@ -309,8 +306,8 @@ def _(spark, d):
 
 @query("k4_pr_report_rebuild")
 def _(spark, d):
-    report = X.pr_report(spark, d)
-    path, repos = shared_dir(spark, "pr-report"), _repos(X.raw(spark, d, "pull_requests"))
+    report = fixtures.pr_report(spark, d)
+    path, repos = shared_dir(spark, "pr-report"), _repos(fixtures.raw(spark, d, "pull_requests"))
     write_pr_report(spark, report, path, repos)
     write_pr_report(spark, report, path, repos)
     return read_pr_report(spark, path).select(*SCHEMAS["pr_report"].names)
@@ -318,15 +315,15 @@ def _(spark, d):
 
 @query("k4_ci_report_rebuild")
 def _(spark, d):
-    report = X.pipeline_report(spark, d)
+    report = fixtures.pipeline_report(spark, d)
     path = shared_dir(spark, "run-report")
-    write_pipeline_report(spark, report, path, _repos(X.raw(spark, d, "pipelines")))
+    write_pipeline_report(spark, report, path, _repos(fixtures.raw(spark, d, "pipelines")))
     return read_pipeline_report(spark, path).select(*SCHEMAS["pipeline_report"].names)
 
 
 @query("k5_evolve_schema")
 def _(spark, d):
-    old = X.pr_report(spark, d).drop(*ADDED_LATER["pr_report"])
+    old = fixtures.pr_report(spark, d).drop(*ADDED_LATER["pr_report"])
     return evolve(old, SCHEMAS["pr_report"])
 
 
@@ -341,7 +338,7 @@ def _(spark, d):
 
 def _landed(spark: SparkSession, d: str, kind: str) -> DataFrame:
     """Records decoded from JSON text with the id of the page they came on."""
-    texts = X.raw_json(spark, d, kind)
+    texts = fixtures.raw_json(spark, d, kind)
     rows = decode_raw(texts, RECORDS[kind])
     if "pr_id" in rows.columns:
         rows = rows.withColumnRenamed("pr_id", "pull_request_id")
@@ -350,71 +347,71 @@ def _landed(spark: SparkSession, d: str, kind: str) -> DataFrame:
 
 @query("p1_pull_requests")
 def _(spark, d):
-    return P.pull_requests(_landed(spark, d, "pull_request")).drop("raw_json")
+    return projections.pull_requests(_landed(spark, d, "pull_request")).drop("raw_json")
 
 
 @query("p2_commits")
 def _(spark, d):
-    return P.pr_commits(P.stamp_parent(_landed(spark, d, "commit"))).drop("raw_json")
+    return projections.pr_commits(projections.stamp_parent(_landed(spark, d, "commit"))).drop("raw_json")
 
 
 @query("p3_activity")
 def _(spark, d):
-    return P.pr_activity(P.stamp_activity_parent(_landed(spark, d, "activity"))).drop("raw_json")
+    return projections.pr_activity(projections.stamp_activity_parent(_landed(spark, d, "activity"))).drop("raw_json")
 
 
 @query("p4_diffstat")
 def _(spark, d):
-    return P.pr_diffstat(P.stamp_parent(_landed(spark, d, "diffstat"))).drop("raw_json")
+    return projections.pr_diffstat(projections.stamp_parent(_landed(spark, d, "diffstat"))).drop("raw_json")
 
 
 @query("p5_comments")
 def _(spark, d):
-    rows = P.pr_comments(P.stamp_parent(_landed(spark, d, "comment"))).drop("raw_json")
+    rows = projections.pr_comments(projections.stamp_parent(_landed(spark, d, "comment"))).drop("raw_json")
     return rows.withColumn("deleted", F.col("deleted").cast("int"))
 
 
 @query("p6_statuses")
 def _(spark, d):
-    return P.pr_statuses(P.stamp_parent(_landed(spark, d, "status"))).drop("raw_json")
+    return projections.pr_statuses(projections.stamp_parent(_landed(spark, d, "status"))).drop("raw_json")
 
 
 @query("p7_runs")
 def _(spark, d):
-    return P.pipelines(_landed(spark, d, "pipeline")).drop("raw_json")
+    return projections.pipelines(_landed(spark, d, "pipeline")).drop("raw_json")
 
 
 @query("p8_deployments")
 def _(spark, d):
-    return P.deployments(_landed(spark, d, "deployment")).drop("raw_json")
+    return projections.deployments(_landed(spark, d, "deployment")).drop("raw_json")
 
 
 @query("p9_stamp_parent")
 def _(spark, d):
-    rows = P.stamp_activity_parent(_landed(spark, d, "activity"))
+    rows = projections.stamp_activity_parent(_landed(spark, d, "activity"))
     return rows.select(
         "repo",
         "pr_id",
         F.col("pull_request.id").isNull().cast("int").alias("stamped"),
-        P.activity_kind().alias("kind"),
+        projections.activity_kind().alias("kind"),
     )
 
 
 @query("p10_pr_rows")
 def _(spark, d):
-    return pr_rows(dedup_prs(X.pr_report(spark, d)))
+    return pr_rows(dedup_prs(fixtures.pr_report(spark, d)))
 
 
 @query("p11_pr_display")
 def _(spark, d):
-    rows = pr_table_rows(X.pr_report(spark, d), keys=("repo", "pr_id"))
+    rows = pr_table_rows(fixtures.pr_report(spark, d), keys=("repo", "pr_id"))
     long_title = F.concat_ws(" / ", "title", "src_branch", "dest_repo", "state", "author")
     return pr_display(rows.withColumn("title", long_title))
 
 
 @query("p11_ci_display")
 def _(spark, d):
-    rows = pipeline_table_rows(X.pipeline_report(spark, d))
+    rows = pipeline_table_rows(fixtures.pipeline_report(spark, d))
     return pipeline_display(rows)
 
 
@@ -426,7 +423,7 @@ _RUN_SLIM = ("pipeline_uuid", "repo", "creator", "created_on", "environment_name
 
 @query("f1_created_between")
 def _(spark, d):
-    rows = X.raw(spark, d, "pull_requests")
+    rows = fixtures.raw(spark, d, "pull_requests")
     inside = created_between(
         "created_on", dt.date(1995, 1, 1), dt.date(1996, 6, 30), "state = 'MERGED' OR state = 'OPEN'"
     )
@@ -436,58 +433,58 @@ def _(spark, d):
 @query("f2_ts_between")
 def _(spark, d):
     low, high = dt.datetime(2024, 2, 1), dt.datetime(2024, 3, 15, 12)
-    rows = X.raw(spark, d, "pipelines").where(ts_between(parse_time("created_on"), low, high))
+    rows = fixtures.raw(spark, d, "pipelines").where(ts_between(parse_time("created_on"), low, high))
     return rows.select("repo", "pipeline_uuid", "created_on")
 
 
 @query("f3_pr_filter")
 def _(spark, d):
-    return pr_filter(X.pr_report(spark, d), PR_PARAMS, BOTS).select(*_PR_SLIM)
+    return pr_filter(fixtures.pr_report(spark, d), PR_PARAMS, BOTS).select(*_PR_SLIM)
 
 
 @query("f4_run_filter")
 def _(spark, d):
-    return pipeline_filter(X.pipeline_report(spark, d), RUN_PARAMS, BOTS).select(*_RUN_SLIM)
+    return pipeline_filter(fixtures.pipeline_report(spark, d), RUN_PARAMS, BOTS).select(*_RUN_SLIM)
 
 
 @query("f5_author_filter")
 def _(spark, d):
-    return author_filter(X.pr_report(spark, d), PR_PARAMS).select(*_PR_SLIM)
+    return author_filter(fixtures.pr_report(spark, d), PR_PARAMS).select(*_PR_SLIM)
 
 
 @query("f6_reviewer_filter")
 def _(spark, d):
-    return reviewer_filter(X.pr_report(spark, d), PR_PARAMS, BOTS).select(*_PR_SLIM)
+    return reviewer_filter(fixtures.pr_report(spark, d), PR_PARAMS, BOTS).select(*_PR_SLIM)
 
 
 @query("f7_creator_filter")
 def _(spark, d):
-    return creator_filter(X.pipeline_report(spark, d), RUN_PARAMS, BOTS).select(*_RUN_SLIM)
+    return creator_filter(fixtures.pipeline_report(spark, d), RUN_PARAMS, BOTS).select(*_RUN_SLIM)
 
 
 @query("f8_environment_filter")
 def _(spark, d):
-    rows = X.raw(spark, d, "deployments").where(env_matches("environment_name", ["PRODUCTION"]))
+    rows = fixtures.raw(spark, d, "deployments").where(env_matches("environment_name", ["PRODUCTION"]))
     return rows.select("repo", "deployment_uuid", "environment_name")
 
 
 @query("f9_production_runs")
 def _(spark, d):
-    rows = X.pipeline_report(spark, d).where(production_predicate(REFS))
+    rows = fixtures.pipeline_report(spark, d).where(production_predicate(REFS))
     return rows.select(*_RUN_SLIM, "target_ref_name")
 
 
 @query("f10_production_table")
 def _(spark, d):
     params = PipelineParams(targets=("develop",), production_refs=REFS)
-    rows = pipeline_table_rows(X.pipeline_report(spark, d), params.production_deployments())
+    rows = pipeline_table_rows(fixtures.pipeline_report(spark, d), params.production_deployments())
     return rows.select(*_RUN_SLIM, "target_ref_name")
 
 
 @query("f11_csv_filter")
 def _(spark, d):
     rows = notebook_filter(
-        parse_csv(export_frame(X.pr_report(spark, d))),
+        parse_csv(export_frame(fixtures.pr_report(spark, d))),
         ["ws/repo-1", "ws/repo-2", "ws/repo-5"],
         dt.date(1995, 10, 1),
         dt.date(1996, 12, 31),
@@ -500,20 +497,20 @@ def _(spark, d):
 @query("f12_list_parameters")
 def _(spark, d):
     params = PRParams.from_dict({"repos": ["", "  ", "repo-3"], "authors": [" "]})
-    return pr_filter(X.pr_report(spark, d), params).select(*_PR_SLIM)
+    return pr_filter(fixtures.pr_report(spark, d), params).select(*_PR_SLIM)
 
 
 @query("f13_date_parameters")
 def _(spark, d):
     low, high = parse_range("not a day", "2024-03-15")
-    rows = X.raw(spark, d, "pipelines").where(ts_between(parse_time("created_on"), low, high))
+    rows = fixtures.raw(spark, d, "pipelines").where(ts_between(parse_time("created_on"), low, high))
     return rows.select("repo", "pipeline_uuid", "created_on")
 
 
 @query("f14_lookback")
 def _(spark, d):
     since = lookback_start("monthly", dt.date(1998, 3, 17))
-    rows = X.raw(spark, d, "pull_requests").where(created_between("created_on", since))
+    rows = fixtures.raw(spark, d, "pull_requests").where(created_between("created_on", since))
     return rows.select("repo", "pr_id", "created_on")
 
 
@@ -521,7 +518,7 @@ def _(spark, d):
 
 
 def _slim_prs(spark: SparkSession, d: str) -> DataFrame:
-    return X.raw(spark, d, "pull_requests").select(
+    return fixtures.raw(spark, d, "pull_requests").select(
         "repo", "pr_id", "title", F.col("author_display_name").alias("author")
     )
 
@@ -529,50 +526,50 @@ def _slim_prs(spark: SparkSession, d: str) -> DataFrame:
 @query("j1_pr_activity")
 def _(spark, d):
     prs = _slim_prs(spark, d).where(F.col("title").isNotNull())
-    return join_pr_activity(prs, report_activity(X.raw(spark, d, "pr_activity")))
+    return join_pr_activity(prs, report_activity(fixtures.raw(spark, d, "pr_activity")))
 
 
 @query("j2_diff_totals")
 def _(spark, d):
-    return join_diff_totals(_slim_prs(spark, d), X.raw(spark, d, "pr_diffstat"))
+    return join_diff_totals(_slim_prs(spark, d), fixtures.raw(spark, d, "pr_diffstat"))
 
 
 @query("j3_first_link")
 def _(spark, d):
-    return join_first_link(_slim_prs(spark, d), X.raw(spark, d, "pr_pipelines"))
+    return join_first_link(_slim_prs(spark, d), fixtures.raw(spark, d, "pr_pipelines"))
 
 
 @query("j4_link_deployment")
 def _(spark, d):
     return join_link_deployment(
-        X.raw(spark, d, "pr_pipelines"), X.raw(spark, d, "deployments")
+        fixtures.raw(spark, d, "pr_pipelines"), fixtures.raw(spark, d, "deployments")
     )
 
 
 @query("j5_run_deployments")
 def _(spark, d):
-    runs = X.raw(spark, d, "pipelines").select("repo", "pipeline_uuid", "result_name")
-    return join_deployments(runs, X.raw(spark, d, "deployments"))
+    runs = fixtures.raw(spark, d, "pipelines").select("repo", "pipeline_uuid", "result_name")
+    return join_deployments(runs, fixtures.raw(spark, d, "deployments"))
 
 
 @query("j6_new_keys")
 def _(spark, d):
-    runs, deployments = X.raw(spark, d, "pipelines"), X.raw(spark, d, "deployments")
+    runs, deployments = fixtures.raw(spark, d, "pipelines"), fixtures.raw(spark, d, "deployments")
     return new_keys(runs, deployments, ["repo", "pipeline_uuid"])
 
 
 @query("j7_status_links")
 def _(spark, d):
-    statuses = X.view(spark, d, "fx_pr_statuses")
-    return pipelines_to_resolve(statuses, X.raw(spark, d, "pipelines"))
+    statuses = fixtures.view(spark, d, "fx_pr_statuses")
+    return pipelines_to_resolve(statuses, fixtures.raw(spark, d, "pipelines"))
 
 
 @query("j8_step_deployments")
 def _(spark, d):
-    deployments = X.raw(spark, d, "deployments")
+    deployments = fixtures.raw(spark, d, "deployments")
     rows = step_deployments(
-        X.raw(spark, d, "pipelines"),
-        X.view(spark, d, "fx_pipeline_steps"),
+        fixtures.raw(spark, d, "pipelines"),
+        fixtures.view(spark, d, "fx_pipeline_steps"),
         deployments,
         deployments.where(F.col("status_name") == "FAILED"),
         ["staging"],
@@ -585,37 +582,37 @@ def _(spark, d):
 
 @query("r1_pr_report")
 def _(spark, d):
-    return X.pr_report(spark, d)
+    return fixtures.pr_report(spark, d)
 
 
 @query("r2_ci_report")
 def _(spark, d):
-    return X.pipeline_report(spark, d)
+    return fixtures.pipeline_report(spark, d)
 
 
 @query("r3_pr_chart_rows")
 def _(spark, d):
-    return pr_chart_rows(X.pr_report(spark, d), PR_NAMES, BOTS)
+    return pr_chart_rows(fixtures.pr_report(spark, d), PR_NAMES, BOTS)
 
 
 @query("r3t_pr_table")
 def _(spark, d):
-    return pr_table(X.pr_report(spark, d), PR_NAMES, BOTS, page=2, size=50).rows
+    return pr_table(fixtures.pr_report(spark, d), PR_NAMES, BOTS, page=2, size=50).rows
 
 
 @query("r4_ci_chart_rows")
 def _(spark, d):
-    return pipeline_chart_rows(X.pipeline_report(spark, d), RUN_NAMES, BOTS)
+    return pipeline_chart_rows(fixtures.pipeline_report(spark, d), RUN_NAMES, BOTS)
 
 
 @query("r4t_ci_table")
 def _(spark, d):
-    return pipeline_table(X.pipeline_report(spark, d), RUN_REFS, BOTS, page=3, size=100).rows
+    return pipeline_table(fixtures.pipeline_report(spark, d), RUN_REFS, BOTS, page=3, size=100).rows
 
 
 @query("r4t_production_table")
 def _(spark, d):
-    return deployments_table(X.pipeline_report(spark, d), RUN_REFS, BOTS, page=1, size=100).rows
+    return deployments_table(fixtures.pipeline_report(spark, d), RUN_REFS, BOTS, page=1, size=100).rows
 
 
 # --- aggregations ----------------------------------------------------------------------------
@@ -623,78 +620,78 @@ def _(spark, d):
 
 @query("a1_diff_totals")
 def _(spark, d):
-    return diff_totals(X.raw(spark, d, "pr_diffstat"))
+    return diff_totals(fixtures.raw(spark, d, "pr_diffstat"))
 
 
 @query("a2_pr_summary")
 def _(spark, d):
-    return A.pr_summary(A.roll_prs(_prs(spark, d)))
+    return aggregates.pr_summary(aggregates.roll_prs(_prs(spark, d)))
 
 
 @query("a3_prs_by_author")
 def _(spark, d):
-    return A.prs_by_author(_prs(spark, d))
+    return aggregates.prs_by_author(_prs(spark, d))
 
 
 @query("a4_changes_by_author")
 def _(spark, d):
-    return A.changes_by_author(_prs(spark, d))
+    return aggregates.changes_by_author(_prs(spark, d))
 
 
 @query("a5_activity_by_user")
 def _(spark, d):
-    return A.activity_by_user(reviewer_filter(X.pr_report(spark, d), PR_NAMES, BOTS))
+    return aggregates.activity_by_user(reviewer_filter(fixtures.pr_report(spark, d), PR_NAMES, BOTS))
 
 
 @query("a6_prs_by_month")
 def _(spark, d):
-    return A.prs_by_month(_prs(spark, d))
+    return aggregates.prs_by_month(_prs(spark, d))
 
 
 @query("a7_changes_by_repo")
 def _(spark, d):
     keys = ("repo", "pr_id")
-    return A.changes_by_repo(A.pr_measures(dedup_prs(X.pr_report(spark, d), keys)))
+    return aggregates.changes_by_repo(aggregates.pr_measures(dedup_prs(fixtures.pr_report(spark, d), keys)))
 
 
 @query("a8_pr_meta")
 def _(spark, d):
-    return A.pr_meta(X.pr_report(spark, d), BOTS)
+    return aggregates.pr_meta(fixtures.pr_report(spark, d), BOTS)
 
 
 @query("a9_ci_summary")
 def _(spark, d):
-    return A.pipeline_summary(A.roll_runs(_runs(spark, d)))
+    return aggregates.pipeline_summary(aggregates.roll_runs(_runs(spark, d)))
 
 
 @query("a10_runs_by_creator")
 def _(spark, d):
-    return A.runs_by_creator(_runs(spark, d))
+    return aggregates.runs_by_creator(_runs(spark, d))
 
 
 @query("a11_runs_by_month")
 def _(spark, d):
-    return A.runs_by_month(_runs(spark, d))
+    return aggregates.runs_by_month(_runs(spark, d))
 
 
 @query("a12_results_by_repo")
 def _(spark, d):
-    return A.results_by_repo(_runs(spark, d))
+    return aggregates.results_by_repo(_runs(spark, d))
 
 
 @query("a13_mean_duration_by_repo")
 def _(spark, d):
-    return A.mean_duration_by_repo(_runs(spark, d))
+    return aggregates.mean_duration_by_repo(_runs(spark, d))
 
 
 @query("a14_deployment_frequency")
 def _(spark, d):
-    return A.deployment_frequency(_runs(spark, d))
+    return aggregates.deployment_frequency(_runs(spark, d))
 
 
 @query("a15_ci_meta")
 def _(spark, d):
-    return A.pipeline_meta(X.pipeline_report(spark, d), BOTS, REFS)
+    return aggregates.pipeline_meta(fixtures.pipeline_report(spark, d), BOTS, REFS)
 
 
 # --- pivot reports ---------------------------------------------------------------------------
@@ -702,11 +699,11 @@ def _(spark, d):
 
 def _csv_activity(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the CSV export as the pivot reports read them."""
-    return V.with_report_columns(parse_csv(export_frame(X.pr_report(spark, d))))
+    return pivots.with_report_columns(parse_csv(export_frame(fixtures.pr_report(spark, d))))
 
 
 def _csv_prs(spark: SparkSession, d: str) -> DataFrame:
-    return V.with_report_columns(distinct_prs(parse_csv(export_frame(X.pr_report(spark, d)))))
+    return pivots.with_report_columns(distinct_prs(parse_csv(export_frame(fixtures.pr_report(spark, d)))))
 
 
 PIVOT_REPOS = tuple(f"repo-{n}" for n in range(25))
@@ -715,57 +712,57 @@ PIVOT_TYPES = ("approval", "pullrequest_comment")
 
 @query("n1_total_by_repo")
 def _(spark, d):
-    return V.total_by(_csv_prs(spark, d), ["SrcRepo"])
+    return pivots.total_by(_csv_prs(spark, d), ["SrcRepo"])
 
 
 @query("n1_total_by_author")
 def _(spark, d):
-    return V.total_by(_csv_prs(spark, d), ["Author"])
+    return pivots.total_by(_csv_prs(spark, d), ["Author"])
 
 
 @query("n2_count_by_repo")
 def _(spark, d):
-    return V.count_by(_csv_prs(spark, d), ["SrcRepo"])
+    return pivots.count_by(_csv_prs(spark, d), ["SrcRepo"])
 
 
 @query("n2_count_by_author")
 def _(spark, d):
-    return V.count_by(_csv_prs(spark, d), ["Author"])
+    return pivots.count_by(_csv_prs(spark, d), ["Author"])
 
 
 @query("n3_month_repo_pivot")
 def _(spark, d):
-    return V.total_pivot(_csv_prs(spark, d), PIVOT_REPOS).fillna(0)
+    return pivots.total_pivot(_csv_prs(spark, d), PIVOT_REPOS).fillna(0)
 
 
 @query("n4_mean_total")
 def _(spark, d):
-    return V.mean_total(_csv_prs(spark, d))
+    return pivots.mean_total(_csv_prs(spark, d))
 
 
 @query("n5_activity_by_repo")
 def _(spark, d):
-    return V.activity_pivot(_csv_activity(spark, d), "SrcRepo", PIVOT_TYPES)
+    return pivots.activity_pivot(_csv_activity(spark, d), "SrcRepo", PIVOT_TYPES)
 
 
 @query("n6_activity_by_user")
 def _(spark, d):
-    return V.activity_pivot(_csv_activity(spark, d), "User", PIVOT_TYPES)
+    return pivots.activity_pivot(_csv_activity(spark, d), "User", PIVOT_TYPES)
 
 
 @query("n7_cross_activity_by_repo")
 def _(spark, d):
-    return V.activity_pivot(_csv_activity(spark, d), "SrcRepo", PIVOT_TYPES, drop_self=True)
+    return pivots.activity_pivot(_csv_activity(spark, d), "SrcRepo", PIVOT_TYPES, drop_self=True)
 
 
 @query("n7_cross_activity_by_user")
 def _(spark, d):
-    return V.activity_pivot(_csv_activity(spark, d), "User", PIVOT_TYPES)
+    return pivots.activity_pivot(_csv_activity(spark, d), "User", PIVOT_TYPES)
 
 
 @query("n8_share_of_total")
 def _(spark, d):
-    return V.share_of_total(V.total_by(_csv_prs(spark, d), ["Author"]), "total")
+    return pivots.share_of_total(pivots.total_by(_csv_prs(spark, d), ["Author"]), "total")
 
 
 # --- dedup -----------------------------------------------------------------------------------
@@ -773,17 +770,17 @@ def _(spark, d):
 
 @query("d1_dedup_prs")
 def _(spark, d):
-    return dedup_prs(pr_filter(X.pr_report(spark, d), PR_NAMES, BOTS))
+    return dedup_prs(pr_filter(fixtures.pr_report(spark, d), PR_NAMES, BOTS))
 
 
 @query("d2_dedup_runs")
 def _(spark, d):
-    return dedup_pipelines(X.pipeline_report(spark, d))
+    return dedup_pipelines(fixtures.pipeline_report(spark, d))
 
 
 @query("d3_distinct_prs")
 def _(spark, d):
-    rows = distinct_prs(parse_csv(export_frame(X.pr_report(spark, d))))
+    rows = distinct_prs(parse_csv(export_frame(fixtures.pr_report(spark, d))))
     return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("Created", "Updated")})
 
 
@@ -792,67 +789,67 @@ def _(spark, d):
 
 @query("o1_by_value")
 def _(spark, d):
-    return O.order_by_value(A.prs_by_author(_prs(spark, d)))
+    return ordering.order_by_value(aggregates.prs_by_author(_prs(spark, d)))
 
 
 @query("o2_by_label")
 def _(spark, d):
-    return O.order_by_label(A.runs_by_month(_runs(spark, d)))
+    return ordering.order_by_label(aggregates.runs_by_month(_runs(spark, d)))
 
 
 @query("o3_by_total")
 def _(spark, d):
-    return O.order_by_total(A.changes_by_repo(_prs(spark, d)))
+    return ordering.order_by_total(aggregates.changes_by_repo(_prs(spark, d)))
 
 
 @query("o4_by_activity")
 def _(spark, d):
-    return pr_charts(X.pr_report(spark, d), bots=BOTS)["activity_by_user"]
+    return pr_charts(fixtures.pr_report(spark, d), bots=BOTS)["activity_by_user"]
 
 
 @query("o5_by_results")
 def _(spark, d):
-    return O.order_by_results(A.results_by_repo(_runs(spark, d)))
+    return ordering.order_by_results(aggregates.results_by_repo(_runs(spark, d)))
 
 
 @query("o6_by_month_and_ref")
 def _(spark, d):
-    return pipeline_charts(X.pipeline_report(spark, d), RUN_REFS)["deployment_frequency"]
+    return pipeline_charts(fixtures.pipeline_report(spark, d), RUN_REFS)["deployment_frequency"]
 
 
 @query("o7_page")
 def _(spark, d):
-    return pr_table(X.pr_report(spark, d), page=0, size=500).rows
+    return pr_table(fixtures.pr_report(spark, d), page=0, size=500).rows
 
 
 @query("o7_page_total")
 def _(spark, d):
-    return pr_table(X.pr_report(spark, d), PR_PARAMS, BOTS).total
+    return pr_table(fixtures.pr_report(spark, d), PR_PARAMS, BOTS).total
 
 
 @query("o8_page_count")
 def _(spark, d):
-    page = pipeline_table(X.pipeline_report(spark, d), RUN_PARAMS, BOTS)
+    page = pipeline_table(fixtures.pipeline_report(spark, d), RUN_PARAMS, BOTS)
     return page.total.select("total", page_count("total", page.size).alias("pages"))
 
 
 @query("o9_top_creators")
 def _(spark, d):
-    charts = pipeline_charts(X.pipeline_report(spark, d))
-    return O.top(charts["pipelines_by_creator"], O.TOP_CREATORS)
+    charts = pipeline_charts(fixtures.pipeline_report(spark, d))
+    return ordering.top(charts["pipelines_by_creator"], ordering.TOP_CREATORS)
 
 
 @query("o9_top_durations")
 def _(spark, d):
-    charts = pipeline_charts(X.pipeline_report(spark, d))
-    return O.top(charts["avg_duration_by_repo"], O.TOP_DURATIONS)
+    charts = pipeline_charts(fixtures.pipeline_report(spark, d))
+    return ordering.top(charts["avg_duration_by_repo"], ordering.TOP_DURATIONS)
 
 
 @query("o9_preview")
 def _(spark, d):
     rows = _csv_activity(spark, d)
     order = ["ID", "SrcRepo", "Type", "User"]
-    return O.preview(rows, order).select(*order, "Author", "DateGroup", "Total")
+    return ordering.preview(rows, order).select(*order, "Author", "DateGroup", "Total")
 
 
 # --- unions and dense grids ------------------------------------------------------------------
@@ -860,22 +857,22 @@ def _(spark, d):
 
 @query("u1_concat")
 def _(spark, d):
-    report = export_frame(X.pr_report(spark, d))
+    report = export_frame(fixtures.pr_report(spark, d))
     approvals = report.where(F.col("Type") == "approval").drop("Description")
     comments = report.where(F.col("Type") != "approval").select(*reversed(report.columns))
-    rows = V.concat_frames(comments, approvals)
+    rows = pivots.concat_frames(comments, approvals)
     return rows.select("ID", "repo", "Type", F.coalesce("Description", F.lit("-")).alias("note"))
 
 
 @query("u2_people")
 def _(spark, d):
-    return A.author_user_options(A.pr_meta(X.pr_report(spark, d), BOTS))
+    return aggregates.author_user_options(aggregates.pr_meta(fixtures.pr_report(spark, d), BOTS))
 
 
 @query("u3_dense_frequency")
 def _(spark, d):
-    frequency = A.deployment_frequency(_runs(spark, d))
-    return A.dense_frequency(frequency, (*REFS, "never-used"))
+    frequency = aggregates.deployment_frequency(_runs(spark, d))
+    return aggregates.dense_frequency(frequency, (*REFS, "never-used"))
 
 
 # --- expressions -----------------------------------------------------------------------------
@@ -883,7 +880,7 @@ def _(spark, d):
 
 @query("c1_short_repo")
 def _(spark, d):
-    rows = X.view(spark, d, "fx_pull_requests")
+    rows = fixtures.view(spark, d, "fx_pull_requests")
     return rows.select(
         "repo",
         "pr_id",
@@ -895,7 +892,7 @@ def _(spark, d):
 
 @query("c2_second_part")
 def _(spark, d):
-    rows = X.view(spark, d, "fx_pull_requests")
+    rows = fixtures.view(spark, d, "fx_pull_requests")
     nested = second_part(F.concat("src_repo", F.lit("/"), F.col("state")))
     return rows.select(
         "repo",
@@ -908,7 +905,7 @@ def _(spark, d):
 
 @query("c3_day_text")
 def _(spark, d):
-    rows = X.view(spark, d, "fx_pull_requests")
+    rows = fixtures.view(spark, d, "fx_pull_requests")
     full = F.when(
         F.col("state") != "DECLINED", F.concat("created_on", F.lit("T23:59:59.9-11:00"))
     )
@@ -917,7 +914,7 @@ def _(spark, d):
 
 @query("c4_seconds_text")
 def _(spark, d):
-    rows = X.view(spark, d, "fx_pipelines")
+    rows = fixtures.view(spark, d, "fx_pipelines")
     exact = F.regexp_replace("created_on", "Z$", ".000123+00:00")
     local = F.regexp_replace("created_on", "Z$", ".5+05:30")
     return rows.select(
@@ -930,37 +927,37 @@ def _(spark, d):
 
 @query("c5_month_text")
 def _(spark, d):
-    rows = X.view(spark, d, "fx_pipelines").select(month_text("created_on").alias("month"))
+    rows = fixtures.view(spark, d, "fx_pipelines").select(month_text("created_on").alias("month"))
     return rows.groupBy("month").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("c6_duration")
 def _(spark, d):
-    rows = X.view(spark, d, "fx_pipelines")
+    rows = fixtures.view(spark, d, "fx_pipelines")
     seconds = duration_seconds("created_on", "completed_on", "build_seconds_used")
     return rows.select("pipeline_uuid", seconds.alias("duration_seconds"))
 
 
 @query("c7_trigger_name")
 def _(spark, d):
-    rows = X.view(spark, d, "fx_pipelines")
+    rows = fixtures.view(spark, d, "fx_pipelines")
     return rows.select("pipeline_uuid", trigger_name("trigger_type").alias("trigger_name"))
 
 
 @query("c8_url_uuid")
 def _(spark, d):
-    rows = X.view(spark, d, "fx_pr_statuses")
+    rows = fixtures.view(spark, d, "fx_pr_statuses")
     return rows.select("repo", "pr_id", pipeline_uuid_from_url("url").alias("pipeline_uuid"))
 
 
 @query("c9_diff_line_counts")
 def _(spark, d):
-    return diff_line_counts(X.view(spark, d, "fx_pr_diffs"))
+    return diff_line_counts(fixtures.view(spark, d, "fx_pr_diffs"))
 
 
 @query("c10_time_or_null")
 def _(spark, d):
-    rows = decode_raw(X.raw_json(spark, d, "pipeline"), RECORDS["pipeline"])
+    rows = decode_raw(fixtures.raw_json(spark, d, "pipeline"), RECORDS["pipeline"])
     none = F.lit("(none)")
     return rows.select(
         F.col("uuid").alias("pipeline_uuid"),
@@ -971,5 +968,5 @@ def _(spark, d):
 
 @query("c11_activity_kind")
 def _(spark, d):
-    rows = _landed(spark, d, "activity").select("repo", P.activity_kind().alias("kind"))
+    rows = _landed(spark, d, "activity").select("repo", projections.activity_kind().alias("kind"))
     return rows.groupBy("repo", "kind").agg(F.count(F.lit(1)).alias("n"))

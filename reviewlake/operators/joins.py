@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.functions.text import pipeline_uuid_from_url
+from reviewlake.functions.text import RESULT_MARKER, pipeline_uuid_from_url
 from reviewlake.operators.filters import env_matches
 from reviewlake.operators.skew import join_unique
 
@@ -101,9 +101,11 @@ def new_keys(candidates: DataFrame, stored: DataFrame, keys: Sequence[str]) -> D
 
 
 def status_links(statuses: DataFrame) -> DataFrame:
-    """Distinct pull request to pipeline links named by build statuses."""
+    """Distinct pull request to pipeline links named by build statuses. Addresses without the
+    marker are dropped by a plain test on the stored column first."""
+    named = statuses.where(F.col("url").contains(RESULT_MARKER))
     uuid = pipeline_uuid_from_url("url").alias("pipeline_uuid")
-    return statuses.select("repo", "pr_id", uuid).where("pipeline_uuid <> ''").distinct()
+    return named.select("repo", "pr_id", uuid).where("pipeline_uuid <> ''").distinct()
 
 
 def pipelines_to_resolve(statuses: DataFrame, pipelines: DataFrame) -> DataFrame:

@@ -35,14 +35,17 @@ def paged(
     order: Sequence[Column | str],
     page: int | None = None,
     size: int | None = None,
+    counted: DataFrame | None = None,
 ) -> Page:
     """``order`` must be unique. A page past the end is empty.
 
     Each task keeps its first ``page * size`` rows only; the frame itself is never sorted whole.
+    ``counted`` has as many rows as ``df`` and is cheaper to count.
     """
     page, size = clamp_page(page, size)
     rows = df.orderBy(*order).offset((page - 1) * size).limit(size)
-    return Page(rows, df.agg(F.count(F.lit(1)).alias("total")), page, size)
+    total = (df if counted is None else counted).agg(F.count(F.lit(1)).alias("total"))
+    return Page(rows, total, page, size)
 
 
 def page_count(total: Column | str, size: int = DEFAULT_SIZE) -> Column:

@@ -13,8 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.operators import aggregates as A
-from reviewlake.operators import ordering as O
+from reviewlake.operators import aggregates, ordering
 from reviewlake.operators.dedup import CHART_ROW, dedup_pipelines, dedup_prs
 from reviewlake.operators.filters import (
     author_filter,
@@ -50,14 +49,14 @@ def pr_roll(
 ) -> DataFrame:
     """Roll-up of the pull requests that pass the scope and author filters."""
     rows = author_filter(pr_filter(report, params.scope(), bots), params)
-    return A.roll_prs(A.pr_measures(dedup_prs(rows, keys, CHART_ROW)))
+    return aggregates.roll_prs(aggregates.pr_measures(dedup_prs(rows, keys, CHART_ROW)))
 
 
 def review_activity(
     report: DataFrame, params: PRParams = PRParams(), bots: Iterable[str] = ()
 ) -> DataFrame:
     rows = reviewer_filter(pr_filter(report, params.scope(), bots), params, bots)
-    return A.activity_by_user(rows)
+    return aggregates.activity_by_user(rows)
 
 
 def pr_charts(
@@ -70,12 +69,12 @@ def pr_charts(
     """Summary and five ordered charts. Pass a persisted ``pr_roll`` to share it."""
     roll = pr_roll(report, params, bots, keys) if roll is None else roll
     return {
-        "summary": A.pr_summary(roll),
-        "pr_count_by_author": O.order_by_value(A.prs_by_author(roll)),
-        "code_changes_by_author": O.order_by_total(A.changes_by_author(roll)),
-        "activity_by_user": O.order_by_activity(review_activity(report, params, bots)),
-        "pr_count_by_month": O.order_by_label(A.prs_by_month(roll)),
-        "code_changes_by_repo": O.order_by_total(A.changes_by_repo(roll)),
+        "summary": aggregates.pr_summary(roll),
+        "pr_count_by_author": ordering.order_by_value(aggregates.prs_by_author(roll)),
+        "code_changes_by_author": ordering.order_by_total(aggregates.changes_by_author(roll)),
+        "activity_by_user": ordering.order_by_activity(review_activity(report, params, bots)),
+        "pr_count_by_month": ordering.order_by_label(aggregates.prs_by_month(roll)),
+        "code_changes_by_repo": ordering.order_by_total(aggregates.changes_by_repo(roll)),
     }
 
 
@@ -87,7 +86,7 @@ def pipeline_roll(
 ) -> DataFrame:
     rows = creator_filter(pipeline_filter(report, params.scope(), bots), params, bots)
     unique = dedup_pipelines(rows.select(*RUN_COLUMNS))
-    return A.roll_runs(A.run_measures(unique, params.production_refs))
+    return aggregates.roll_runs(aggregates.run_measures(unique, params.production_refs))
 
 
 def pipeline_charts(
@@ -99,12 +98,12 @@ def pipeline_charts(
     """Summary and five ordered charts. Environments, targets and results do not filter them."""
     roll = pipeline_roll(report, params, bots) if roll is None else roll
     return {
-        "summary": A.pipeline_summary(roll),
-        "deployment_frequency": O.order_by_month_and_environment(A.deployment_frequency(roll)),
-        "results_by_repo": O.order_by_results(A.results_by_repo(roll)),
-        "pipelines_by_creator": O.order_by_value(A.runs_by_creator(roll)),
-        "avg_duration_by_repo": O.order_by_value(A.mean_duration_by_repo(roll)),
-        "pipelines_by_month": O.order_by_label(A.runs_by_month(roll)),
+        "summary": aggregates.pipeline_summary(roll),
+        "deployment_frequency": ordering.order_by_month_and_environment(aggregates.deployment_frequency(roll)),
+        "results_by_repo": ordering.order_by_results(aggregates.results_by_repo(roll)),
+        "pipelines_by_creator": ordering.order_by_value(aggregates.runs_by_creator(roll)),
+        "avg_duration_by_repo": ordering.order_by_value(aggregates.mean_duration_by_repo(roll)),
+        "pipelines_by_month": ordering.order_by_label(aggregates.runs_by_month(roll)),
     }
 
 
@@ -140,7 +139,7 @@ def pr_chart_rows(
     author, repo, month = F.col("author"), F.col("src_repo"), F.col("month")
     grouped = roll.groupingSets([[author], [repo], [month], []], author, repo, month).agg(
         F.grouping_id().alias("_set"),
-        *(A.total_of(c) for c in A.PR_COUNTS),
+        *(aggregates.total_of(c) for c in aggregates.PR_COUNTS),
         F.countDistinct("_author").alias("authors"),
         F.countDistinct("_repo").alias("repos"),
     )
@@ -182,7 +181,7 @@ def pipeline_chart_rows(
     sets = [[creator], [repo], [month], [month, ref], []]
     grouped = roll.groupingSets(sets, creator, repo, month, ref).agg(
         F.grouping_id().alias("_set"),
-        *(A.total_of(c) for c in A.RUN_COUNTS),
+        *(aggregates.total_of(c) for c in aggregates.RUN_COUNTS),
         F.countDistinct("_creator").alias("creators"),
         F.countDistinct("_repo").alias("repos"),
     )

@@ -40,8 +40,9 @@ def pr_table(
     keys: tuple[str, ...] = ("pr_id",),
 ) -> Page:
     """One page in pull-request id order, equal ids by repository."""
-    unique = dedup_prs(pr_filter(report, params, bots), keys)
-    picked = paged(unique, ["pr_id", "repo"], page, size)
+    matching = pr_filter(report, params, bots)
+    ids = matching.select(*keys).distinct()
+    picked = paged(dedup_prs(matching, keys), ["pr_id", "repo"], page, size, counted=ids)
     return replace(picked, rows=pr_rows(picked.rows))
 
 
@@ -61,7 +62,9 @@ def pipeline_table(
 ) -> Page:
     """One page, newest first."""
     order = [F.col("created_on").desc(), "repo", "pipeline_uuid"]
-    return paged(pipeline_table_rows(report, params, bots), order, page, size)
+    matching = pipeline_filter(report, params, bots)
+    ids = matching.select("pipeline_uuid").distinct()
+    return paged(dedup_pipelines(matching), order, page, size, counted=ids)
 
 
 def deployments_table(
