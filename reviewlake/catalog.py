@@ -91,7 +91,7 @@ from reviewlake.sources.reports import (
     with_days,
     with_instants,
 )
-from reviewlake.streaming.ingest import start_ingest
+from reviewlake.streaming.ingest import flatten, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -189,7 +189,8 @@ def _(spark, d):
 
 @query("s2_decode_diffstat")
 def _(spark, d):
-    rows = decode_raw(fixtures.raw_json(spark, d, "diffstat"), RECORDS["diffstat"], ["repo-1", "repo-2"])
+    texts = fixtures.raw_json(spark, d, "diffstat")
+    rows = decode_raw(texts, RECORDS["diffstat"], ["repo-1", "repo-2"])
     return rows.select("repo", "pr_id", "lines_added", "lines_removed")
 
 
@@ -347,43 +348,43 @@ def _landed(spark: SparkSession, d: str, kind: str) -> DataFrame:
 
 @query("p1_pull_requests")
 def _(spark, d):
-    return projections.pull_requests(_landed(spark, d, "pull_request")).drop("raw_json")
+    return flatten(_landed(spark, d, "pull_request"), "pull_request").drop("raw_json")
 
 
 @query("p2_commits")
 def _(spark, d):
-    return projections.pr_commits(projections.stamp_parent(_landed(spark, d, "commit"))).drop("raw_json")
+    return flatten(_landed(spark, d, "commit"), "commit").drop("raw_json")
 
 
 @query("p3_activity")
 def _(spark, d):
-    return projections.pr_activity(projections.stamp_activity_parent(_landed(spark, d, "activity"))).drop("raw_json")
+    return flatten(_landed(spark, d, "activity"), "activity").drop("raw_json")
 
 
 @query("p4_diffstat")
 def _(spark, d):
-    return projections.pr_diffstat(projections.stamp_parent(_landed(spark, d, "diffstat"))).drop("raw_json")
+    return flatten(_landed(spark, d, "diffstat"), "diffstat").drop("raw_json")
 
 
 @query("p5_comments")
 def _(spark, d):
-    rows = projections.pr_comments(projections.stamp_parent(_landed(spark, d, "comment"))).drop("raw_json")
+    rows = flatten(_landed(spark, d, "comment"), "comment").drop("raw_json")
     return rows.withColumn("deleted", F.col("deleted").cast("int"))
 
 
 @query("p6_statuses")
 def _(spark, d):
-    return projections.pr_statuses(projections.stamp_parent(_landed(spark, d, "status"))).drop("raw_json")
+    return flatten(_landed(spark, d, "status"), "status").drop("raw_json")
 
 
 @query("p7_runs")
 def _(spark, d):
-    return projections.pipelines(_landed(spark, d, "pipeline")).drop("raw_json")
+    return flatten(_landed(spark, d, "pipeline"), "pipeline").drop("raw_json")
 
 
 @query("p8_deployments")
 def _(spark, d):
-    return projections.deployments(_landed(spark, d, "deployment")).drop("raw_json")
+    return flatten(_landed(spark, d, "deployment"), "deployment").drop("raw_json")
 
 
 @query("p9_stamp_parent")
@@ -424,16 +425,16 @@ _RUN_SLIM = ("pipeline_uuid", "repo", "creator", "created_on", "environment_name
 @query("f1_created_between")
 def _(spark, d):
     rows = fixtures.raw(spark, d, "pull_requests")
-    inside = created_between(
-        "created_on", dt.date(1995, 1, 1), dt.date(1996, 6, 30), "state = 'MERGED' OR state = 'OPEN'"
-    )
+    extra = "state = 'MERGED' OR state = 'OPEN'"
+    inside = created_between("created_on", dt.date(1995, 1, 1), dt.date(1996, 6, 30), extra)
     return rows.where(inside & in_known_states()).select("repo", "pr_id", "state", "created_on")
 
 
 @query("f2_ts_between")
 def _(spark, d):
     low, high = dt.datetime(2024, 2, 1), dt.datetime(2024, 3, 15, 12)
-    rows = fixtures.raw(spark, d, "pipelines").where(ts_between(parse_time("created_on"), low, high))
+    rows = fixtures.raw(spark, d, "pipelines")
+    rows = rows.where(ts_between(parse_time("created_on"), low, high))
     return rows.select("repo", "pipeline_uuid", "created_on")
 
 
@@ -464,7 +465,8 @@ def _(spark, d):
 
 @query("f8_environment_filter")
 def _(spark, d):
-    rows = fixtures.raw(spark, d, "deployments").where(env_matches("environment_name", ["PRODUCTION"]))
+    rows = fixtures.raw(spark, d, "deployments")
+    rows = rows.where(env_matches("environment_name", ["PRODUCTION"]))
     return rows.select("repo", "deployment_uuid", "environment_name")
 
 
@@ -503,7 +505,8 @@ def _(spark, d):
 @query("f13_date_parameters")
 def _(spark, d):
     low, high = parse_range("not a day", "2024-03-15")
-    rows = fixtures.raw(spark, d, "pipelines").where(ts_between(parse_time("created_on"), low, high))
+    rows = fixtures.raw(spark, d, "pipelines")
+    rows = rows.where(ts_between(parse_time("created_on"), low, high))
     return rows.select("repo", "pipeline_uuid", "created_on")
 
 
@@ -612,7 +615,8 @@ def _(spark, d):
 
 @query("r4t_production_table")
 def _(spark, d):
-    return deployments_table(fixtures.pipeline_report(spark, d), RUN_REFS, BOTS, page=1, size=100).rows
+    report = fixtures.pipeline_report(spark, d)
+    return deployments_table(report, RUN_REFS, BOTS, page=1, size=100).rows
 
 
 # --- aggregations ----------------------------------------------------------------------------
@@ -640,7 +644,8 @@ def _(spark, d):
 
 @query("a5_activity_by_user")
 def _(spark, d):
-    return aggregates.activity_by_user(reviewer_filter(fixtures.pr_report(spark, d), PR_NAMES, BOTS))
+    rows = reviewer_filter(fixtures.pr_report(spark, d), PR_NAMES, BOTS)
+    return aggregates.activity_by_user(rows)
 
 
 @query("a6_prs_by_month")
@@ -650,8 +655,8 @@ def _(spark, d):
 
 @query("a7_changes_by_repo")
 def _(spark, d):
-    keys = ("repo", "pr_id")
-    return aggregates.changes_by_repo(aggregates.pr_measures(dedup_prs(fixtures.pr_report(spark, d), keys)))
+    prs = dedup_prs(fixtures.pr_report(spark, d), ("repo", "pr_id"))
+    return aggregates.changes_by_repo(aggregates.pr_measures(prs))
 
 
 @query("a8_pr_meta")
@@ -703,7 +708,8 @@ def _csv_activity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _csv_prs(spark: SparkSession, d: str) -> DataFrame:
-    return pivots.with_report_columns(distinct_prs(parse_csv(export_frame(fixtures.pr_report(spark, d)))))
+    rows = parse_csv(export_frame(fixtures.pr_report(spark, d)))
+    return pivots.with_report_columns(distinct_prs(rows))
 
 
 PIVOT_REPOS = tuple(f"repo-{n}" for n in range(25))

@@ -36,13 +36,11 @@ def _flat(df: DataFrame, record: str, *columns: Column | str) -> DataFrame:
 
 def _people(col: str) -> Column:
     """Reviewer or participant list as JSON text with zero values spelled out."""
-    text = ("display_name", "uuid", "account_id", "nickname", "type", "state", "role")
+    fields = RECORDS["pull_request"][col].dataType.elementType.names
 
     def filled(p: Column) -> Column:
-        cells = {n: F.coalesce(p[n], F.lit("")) for n in text}
-        cells["approved"] = F.coalesce(p["approved"], F.lit(False))
-        order = ("display_name", "uuid", "account_id", "nickname", "type", "approved", "state", "role")
-        return F.struct(*(cells[n].alias(n) for n in order))
+        zero = lambda n: F.lit(False) if n == "approved" else F.lit("")
+        return F.struct(*(F.coalesce(p[n], zero(n)).alias(n) for n in fields))
 
     return F.coalesce(F.to_json(F.transform(col, filled)), F.lit("null"))
 

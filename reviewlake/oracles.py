@@ -169,8 +169,8 @@ _RUN_EPOCH = "epoch(CAST(created_on AS TIMESTAMP))"
 
 
 def _pivot(index: str, column: str, names: list[str], value: str, rows: str, where: str) -> str:
-    cells = ", ".join(f"""{value.format(cond=f'"{column}" = ' + chr(39) + n + chr(39))} AS "{n}\"""" for n in names)
-    return f'SELECT {index}, {cells} FROM {rows} WHERE {where} GROUP BY 1'
+    cells = (value.format(cond=f"\"{column}\" = '{n}'") + f' AS "{n}"' for n in names)
+    return f"SELECT {index}, {', '.join(cells)} FROM {rows} WHERE {where} GROUP BY 1"
 
 
 def _long(chart: str, label: str, rows: str, measures: dict[str, str], where: str = "true") -> str:
@@ -358,9 +358,11 @@ BODIES: dict[str, str] = {
     "'-' || format('{:,}', removed) AS removed, CAST(file_changed AS VARCHAR) AS files "
     "FROM (SELECT *, title || ' / ' || src_branch || ' / ' || split_part(dest_repo, '/', 2) "
     "|| ' / ' || state || ' / ' || author AS t FROM prs_by_repo) x",
-    "p11_ci_display": "SELECT '#' || CAST(coalesce(nullif(run_number, 0), build_number) AS VARCHAR) "
-    "AS number, repo, CASE creator WHEN '' THEN '—' ELSE creator END AS creator, "
-    "target_ref_name AS ref, CASE trigger_name WHEN '' THEN '—' ELSE trigger_name END AS trigger, "
+    "p11_ci_display": "SELECT "
+    "'#' || CAST(coalesce(nullif(run_number, 0), build_number) AS VARCHAR) AS number, repo, "
+    "CASE creator WHEN '' THEN '—' ELSE creator END AS creator, "
+    "target_ref_name AS ref, "
+    "CASE trigger_name WHEN '' THEN '—' ELSE trigger_name END AS trigger, "
     "state_name AS state, result_name AS result, "
     "CASE environment_name WHEN '' THEN '—' ELSE environment_name END AS environment, "
     "CASE WHEN duration_seconds = 0 THEN '—' WHEN duration_seconds < 60 "
@@ -444,7 +446,8 @@ BODIES: dict[str, str] = {
     "a4_changes_by_author": f"SELECT author AS label, {_CHANGES} FROM prs GROUP BY 1",
     "a5_activity_by_user": f"SELECT activity_user AS label, {_REVIEWS} FROM rep "
     f"WHERE activity_user IN {_PR_NAMES} AND activity_user NOT IN {_PR_DROP} GROUP BY 1",
-    "a6_prs_by_month": f"SELECT substring(updated, 1, 7) AS label, {_N} AS value FROM prs GROUP BY 1",
+    "a6_prs_by_month": f"SELECT substring(updated, 1, 7) AS label, {_N} AS value "
+    "FROM prs GROUP BY 1",
     "a7_changes_by_repo": f"SELECT split_part(src_repo, '/', 2) AS label, {_CHANGES} "
     "FROM prs_by_repo GROUP BY 1",
     "a8_pr_meta": "SELECT DISTINCT 'repo' AS kind, split_part(src_repo, '/', 2) AS value FROM rep "

@@ -97,9 +97,10 @@ def pipeline_charts(
 ) -> dict[str, DataFrame]:
     """Summary and five ordered charts. Environments, targets and results do not filter them."""
     roll = pipeline_roll(report, params, bots) if roll is None else roll
+    frequency = aggregates.deployment_frequency(roll)
     return {
         "summary": aggregates.pipeline_summary(roll),
-        "deployment_frequency": ordering.order_by_month_and_environment(aggregates.deployment_frequency(roll)),
+        "deployment_frequency": ordering.order_by_month_and_environment(frequency),
         "results_by_repo": ordering.order_by_results(aggregates.results_by_repo(roll)),
         "pipelines_by_creator": ordering.order_by_value(aggregates.runs_by_creator(roll)),
         "avg_duration_by_repo": ordering.order_by_value(aggregates.mean_duration_by_repo(roll)),
@@ -198,6 +199,7 @@ def pipeline_chart_rows(
         "unique_repos": "repos",
     }
     by_creator = {"value": "if(creator = '', null, runs)"}
+    month_ref = "concat_ws(' ', month, production_ref)"
     by_month = {"value": "if(month is null, null, runs)"}
     frequency = {
         "count": "if(month is null or production_ref = '' or successful = 0, null, successful)"
@@ -208,6 +210,6 @@ def pipeline_chart_rows(
         when 11 then concat({_cells("results_by_repo", "repo", results)},
                             {_cells("avg_duration_by_repo", "repo", {"value": mean})})
         when 13 then {_cells("pipelines_by_month", "month", by_month)}
-        when 12 then {_cells("deployment_frequency", "concat_ws(' ', month, production_ref)", frequency)}
+        when 12 then {_cells("deployment_frequency", month_ref, frequency)}
         else {_cells("summary", "''", totals)} end"""
     return _unfold(grouped, cells)

@@ -59,7 +59,9 @@ SCHEMAS: dict[str, T.StructType] = {
         "parent_id:int user_display_name user_uuid deleted:boolean created_on updated_on "
         "raw_json"
     ),
-    "pr_statuses": _table("pr_id:long repo key name state url description created_on updated_on raw_json"),
+    "pr_statuses": _table(
+        "pr_id:long repo key name state url description created_on updated_on raw_json"
+    ),
     "pipelines": _table(
         "pipeline_uuid repo build_number:int run_number:int creator_name creator_uuid "
         "creator_account_id target_ref_type target_ref_name trigger_name state_name "

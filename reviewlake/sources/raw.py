@@ -23,8 +23,8 @@ def read_table(
     """A stored table in its declared schema; columns added later read as zero values.
 
     Only those are filled: an expression around a column would keep filters on it out of the
-    scan, and all others are written without NULL. Declaring the read schema keeps a numeric-looking repository name text and saves the job
-    that would infer it.
+    scan, and all others are written without NULL. Declaring the read schema keeps a
+    numeric-looking repository name text and saves the job that would infer it.
     """
     rows = of_repos(spark.read.schema(SCHEMAS[table]).parquet(path), repos)
     return rows.fillna("", subset=list(ADDED_LATER.get(table, ())))
