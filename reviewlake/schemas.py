@@ -171,17 +171,14 @@ RECORDS: dict[str, T.StructType] = {
 }
 
 
-def page_schema(item: T.StructType) -> T.StructType:
-    """Envelope of one landed page of ``item`` records. Child pages carry the parent id; the
+PR_PARENT = "pull_request_id:long"
+PIPELINE_PARENT = "pipeline_uuid"
+
+
+def page_schema(item: T.StructType, parent: str = PR_PARENT) -> T.StructType:
+    """Envelope of one landed page of ``item`` records. Child pages carry their parent's id; the
     repository is a page field or the ``repo=`` folder the page lies in."""
-    return T.StructType(
-        [
-            T.StructField("repo", T.StringType()),
-            T.StructField("values", T.ArrayType(item)),
-            T.StructField("next", T.StringType()),
-            T.StructField("pull_request_id", T.LongType()),
-        ]
-    )
+    return _struct(f"repo next {parent}", values=T.ArrayType(item))
 
 
 def _zero(data_type: T.DataType) -> str:

@@ -6,30 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlake.schemas import page_schema
+from reviewlake.schemas import PR_PARENT, page_schema
 
 
 def explode_pages(pages: DataFrame) -> DataFrame:
-    """One row per record; a page-level ``pull_request_id`` is copied onto its records."""
+    """One row per record, with the repository and the parent id of its page."""
     item = pages.schema["values"].dataType.elementType
-    extra = [c for c in pages.columns if c not in ("values", "next", "pull_request_id")]
-    rows = pages.select(*extra, "pull_request_id", F.explode("values").alias("v"))
-    return rows.select(*extra, "pull_request_id", *(F.col("v")[n].alias(n) for n in item.names))
+    page = [c for c in pages.columns if c not in ("values", "next")]
+    rows = pages.select(*page, F.explode("values").alias("v"))
+    return rows.select(*page, *(F.col("v")[n].alias(n) for n in item.names))
 
 
-def decode_pages(texts: DataFrame, item: T.StructType, column: str = "value") -> DataFrame:
+def decode_pages(
+    texts: DataFrame, item: T.StructType, column: str = "value", parent: str = PR_PARENT
+) -> DataFrame:
     """Pages held as JSON text in ``column``; other columns are kept on every record."""
     keep = [c for c in texts.columns if c != column]
-    page = F.from_json(F.col(column), page_schema(item)).alias("p")
-    return explode_pages(texts.select(*keep, page).select(*keep, "p.*"))
+    page = F.from_json(F.col(column), page_schema(item, parent)).alias("p")
+    inner = [f"p.{c}" for c in page_schema(item, parent).names if c not in keep]
+    return explode_pages(texts.select(*keep, page).select(*keep, *inner))
 
 
 def read_pages(
-    spark: SparkSession, path: str, item: T.StructType, multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    item: T.StructType,
+    parent: str = PR_PARENT,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Records of all page files under ``path``; partition folders such as ``repo=x`` are kept.
+    """Records of all page files under ``path``.
 
     One page per line keeps the files splittable; ``multi_line`` reads one document per file.
     """
-    reader = spark.read.schema(page_schema(item)).option("multiLine", multi_line)
+    reader = spark.read.schema(page_schema(item, parent)).option("multiLine", multi_line)
     return explode_pages(reader.json(path))
