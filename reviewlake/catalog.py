@@ -828,6 +828,12 @@ def _(spark, d):
     return pr_table(fixtures.pr_report(spark, d), page=0, size=500).rows
 
 
+@query("o7_deep_page")
+def _(spark, d):
+    report = fixtures.pr_report(spark, d)
+    return pr_table(report, page=5, size=200, keys=("repo", "pr_id"), deep_rows=500).rows
+
+
 @query("o7_page_total")
 def _(spark, d):
     return pr_table(fixtures.pr_report(spark, d), PR_PARAMS, BOTS).total

@@ -1,4 +1,9 @@
-"""Numbered pages over a total order."""
+"""Numbered pages over a total order.
+
+A page near the front is a top-k: each task keeps its first ``page * size`` rows. A page millions
+of rows in would make that one large group, so there the sorted frame is written once to the
+shared folder, rows are counted per file, and only the files that hold the page are read.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlake.session import shared_dir
+
+DEEP_ROWS = 1_000_000
 DEFAULT_PAGE = 1
 DEFAULT_SIZE = 20
 MAX_SIZE = 200
@@ -36,18 +44,47 @@ def paged(
     page: int | None = None,
     size: int | None = None,
     counted: DataFrame | None = None,
+    deep_rows: int = DEEP_ROWS,
 ) -> Page:
-    """``order`` must be unique. A page past the end is empty.
-
-    Each task keeps its first ``page * size`` rows only; the frame itself is never sorted whole.
-    ``counted`` has as many rows as ``df`` and is cheaper to count.
+    """``order`` must be unique. A page past the end is empty. ``counted`` has as many rows as
+    ``df`` and is cheaper to count. A page that starts after ``deep_rows`` rows is read from a
+    written sort, which runs a job right away; all others are lazy.
     """
     page, size = clamp_page(page, size)
-    rows = df.orderBy(*order).offset((page - 1) * size).limit(size)
+    first = (page - 1) * size
+    if first >= deep_rows:
+        rows = _from_sorted_files(df, order, first, size)
+    else:
+        rows = df.orderBy(*order).offset(first).limit(size)
     total = (df if counted is None else counted).agg(F.count(F.lit(1)).alias("total"))
     return Page(rows, total, page, size)
 
 
+def _from_sorted_files(
+    df: DataFrame, order: Sequence[Column | str], first: int, size: int
+) -> DataFrame:
+    """Rows ``first .. first + size`` of the global order."""
+    spark = df.sparkSession
+    path = shared_dir(spark, "sorted")
+    df.orderBy(*order).write.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    # Files follow the order of the range partitions that wrote them: part-<n>-...-c<m>.
+    name = F.col("_metadata.file_name")
+    number = lambda pattern: F.regexp_extract(name, pattern, 1).cast("int")
+    files = stored.groupBy(
+        number(r"^part-(\d+)").alias("n"), number(r"-c(\d+)\.").alias("m"), name.alias("file")
+    ).count()
+    before, skipped, wanted = 0, 0, []
+    for f in files.orderBy("n", "m").collect():
+        if before + f["count"] <= first:
+            skipped = before + f["count"]
+        elif before < first + size:
+            wanted.append(f["file"])
+        before += f["count"]
+    held = stored.where(name.isin(wanted)) if wanted else stored.limit(0)
+    return held.orderBy(*order).offset(first - skipped).limit(size)
+
+
 def page_count(total: Column | str, size: int = DEFAULT_SIZE) -> Column:
     """Number of pages, at least one."""
     total = F.col(total) if isinstance(total, str) else total

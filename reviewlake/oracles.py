@@ -530,6 +530,8 @@ BODIES: dict[str, str] = {
     # orders, limits, pages
     "o4_by_activity": f"SELECT activity_user AS label, {_REVIEWS} FROM rep_no_bots GROUP BY 1",
     "o7_page": f"SELECT {_TABLE_PRS} FROM prs ORDER BY pr_id LIMIT 20",
+    "o7_deep_page": f"SELECT {_TABLE_PRS} FROM prs_by_repo ORDER BY pr_id, repo "
+    "LIMIT 200 OFFSET 800",
     "o7_page_total": f"SELECT {_N} AS total FROM ({_first_pr('rep_filtered')}) p",
     "o8_page_count": "SELECT total, greatest(1, CAST(ceil(total / 20.0) AS BIGINT)) AS pages "
     f"FROM (SELECT {_N} AS total FROM runs WHERE creator NOT IN ('user-3','user-8') "

@@ -17,7 +17,7 @@ from reviewlake.functions.text import (
 )
 from reviewlake.operators.dedup import dedup_pipelines, dedup_prs, pr_rows
 from reviewlake.operators.filters import pipeline_filter, pr_filter
-from reviewlake.operators.paging import Page, paged
+from reviewlake.operators.paging import DEEP_ROWS, Page, paged
 from reviewlake.params import PipelineParams, PRParams
 
 
@@ -38,11 +38,13 @@ def pr_table(
     page: int | None = None,
     size: int | None = None,
     keys: tuple[str, ...] = ("pr_id",),
+    deep_rows: int = DEEP_ROWS,
 ) -> Page:
     """One page in pull-request id order, equal ids by repository."""
     matching = pr_filter(report, params, bots)
     ids = matching.select(*keys).distinct()
-    picked = paged(dedup_prs(matching, keys), ["pr_id", "repo"], page, size, counted=ids)
+    unique = dedup_prs(matching, keys)
+    picked = paged(unique, ["pr_id", "repo"], page, size, ids, deep_rows)
     return replace(picked, rows=pr_rows(picked.rows))
 
 
@@ -64,7 +66,7 @@ def pipeline_table(
     order = [F.col("created_on").desc(), "repo", "pipeline_uuid"]
     matching = pipeline_filter(report, params, bots)
     ids = matching.select("pipeline_uuid").distinct()
-    return paged(dedup_pipelines(matching), order, page, size, counted=ids)
+    return paged(dedup_pipelines(matching), order, page, size, ids)
 
 
 def deployments_table(

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from reviewlake.operators import aggregates as A
 from reviewlake.operators import ordering as O
@@ -12,7 +13,7 @@ from reviewlake.operators.filters import (
     pr_filter,
     production_predicate,
 )
-from reviewlake.operators.paging import clamp_page, page_count
+from reviewlake.operators.paging import clamp_page, page_count, paged
 from reviewlake.params import PipelineParams, PRParams
 from reviewlake.plans.charts import (
     pipeline_chart_rows,
@@ -305,6 +306,18 @@ def test_pr_table_pages(rows, page, size, ids):
     assert [r.id for r in got.rows.collect()] == ids and got.total.first().total == 5
 
 
+@pytest.mark.parametrize("page", [1, 2, 4, 9])
+def test_deep_pages_equal_plain_ones(spark, page):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files
+    df = spark.range(0, 1700, 1, 6).selectExpr("id * 7919 % 1700 as id", "cast(id as string) as v")
+    plain = paged(df, [F.col("id").desc()], page, 190)
+    deep = paged(df, [F.col("id").desc()], page, 190, deep_rows=0)
+    assert [tuple(r) for r in deep.rows.collect()] == [tuple(r) for r in plain.rows.collect()]
+    assert deep.rows.count() == (180 if page == 9 else 190)
+    assert paged(df, ["id"], 99, 190, deep_rows=0).rows.count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_page_clamps(spark):
     assert clamp_page(0, 0) == (1, 20) and clamp_page(-3, 201) == (1, 20)
     assert clamp_page(2, 200) == (2, 200)
