@@ -44,6 +44,8 @@ from reviewlake.operators.filters import (
     ts_between,
 )
 from reviewlake.operators.joins import (
+    PR_KEY,
+    RUN_KEY,
     diff_totals,
     join_deployments,
     join_diff_totals,
@@ -56,6 +58,7 @@ from reviewlake.operators.joins import (
     step_deployments,
 )
 from reviewlake.operators.paging import page_count
+from reviewlake.operators.skew import join_unique
 from reviewlake.params import PipelineParams, PRParams, lookback_start, parse_range
 from reviewlake.plans.charts import (
     pipeline_chart_rows,
@@ -528,8 +531,14 @@ def _slim_prs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j1_pr_activity")
 def _(spark, d):
-    prs = _slim_prs(spark, d).where(F.col("title").isNotNull())
-    return join_pr_activity(prs, report_activity(fixtures.raw(spark, d, "pr_activity")))
+    events = report_activity(fixtures.raw(spark, d, "pr_activity"))
+    return join_pr_activity(_slim_prs(spark, d), events)
+
+
+@query("j1_pr_activity_salted")
+def _(spark, d):
+    events = report_activity(fixtures.raw(spark, d, "pr_activity"))
+    return join_unique(events, _slim_prs(spark, d), PR_KEY, "both", salt=True, min_rows=4)
 
 
 @query("j2_diff_totals")
@@ -555,6 +564,14 @@ def _(spark, d):
     return join_deployments(runs, fixtures.raw(spark, d, "deployments"))
 
 
+@query("j5_run_deployments_salted")
+def _(spark, d):
+    runs = fixtures.raw(spark, d, "pipelines").select("repo", "pipeline_uuid", "result_name")
+    deployments = fixtures.raw(spark, d, "deployments").select(*RUN_KEY, "environment_name")
+    rows = join_unique(deployments, runs, RUN_KEY, "unique", salt=True, min_rows=1)
+    return rows.fillna("", ["environment_name"])
+
+
 @query("j6_new_keys")
 def _(spark, d):
     runs, deployments = fixtures.raw(spark, d, "pipelines"), fixtures.raw(spark, d, "deployments")

@@ -69,18 +69,20 @@ def join_unique(
     keys: Sequence[str],
     keep: str = "both",
     salt: bool | None = None,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """Join ``facts`` (many rows per key) to ``unique`` (one row per key).
 
     ``keep`` names the side whose unmatched rows stay: ``both`` (none, an inner join),
-    ``facts`` or ``unique``.
+    ``facts`` or ``unique``. ``salt`` overrides the size test, ``min_rows`` the least size of a
+    hot key.
     """
     keys = list(keys)
     how = {"both": "inner", "facts": "left", "unique": "right"}[keep]
     if not needs_salt(facts, salt):
         return facts.join(unique, keys, how)
 
-    hot = hot_keys(facts, keys)
+    hot = hot_keys(facts, keys, min_rows)
     left = with_pieces(facts, keys, True, hot).withColumn("_hit", F.lit(True))
     marked = unique.join(F.broadcast(hot), keys, "left")
     last = F.coalesce(F.col("_pieces"), F.lit(1)) - 1

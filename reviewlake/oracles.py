@@ -585,7 +585,11 @@ BODIES: dict[str, str] = {
     f"THEN activity_type ELSE 'comment' END AS kind, {_N} AS n FROM fx_pr_activity GROUP BY 1, 2",
 }
 
-# Ordered results hold the same rows as the aggregate they order; unit tests check the order.
+# A salted join gives the rows of the plain one. Ordered results hold the same rows as the aggregate they order; unit tests check the order.
+BODIES["j1_pr_activity_salted"] = BODIES["j1_pr_activity"]
+BODIES["j5_run_deployments_salted"] = (
+    "SELECT repo, pipeline_uuid, result_name, environment_name FROM ci"
+)
 BODIES["o1_by_value"] = BODIES["a3_prs_by_author"]
 BODIES["o2_by_label"] = BODIES["a11_runs_by_month"]
 BODIES["o3_by_total"] = (
