@@ -171,6 +171,9 @@ RECORDS: dict[str, T.StructType] = {
 }
 
 
+#: Malformed JSON stops the job; read leniently, its records would vanish unnoticed.
+JSON_OPTIONS = {"mode": "FAILFAST"}
+
 PR_PARENT = "pull_request_id:long"
 PIPELINE_PARENT = "pipeline_uuid"
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlake.schemas import PR_PARENT, page_schema
+from reviewlake.schemas import JSON_OPTIONS, PR_PARENT, page_schema
 
 
 def explode_pages(pages: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def decode_pages(
 ) -> DataFrame:
     """Pages held as JSON text in ``column``; other columns are kept on every record."""
     keep = [c for c in texts.columns if c != column]
-    page = F.from_json(F.col(column), page_schema(item, parent)).alias("p")
+    page = F.from_json(F.col(column), page_schema(item, parent), JSON_OPTIONS).alias("p")
     inner = [f"p.{c}" for c in page_schema(item, parent).names if c not in keep]
     return explode_pages(texts.select(*keep, page).select(*keep, *inner))
 
@@ -38,5 +38,5 @@ def read_pages(
 
     One page per line keeps the files splittable; ``multi_line`` reads one document per file.
     """
-    reader = spark.read.schema(page_schema(item, parent)).option("multiLine", multi_line)
-    return explode_pages(reader.json(path))
+    reader = spark.read.schema(page_schema(item, parent)).options(**JSON_OPTIONS)
+    return explode_pages(reader.option("multiLine", multi_line).json(path))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlake.operators.skew import with_pieces
-from reviewlake.schemas import ADDED_LATER, SCHEMAS
+from reviewlake.schemas import ADDED_LATER, JSON_OPTIONS, SCHEMAS
 
 
 def of_repos(df: DataFrame, repos: Sequence[str] | None) -> DataFrame:
@@ -35,7 +35,7 @@ def decode_raw(
 ) -> DataFrame:
     """``repo`` and the record parsed from ``raw_json``; ``pr_id`` comes from its own column."""
     keep = [c for c in ("repo", "pr_id") if c in df.columns]
-    rows = of_repos(df, repos).select(*keep, F.from_json("raw_json", record).alias("r"))
+    rows = of_repos(df, repos).select(*keep, F.from_json("raw_json", record, JSON_OPTIONS).alias("r"))
     return rows.select(*keep, "r.*")
 
 

@@ -18,8 +18,7 @@ from reviewlake.operators.projections import (
     stamp_activity_parent,
     stamp_parent,
 )
-from reviewlake.schemas import RECORDS, page_schema
-from reviewlake.session import shared_dir
+from reviewlake.schemas import JSON_OPTIONS, RECORDS, page_schema
 from reviewlake.sources.pages import explode_pages
 from reviewlake.sources.store import touched_repos, write_absent, write_replace, write_upsert
 
@@ -38,6 +37,7 @@ def flatten(rows: DataFrame, record: str) -> DataFrame:
 def stream_pages(spark: SparkSession, path: str, record: str, **options) -> DataFrame:
     """New page files under ``path`` as a stream of records. ``seq`` is the landing time of the
     page's file: of two pages that hold the same record, the later file wins."""
+    options = {**JSON_OPTIONS, **options}
     reader = spark.readStream.schema(page_schema(RECORDS[record])).options(**options)
     landed = F.col("_metadata.file_modification_time").cast("double").alias("seq")
     return explode_pages(reader.json(path).select("*", landed))
@@ -70,7 +70,8 @@ def start_ingest(
     checkpoint: str | None = None,
     files_per_batch: int = 10_000,
 ) -> StreamingQuery:
-    """Ingest everything landed so far and stop; call again for what lands next.
+    """Ingest everything landed so far and stop; call again for what lands next. What was read
+    is remembered in ``checkpoint``, by default a folder next to the table.
 
     Upserted tables take any number of files per batch. A replaced table needs all pages of a
     repository's run in one batch, so its batches are not cut: start it when a run has landed.
@@ -80,7 +81,7 @@ def start_ingest(
     flat = flatten(stream_pages(spark, source, record, **options), record)
     return (
         flat.writeStream.foreachBatch(write_batch(table, path))
-        .option("checkpointLocation", checkpoint or shared_dir(spark, f"ingest-{table}"))
+        .option("checkpointLocation", checkpoint or f"{path.rstrip('/')}.checkpoint")
         .trigger(availableNow=True)
         .start()
     )

@@ -163,6 +163,15 @@ def test_pages_flatten_and_copy_the_parent_id(spark, tmp_path):
     assert [(r.place, r.pull_request_id, r.lines_added) for r in got] == [("s", 5, 1), ("s", 5, 2)]
 
 
+def test_malformed_json_stops_the_job(spark, tmp_path):
+    (tmp_path / "p.json").write_text(page([{"id": 1}]) + "\n{broken\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_pages(spark, str(tmp_path), RECORDS["comment"]).collect()
+    texts = spark.createDataFrame([("r", 1, '{"id": "x"')], "repo string, pr_id long, raw_json string")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        decode_raw(texts, RECORDS["comment"]).collect()
+
+
 def decoded(spark, kind, *records, **kw):
     texts = [("r", kw.get("pr_id", 1), json.dumps(r)) for r in records]
     df = spark.createDataFrame(texts, "repo string, pr_id long, raw_json string")
@@ -253,8 +262,8 @@ def test_stream_upserts_across_batches(spark, tmp_path):
 
 
 def test_stream_replaces_children(spark, tmp_path):
-    src, out, chk = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "chk")
-    run = lambda: start_ingest(spark, str(src), "comment", out, chk).awaitTermination()
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    run = lambda: start_ingest(spark, str(src), "comment", out).awaitTermination()
     land(src, "r", "a.json", {"id": 1}, {"id": 2}, pull_request_id=5)
     land(src, "s", "a.json", {"id": 3}, pull_request_id=6)
     run()
