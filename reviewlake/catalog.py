@@ -58,7 +58,7 @@ from reviewlake.operators.joins import (
     step_deployments,
 )
 from reviewlake.operators.paging import page_count
-from reviewlake.operators.skew import join_unique
+from reviewlake.operators.skew import join_pieces, with_unmatched
 from reviewlake.params import PipelineParams, PRParams, lookback_start, parse_range
 from reviewlake.plans.charts import (
     pipeline_chart_rows,
@@ -270,7 +270,6 @@ def _(spark, d):
 @query("k1_upsert")
 def _(spark, d):
     prs = fixtures.raw(spark, d, "pull_requests").drop("raw_json", "reviewers", "participants")
-    stored = prs.where(F.col("created_on") < "1996-01-01")
     merged = prs.where(F.col("state") == "MERGED")
     writes = [
         merged.withColumns(
@@ -278,7 +277,7 @@ def _(spark, d):
         )
         for n in (1, 2)
     ]
-    rows = store.upsert(stored, writes[0].unionByName(writes[1]), ("repo", "pr_id"), "seq")
+    rows = store.upsert(prs, writes[0].unionByName(writes[1]), ("repo", "pr_id"), "seq")
     return rows.select("repo", "pr_id", "title", "state", "author_display_name")
 
 
@@ -538,7 +537,7 @@ def _(spark, d):
 @query("j1_pr_activity_salted")
 def _(spark, d):
     events = report_activity(fixtures.raw(spark, d, "pr_activity"))
-    return join_unique(events, _slim_prs(spark, d), PR_KEY, "both", salt=True, min_rows=4)
+    return join_pieces(events, _slim_prs(spark, d), PR_KEY, 4)
 
 
 @query("j2_diff_totals")
@@ -568,7 +567,8 @@ def _(spark, d):
 def _(spark, d):
     runs = fixtures.raw(spark, d, "pipelines").select("repo", "pipeline_uuid", "result_name")
     deployments = fixtures.raw(spark, d, "deployments").select(*RUN_KEY, "environment_name")
-    rows = join_unique(deployments, runs, RUN_KEY, "unique", salt=True, min_rows=1)
+    both = join_pieces(deployments, runs, RUN_KEY, 4)
+    rows = with_unmatched(both, deployments, runs, RUN_KEY)
     return rows.fillna("", ["environment_name"])
 
 
@@ -729,10 +729,6 @@ def _csv_prs(spark: SparkSession, d: str) -> DataFrame:
     return pivots.with_report_columns(distinct_prs(rows))
 
 
-PIVOT_REPOS = tuple(f"repo-{n}" for n in range(25))
-PIVOT_TYPES = ("approval", "pullrequest_comment")
-
-
 @query("n1_total_by_repo")
 def _(spark, d):
     return pivots.total_by(_csv_prs(spark, d), ["SrcRepo"])
@@ -755,7 +751,7 @@ def _(spark, d):
 
 @query("n3_month_repo_pivot")
 def _(spark, d):
-    return pivots.total_pivot(_csv_prs(spark, d), PIVOT_REPOS).fillna(0)
+    return pivots.total_pivot(_csv_prs(spark, d)).fillna(0)
 
 
 @query("n4_mean_total")
@@ -765,22 +761,22 @@ def _(spark, d):
 
 @query("n5_activity_by_repo")
 def _(spark, d):
-    return pivots.activity_pivot(_csv_activity(spark, d), "SrcRepo", PIVOT_TYPES)
+    return pivots.activity_pivot(_csv_activity(spark, d), "SrcRepo")
 
 
 @query("n6_activity_by_user")
 def _(spark, d):
-    return pivots.activity_pivot(_csv_activity(spark, d), "User", PIVOT_TYPES)
+    return pivots.activity_pivot(_csv_activity(spark, d), "User")
 
 
 @query("n7_cross_activity_by_repo")
 def _(spark, d):
-    return pivots.activity_pivot(_csv_activity(spark, d), "SrcRepo", PIVOT_TYPES, drop_self=True)
+    return pivots.activity_pivot(_csv_activity(spark, d), "SrcRepo", drop_self=True)
 
 
 @query("n7_cross_activity_by_user")
 def _(spark, d):
-    return pivots.activity_pivot(_csv_activity(spark, d), "User", PIVOT_TYPES)
+    return pivots.activity_pivot(_csv_activity(spark, d), "User")
 
 
 @query("n8_share_of_total")
@@ -848,7 +844,7 @@ def _(spark, d):
 @query("o7_deep_page")
 def _(spark, d):
     report = fixtures.pr_report(spark, d)
-    return pr_table(report, page=5, size=200, keys=("repo", "pr_id"), deep_rows=500).rows
+    return pr_table(report, page=5, size=200, keys=("repo", "pr_id"), deep=True).rows
 
 
 @query("o7_page_total")

@@ -11,7 +11,6 @@ from reviewlake.schemas import ZERO_DAY, ZERO_SECOND
 TIMESTAMP_SHAPE = (
     r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$"
 )
-INT_MAX = 2147483647
 
 
 def _c(col: Column | str) -> Column:
@@ -61,5 +60,4 @@ def duration_seconds(created: Column | str, completed: Column | str, build: Colu
     """Whole seconds between both times where positive, else the build seconds."""
     micros = F.unix_micros(parse_time(completed)) - F.unix_micros(parse_time(created))
     seconds = F.floor(micros / F.lit(1_000_000)).cast("long")
-    usable = (seconds > 0) & (seconds <= INT_MAX)
-    return F.when(usable, seconds.cast("int")).otherwise(_c(build))
+    return F.when(seconds > 0, seconds).otherwise(_c(build).cast("long"))

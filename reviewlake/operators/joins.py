@@ -9,19 +9,21 @@ from pyspark.sql import functions as F
 
 from reviewlake.functions.text import RESULT_MARKER, pipeline_uuid_from_url
 from reviewlake.operators.filters import env_matches
-from reviewlake.operators.skew import join_unique
+from reviewlake.operators.skew import join_pieces, with_unmatched
 
 PR_KEY = ["repo", "pr_id"]
 RUN_KEY = ["repo", "pipeline_uuid"]
 
 
-def join_pr_activity(prs: DataFrame, activity: DataFrame, salt: bool | None = None) -> DataFrame:
+def join_pr_activity(prs: DataFrame, activity: DataFrame, pieces: int | None = None) -> DataFrame:
     """Activity with its pull request; activity of unknown ones and silent ones drop out.
 
-    Activity without its pull request's columns is the large side and one pull request may hold
-    much of it, so it goes through the skew-safe join.
+    One pull request may hold much of the activity: as the left side of an inner join it can be split.
+    ``pieces`` cuts every key besides.
     """
-    return join_unique(activity, prs, PR_KEY, keep="both", salt=salt)
+    if pieces:
+        return join_pieces(activity, prs, PR_KEY, pieces)
+    return activity.join(prs, PR_KEY)
 
 
 def diff_totals(diffstat: DataFrame) -> DataFrame:
@@ -64,19 +66,15 @@ def last_deployments(deployments: DataFrame) -> DataFrame:
     )
 
 
-def join_link_deployment(
-    links: DataFrame, deployments: DataFrame, salt: bool | None = None
-) -> DataFrame:
+def join_link_deployment(links: DataFrame, deployments: DataFrame) -> DataFrame:
     """First link per pull request with its pipeline's deployment, ``''`` where it has none.
     Many pull requests may share one pipeline."""
-    joined = join_unique(
-        first_links(links), last_deployments(deployments), RUN_KEY, keep="facts", salt=salt
-    )
+    joined = first_links(links).join(last_deployments(deployments), RUN_KEY, "left")
     return joined.fillna("", ["environment_name", "deployment_state", "deployment_status"])
 
 
 def join_deployments(
-    pipelines: DataFrame, deployments: DataFrame, salt: bool | None = None
+    pipelines: DataFrame, deployments: DataFrame, pieces: int | None = None
 ) -> DataFrame:
     """One row per pipeline and deployment; a pipeline without any has empty environment."""
     deps = deployments.select(
@@ -86,18 +84,19 @@ def join_deployments(
         F.col("state_name").alias("deployment_state"),
         F.col("status_name").alias("deployment_status"),
     )
-    joined = join_unique(deps, pipelines, RUN_KEY, keep="unique", salt=salt)
+    both = join_pieces(deps, pipelines, RUN_KEY, pieces) if pieces else deps.join(pipelines, RUN_KEY)
+    joined = with_unmatched(both, deps, pipelines, RUN_KEY)
     return joined.fillna(
         "", ["environment_uuid", "environment_name", "deployment_state", "deployment_status"]
     )
 
 
 def new_keys(candidates: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct candidate keys that are not stored yet."""
+    """Distinct candidate keys that are not stored yet. Both sides are reduced to one row a key and
+    task before they are shuffled."""
     keys = list(keys)
     wanted = candidates.select(*keys).distinct()
-    known = stored.select(*keys).join(wanted, keys, "left_semi").distinct()
-    return wanted.join(known, keys, "left_anti")
+    return wanted.join(stored.select(*keys).distinct(), keys, "left_anti")
 
 
 def status_links(statuses: DataFrame) -> DataFrame:
@@ -128,6 +127,8 @@ def step_deployments(
     open_runs = new_keys(pipelines, stored, RUN_KEY)
     wanted = (
         steps.where("deployment_uuid <> ''")
+        .select(*RUN_KEY, "deployment_uuid")
+        .distinct()
         .join(open_runs, RUN_KEY, "left_semi")
         .select("repo", "deployment_uuid")
         .distinct()

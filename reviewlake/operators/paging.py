@@ -1,8 +1,9 @@
 """Numbered pages over a total order.
 
 A page near the front is a top-k: each task keeps its first ``page * size`` rows. A page millions
-of rows in would make that one large group, so there the sorted frame is written once to the
-shared folder, rows are counted per file, and only the files that hold the page are read.
+of rows in would make that one large group, so a caller asks for it with ``deep``: the sorted frame is written
+once to the shared folder, rows are counted per file, and only the files that hold the page are read. Tables
+page narrow keys and look up the rows of the page afterwards.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 
 from reviewlake.session import shared_dir
 
-DEEP_ROWS = 1_000_000
 DEFAULT_PAGE = 1
 DEFAULT_SIZE = 20
 MAX_SIZE = 200
@@ -44,15 +44,15 @@ def paged(
     page: int | None = None,
     size: int | None = None,
     counted: DataFrame | None = None,
-    deep_rows: int = DEEP_ROWS,
+    deep: bool = False,
 ) -> Page:
     """``order`` must be unique. A page past the end is empty. ``counted`` has as many rows as
-    ``df`` and is cheaper to count. A page that starts after ``deep_rows`` rows is read from a
-    written sort, which runs a job right away; all others are lazy.
+    ``df`` and is cheaper to count. With ``deep`` the page is read from a written sort, which runs a
+    job right away; else all is lazy. The rows are the same.
     """
     page, size = clamp_page(page, size)
     first = (page - 1) * size
-    if first >= deep_rows:
+    if deep:
         rows = _from_sorted_files(df, order, first, size)
     else:
         rows = df.orderBy(*order).offset(first).limit(size)

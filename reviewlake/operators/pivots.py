@@ -48,10 +48,15 @@ def _spread(cells: DataFrame, index: str, column: str, value: str, columns) -> D
 
     The cells are already one row per pair, so the pivot moves groups and not source rows.
     Without ``columns`` a job looks up the distinct names first, and Spark refuses to build
-    more than ``spark.sql.pivotMaxValues`` of them; the grouped cells are the way beyond that.
+    more than ``spark.sql.pivotMaxValues`` of them; the grouped cells are the way beyond that. A name
+    that is not among given ``columns`` stops the job: its rows must not vanish.
     """
-    by_index = cells.groupBy(index)
-    pivot = by_index.pivot(column, list(columns)) if columns else by_index.pivot(column)
+    if not columns:
+        return cells.groupBy(index).pivot(column).agg(F.first(value))
+    known = F.col(column).isin(list(columns))
+    unknown = F.raise_error(F.concat(F.lit("no pivot column for "), F.col(column)))
+    checked = cells.withColumn(column, F.when(known, F.col(column)).otherwise(unknown))
+    pivot = checked.groupBy(index).pivot(column, list(columns))
     return pivot.agg(F.first(value))
 
 

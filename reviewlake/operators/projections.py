@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewlake.functions.text import trigger_name
 from reviewlake.functions.times import day_text, seconds_text
-from reviewlake.schemas import RECORDS, conform
+from reviewlake.schemas import RECORD_TEXT, RECORDS, conform
 
 KIND_APPROVAL = "approval"
 KIND_UPDATE = "update"
@@ -26,9 +26,10 @@ TABLE_OF = {
 
 
 def _flat(df: DataFrame, record: str, *columns: Column | str) -> DataFrame:
-    """The raw table's columns plus the record itself as JSON text (unknown fields left out).
-    An ingest sequence ``seq`` rides along where the input has one."""
-    raw = F.to_json(F.struct(*(F.col(n) for n in RECORDS[record].names))).alias("raw_json")
+    """The raw table's columns plus the record itself as JSON text: as it was landed, or made from the
+    declared fields where the input has no text. An ingest sequence ``seq`` rides along where the input has one."""
+    declared = F.to_json(F.struct(*(F.col(n) for n in RECORDS[record].names)))
+    raw = (F.col(RECORD_TEXT) if RECORD_TEXT in df.columns else declared).alias("raw_json")
     seq = [c for c in ("seq",) if c in df.columns]
     rows = df.select(*columns, raw, *seq)
     return conform(rows, TABLE_OF[record], keep=seq)

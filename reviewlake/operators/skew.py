@@ -1,9 +1,8 @@
-"""Joins and groupings that stay even when one key holds a large share of the rows.
+"""Joins of many rows to one for keys that hold a large share of all rows.
 
-A key is hot when it holds more than 1/50,000 of all rows (and at least a million). At most
-50,000 keys can be hot, whatever the size of the data, so the list of hot keys is the one thing
-broadcast here and its size is bounded by construction. Hot keys are cut into pieces of about
-the threshold size; the matching unique rows are repeated once per piece.
+A plain inner or left join with the many rows on its left needs nothing from here: adaptive execution
+splits its large partitions. A caller that knows of keys beyond that cuts every key into a number of pieces it
+names; the plan and the rows do not depend on how large the data are.
 
 The piece of a row is a hash of its content and of the input partition it sits in. It does not
 depend on row order, so a task that runs again after a lost executor puts every row into the
@@ -18,77 +17,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 50_000
-MIN_HOT_ROWS = 1_000_000
-SMALL_INPUT_BYTES = 256 << 20
 
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a frame (file sizes, no job)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def needs_salt(facts: DataFrame, salt: bool | None) -> bool:
-    """A few hundred MB are no trouble even if one key holds most of them."""
-    return estimated_bytes(facts) > SMALL_INPUT_BYTES if salt is None else salt
-
-
-def hot_keys(facts: DataFrame, keys: Sequence[str], min_rows: int | None = None) -> DataFrame:
-    """Hot keys with their number of pieces; never more than ``MAX_HOT_KEYS`` rows."""
-    min_rows = MIN_HOT_ROWS if min_rows is None else min_rows
-    # NULL keys match nothing. The overall count is added up from the same counts, so the key
-    # columns are scanned and shuffled (as partial counts) once.
-    counts = facts.dropna("any", subset=list(keys)).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    share = counts.agg((F.sum("_n") / MAX_HOT_KEYS).alias("s")).scalar()
-    limit = F.greatest(F.coalesce(share, F.lit(0.0)), F.lit(float(min_rows)))
-    pieces = F.ceil(F.col("_n") / limit).cast("int").alias("_pieces")
-    return counts.where(F.col("_n") > limit).select(*keys, pieces)
-
-
-def with_pieces(
-    facts: DataFrame,
-    keys: Sequence[str],
-    salt: bool | None = None,
-    hot: DataFrame | None = None,
+def join_pieces(
+    facts: DataFrame, unique: DataFrame, keys: Sequence[str], pieces: int, how: str = "inner"
 ) -> DataFrame:
-    """Add ``_piece``: 0, or one of the pieces of a hot key."""
-    if not needs_salt(facts, salt):
-        return facts.withColumn("_piece", F.lit(0))
-    hot = hot_keys(facts, keys) if hot is None else hot
-    spread = F.pmod(F.xxhash64(*facts.columns, F.spark_partition_id()), F.col("_pieces"))
-    piece = F.when(F.col("_pieces") > 1, spread.cast("int")).otherwise(0)
-    marked = facts.join(F.broadcast(hot), list(keys), "left")
-    return marked.select(*facts.columns, piece.alias("_piece"))
+    """``facts`` (many rows per key) joined to ``unique`` (one row per key), each key in ``pieces``.
 
+    ``how`` is ``inner`` or ``left``. ``unique`` is repeated once per piece.
+    """
+    spread = F.pmod(F.xxhash64(*facts.columns, F.spark_partition_id()), F.lit(pieces)).cast("int")
+    left = facts.withColumn("_piece", spread)
+    right = unique.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    return left.join(right, [*keys, "_piece"], how).drop("_piece")
 
-def join_unique(
-    facts: DataFrame,
-    unique: DataFrame,
-    keys: Sequence[str],
-    keep: str = "both",
-    salt: bool | None = None,
-    min_rows: int | None = None,
-) -> DataFrame:
-    """Join ``facts`` (many rows per key) to ``unique`` (one row per key).
 
-    ``keep`` names the side whose unmatched rows stay: ``both`` (none, an inner join),
-    ``facts`` or ``unique``. ``salt`` overrides the size test, ``min_rows`` the least size of a
-    hot key.
-    """
+def with_unmatched(
+    joined: DataFrame, facts: DataFrame, unique: DataFrame, keys: Sequence[str]
+) -> DataFrame:
+    """An inner join with the rows of ``unique`` that have no facts. Unlike an outer join with the
+    many rows on its left, both parts can be split."""
     keys = list(keys)
-    how = {"both": "inner", "facts": "left", "unique": "right"}[keep]
-    if not needs_salt(facts, salt):
-        return facts.join(unique, keys, how)
-
-    hot = hot_keys(facts, keys, min_rows)
-    left = with_pieces(facts, keys, True, hot).withColumn("_hit", F.lit(True))
-    marked = unique.join(F.broadcast(hot), keys, "left")
-    last = F.coalesce(F.col("_pieces"), F.lit(1)) - 1
-    right = marked.withColumn("_piece", F.explode(F.sequence(F.lit(0), last)))
-    joined = left.join(right, [*keys, "_piece"], how)
-    if keep == "unique":
-        # A hot key has facts, so its copies without any are pieces that stayed empty.
-        joined = joined.where(F.col("_hit").isNotNull() | F.col("_pieces").isNull())
-    return joined.drop("_piece", "_pieces", "_hit")
+    alone = unique.join(facts.select(*keys).distinct(), keys, "left_anti")
+    return joined.unionByName(alone, allowMissingColumns=True)

@@ -293,8 +293,7 @@ BODIES: dict[str, str] = {
     "CAST(epoch(try_cast(completed_on AS TIMESTAMP)) AS BIGINT) END AS completed_epoch FROM ci",
     "s7_csv_scan": "SELECT * EXCLUDE (repo) FROM csv_rows",
     "k1_upsert": "SELECT repo, pr_id, CASE WHEN state = 'MERGED' THEN title || ' v2' ELSE title "
-    "END AS title, state, author AS author_display_name FROM fx_pull_requests "
-    "WHERE state = 'MERGED' OR created_on < '1996-01-01'",
+    "END AS title, state, author AS author_display_name FROM fx_pull_requests",
     "k1_stream_upsert": "SELECT repo, pr_id, title, state, created_on, updated_on "
     "FROM fx_pull_requests",
     "k2_insert_absent": "SELECT * FROM links EXCEPT SELECT repo, pr_id, "

@@ -73,7 +73,7 @@ def build_pr_report(
     links: DataFrame,
     deployments: DataFrame,
     repos: Sequence[str] | None = None,
-    salt: bool | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """One row per approval or comment of a known pull request."""
     side = report_prs(
@@ -83,14 +83,14 @@ def build_pr_report(
         of_repos(deployments, repos),
     )
     events = report_activity(of_repos(activity, repos))
-    return join_pr_activity(side, events, salt).select(*PR_REPORT_COLUMNS)
+    return join_pr_activity(side, events, pieces).select(*PR_REPORT_COLUMNS)
 
 
 def build_pipeline_report(
     pipelines: DataFrame,
     deployments: DataFrame,
     repos: Sequence[str] | None = None,
-    salt: bool | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """One row per pipeline and deployment, the duration computed once per pipeline."""
     runs = of_repos(pipelines, repos).select(
@@ -110,7 +110,7 @@ def build_pipeline_report(
             "duration_seconds"
         ),
     )
-    joined = join_deployments(runs, of_repos(deployments, repos), salt)
+    joined = join_deployments(runs, of_repos(deployments, repos), pieces)
     return joined.select(*PIPELINE_REPORT_COLUMNS)
 
 

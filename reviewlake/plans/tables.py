@@ -17,7 +17,7 @@ from reviewlake.functions.text import (
 )
 from reviewlake.operators.dedup import dedup_pipelines, dedup_prs, pr_rows
 from reviewlake.operators.filters import pipeline_filter, pr_filter
-from reviewlake.operators.paging import DEEP_ROWS, Page, paged
+from reviewlake.operators.paging import Page, paged
 from reviewlake.params import PipelineParams, PRParams
 
 
@@ -38,14 +38,17 @@ def pr_table(
     page: int | None = None,
     size: int | None = None,
     keys: tuple[str, ...] = ("pr_id",),
-    deep_rows: int = DEEP_ROWS,
+    deep: bool = False,
 ) -> Page:
-    """One page in pull-request id order, equal ids by repository."""
+    """One page in pull-request id order, equal ids by repository.
+
+    The page is found on the distinct keys alone; only its rows, at most 200 keys, are read in full.
+    """
     matching = pr_filter(report, params, bots)
-    ids = matching.select(*keys).distinct()
-    unique = dedup_prs(matching, keys)
-    picked = paged(unique, ["pr_id", "repo"], page, size, ids, deep_rows)
-    return replace(picked, rows=pr_rows(picked.rows))
+    order = [k for k in ("pr_id", "repo") if k in keys]
+    picked = paged(matching.select(*keys).distinct(), order, page, size, deep=deep)
+    held = matching.join(F.broadcast(picked.rows), list(keys), "left_semi")  # of at most 200 keys
+    return replace(picked, rows=pr_rows(dedup_prs(held, keys).orderBy("pr_id", "repo")))
 
 
 def pipeline_table_rows(
@@ -62,11 +65,14 @@ def pipeline_table(
     page: int | None = None,
     size: int | None = None,
 ) -> Page:
-    """One page, newest first."""
+    """One page, newest first. As for pull requests, the page is found on narrow keys: a run's newest time and
+    the least repository that has it."""
     order = [F.col("created_on").desc(), "repo", "pipeline_uuid"]
     matching = pipeline_filter(report, params, bots)
-    ids = matching.select("pipeline_uuid").distinct()
-    return paged(dedup_pipelines(matching), order, page, size, ids)
+    newest = dedup_pipelines(matching.select("pipeline_uuid", "created_on", "repo"))
+    picked = paged(newest, order, page, size)
+    held = matching.join(F.broadcast(picked.rows.select("pipeline_uuid")), "pipeline_uuid", "left_semi")
+    return replace(picked, rows=dedup_pipelines(held).orderBy(*order))
 
 
 def deployments_table(

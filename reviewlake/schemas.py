@@ -82,7 +82,7 @@ SCHEMAS: dict[str, T.StructType] = {
         "pipeline_uuid repo build_number:int run_number:int creator target_ref_type "
         "target_ref_name trigger_name state_name result_name environment_uuid "
         "environment_name deployment_state deployment_status created_on completed_on "
-        "duration_seconds:int"
+        "duration_seconds:long"
     ),
 }
 
@@ -178,10 +178,14 @@ PR_PARENT = "pull_request_id:long"
 PIPELINE_PARENT = "pipeline_uuid"
 
 
-def page_schema(item: T.StructType, parent: str = PR_PARENT) -> T.StructType:
-    """Envelope of one landed page of ``item`` records. Child pages carry their parent's id; the
+#: A landed record as its JSON text, carried until it is stored as ``raw_json``.
+RECORD_TEXT = "record_json"
+
+
+def page_schema(parent: str = PR_PARENT) -> T.StructType:
+    """Envelope of one landed page; its records stay text. Child pages carry their parent's id; the
     repository is a page field or the ``repo=`` folder the page lies in."""
-    return _struct(f"repo next {parent}", values=T.ArrayType(item))
+    return _struct(f"repo next {parent}", values=T.ArrayType(T.StringType()))
 
 
 def _zero(data_type: T.DataType) -> str:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlake.sources.store import spread_by_repo
 
-#: Header of the export -> report column.
+#: Header of the export -> report column.
 EXPORT_COLUMNS = {
     "ID": "pr_id",
     "SrcRepo": "src_repo",
@@ -62,6 +64,8 @@ def export_csv(report: DataFrame, path: str, rows_per_file: int = 500_000) -> No
         .partitionBy("repo")
         .option("header", True)
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("maxRecordsPerFile", rows_per_file)
         .csv(path)
     )
@@ -90,11 +94,21 @@ def parse_csv(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_activity_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All CSV files under ``path`` as one frame."""
+def read_activity_csv(
+    spark: SparkSession, path: str, header: Sequence[str] | None = None
+) -> DataFrame:
+    """All CSV files under ``path`` as one frame.
+
+    Files have the export's header, or ``header`` in its order; files of several layouts are read
+    one layout at a time. A file with another header and a cell that is no number where one belongs
+    stop the job: neither may become missing values unnoticed.
+    """
+    names = [*(EXPORT_COLUMNS if header is None else header), "repo"]
     rows = (
-        spark.read.schema(CSV_SCHEMA)
+        spark.read.schema(T.StructType([CSV_SCHEMA[n] for n in names]))
         .option("header", True)
+        .option("enforceSchema", False)
+        .option("mode", "FAILFAST")
         .option("multiLine", True)
         .option("escape", '"')
         .csv(path)

@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlake.schemas import JSON_OPTIONS, PR_PARENT, page_schema
+from reviewlake.schemas import JSON_OPTIONS, PR_PARENT, RECORD_TEXT, page_schema
 
 
-def explode_pages(pages: DataFrame) -> DataFrame:
-    """One row per record, with the repository and the parent id of its page."""
-    item = pages.schema["values"].dataType.elementType
+def explode_pages(pages: DataFrame, item: T.StructType) -> DataFrame:
+    """One row per record, with the repository and the parent id of its page.
+
+    ``values`` holds the records as JSON text; it comes along whole as ``record_json``, fields outside the
+    declared record included.
+    """
     page = [c for c in pages.columns if c not in ("values", "next")]
-    rows = pages.select(*page, F.explode("values").alias("v"))
-    return rows.select(*page, *(F.col("v")[n].alias(n) for n in item.names))
+    rows = pages.select(*page, F.explode("values").alias(RECORD_TEXT))
+    parsed = rows.withColumn("v", F.from_json(RECORD_TEXT, item, JSON_OPTIONS))
+    return parsed.select(*page, RECORD_TEXT, *(F.col("v")[n].alias(n) for n in item.names))
 
 
 def decode_pages(
@@ -22,9 +26,9 @@ def decode_pages(
 ) -> DataFrame:
     """Pages held as JSON text in ``column``; other columns are kept on every record."""
     keep = [c for c in texts.columns if c != column]
-    page = F.from_json(F.col(column), page_schema(item, parent), JSON_OPTIONS).alias("p")
-    inner = [f"p.{c}" for c in page_schema(item, parent).names if c not in keep]
-    return explode_pages(texts.select(*keep, page).select(*keep, *inner))
+    page = F.from_json(F.col(column), page_schema(parent), JSON_OPTIONS).alias("p")
+    inner = [f"p.{c}" for c in page_schema(parent).names if c not in keep]
+    return explode_pages(texts.select(*keep, page).select(*keep, *inner), item)
 
 
 def read_pages(
@@ -38,5 +42,5 @@ def read_pages(
 
     One page per line keeps the files splittable; ``multi_line`` reads one document per file.
     """
-    reader = spark.read.schema(page_schema(item, parent)).options(**JSON_OPTIONS)
-    return explode_pages(reader.option("multiLine", multi_line).json(path))
+    reader = spark.read.schema(page_schema(parent)).options(**JSON_OPTIONS)
+    return explode_pages(reader.option("multiLine", multi_line).json(path), item)

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlake.operators.skew import with_pieces
-from reviewlake.schemas import ADDED_LATER, JSON_OPTIONS, SCHEMAS
+from reviewlake.schemas import ADDED_LATER, JSON_OPTIONS, RECORD_TEXT, SCHEMAS
 
 
 def of_repos(df: DataFrame, repos: Sequence[str] | None) -> DataFrame:
@@ -33,10 +32,12 @@ def read_table(
 def decode_raw(
     df: DataFrame, record: T.StructType, repos: Sequence[str] | None = None
 ) -> DataFrame:
-    """``repo`` and the record parsed from ``raw_json``; ``pr_id`` comes from its own column."""
+    """``repo`` and the record parsed from ``raw_json``; ``pr_id`` comes from its own column. The text
+    comes along, so what is projected from it again stays whole."""
     keep = [c for c in ("repo", "pr_id") if c in df.columns]
-    rows = of_repos(df, repos).select(*keep, F.from_json("raw_json", record, JSON_OPTIONS).alias("r"))
-    return rows.select(*keep, "r.*")
+    text = F.col("raw_json").alias(RECORD_TEXT)
+    parsed = F.from_json("raw_json", record, JSON_OPTIONS).alias("r")
+    return of_repos(df, repos).select(*keep, text, parsed).select(*keep, RECORD_TEXT, "r.*")
 
 
 def pr_links(df: DataFrame, repos: Sequence[str] | None = None) -> DataFrame:
@@ -45,15 +46,14 @@ def pr_links(df: DataFrame, repos: Sequence[str] | None = None) -> DataFrame:
 
 
 def pr_link_lists(
-    df: DataFrame, repos: Sequence[str] | None = None, salt: bool | None = None
+    df: DataFrame, repos: Sequence[str] | None = None, parts: int = 1
 ) -> DataFrame:
     """Sorted pipeline ids per pull request.
 
-    ``part`` is 0 throughout except for a pull request that holds an outsized share of all
-    links: its list is spread over several rows, so no row and no task takes it whole.
+    With ``parts`` above 1 every list is dealt over that many rows by a hash of the pipeline, so no
+    row takes a very long one whole; ``part`` numbers them. What ``parts`` is, the caller decides, not the data.
     """
-    keys = ["repo", "pr_id"]
-    pieces = with_pieces(pr_links(df, repos), keys, salt)
+    part = F.pmod(F.xxhash64("pipeline_uuid"), F.lit(parts)).cast("int").alias("part")
     ids = F.array_sort(F.collect_list("pipeline_uuid")).alias("pipeline_uuids")
-    return pieces.groupBy(*keys, F.col("_piece").alias("part")).agg(ids)
+    return pr_links(df, repos).groupBy("repo", "pr_id", part).agg(ids)
 

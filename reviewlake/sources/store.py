@@ -28,10 +28,10 @@ def latest_per_key(new: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
 def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """``existing`` with the rows of ``new`` replacing those of the same key.
 
-    The anti join needs only the keys of the batch (repeated keys do no harm): while those are
-    small, the stored table is neither shuffled nor sorted.
+    The anti join needs only the distinct keys of the batch: while those are small, the stored table
+    is neither shuffled nor sorted, and many writes of one key are one row of each task.
     """
-    kept = existing.join(new.select(*keys), list(keys), "left_anti").select(*existing.columns)
+    kept = existing.join(new.select(*keys).distinct(), list(keys), "left_anti").select(*existing.columns)
     return kept.unionByName(latest_per_key(new, keys, seq).select(*existing.columns))
 
 

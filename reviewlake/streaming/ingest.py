@@ -38,9 +38,9 @@ def stream_pages(spark: SparkSession, path: str, record: str, **options) -> Data
     """New page files under ``path`` as a stream of records. ``seq`` is the landing time of the
     page's file: of two pages that hold the same record, the later file wins."""
     options = {**JSON_OPTIONS, **options}
-    reader = spark.readStream.schema(page_schema(RECORDS[record])).options(**options)
+    reader = spark.readStream.schema(page_schema()).options(**options)
     landed = F.col("_metadata.file_modification_time").cast("double").alias("seq")
-    return explode_pages(reader.json(path).select("*", landed))
+    return explode_pages(reader.json(path).select("*", landed), RECORDS[record])
 
 
 def write_batch(table: str, path: str) -> Callable[[DataFrame, int], None]:

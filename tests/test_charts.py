@@ -311,10 +311,10 @@ def test_deep_pages_equal_plain_ones(spark, page):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files
     df = spark.range(0, 1700, 1, 6).selectExpr("id * 7919 % 1700 as id", "cast(id as string) as v")
     plain = paged(df, [F.col("id").desc()], page, 190)
-    deep = paged(df, [F.col("id").desc()], page, 190, deep_rows=0)
+    deep = paged(df, [F.col("id").desc()], page, 190, deep=True)
     assert [tuple(r) for r in deep.rows.collect()] == [tuple(r) for r in plain.rows.collect()]
     assert deep.rows.count() == (180 if page == 9 else 190)
-    assert paged(df, ["id"], 99, 190, deep_rows=0).rows.count() == 0
+    assert paged(df, ["id"], 99, 190, deep=True).rows.count() == 0
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 

@@ -85,7 +85,7 @@ def test_run_month_skips_zero_and_unreadable(spark):
         ("2024-01-01T10:00:00Z", "2024-01-01T10:00:45Z", 0, 45),
         ("2024-01-01T10:00:00+02:00", "2024-01-01T09:00:00Z", 7, 3600),
         ("2024-01-01T10:00:00.9Z", "2024-01-01T10:00:01.1Z", 9, 9),
-        ("0001-01-01T00:00:00Z", "2024-01-01T10:00:00Z", 5, 5),
+        ("1900-01-01T00:00:00Z", "2024-01-01T10:00:00Z", 5, 3913092000),
     ],
 )
 def test_duration(spark, created, completed, build, expected):

@@ -8,7 +8,7 @@ from reviewlake.operators.joins import (
     status_links,
     step_deployments,
 )
-from reviewlake.operators.skew import hot_keys, join_unique, with_pieces
+from reviewlake.operators.skew import join_pieces, with_unmatched
 from reviewlake.plans.reports import build_pipeline_report, build_pr_report
 from reviewlake.sources.raw import pr_link_lists
 
@@ -91,14 +91,14 @@ RUN = {"repo": "r", "pipeline_uuid": "{a}", "created_on": "2024-01-01T10:00:00Z"
        "completed_on": "2024-01-01T10:01:00Z", "build_seconds_used": 5}
 
 
-@pytest.mark.parametrize("salt", [False, True])
-def test_pipeline_report_keeps_runs_without_deployment(rows, salt):
+@pytest.mark.parametrize("pieces", [None, 3])
+def test_pipeline_report_keeps_runs_without_deployment(rows, pieces):
     deps = [
         {"repo": "r", "pipeline_uuid": "{a}", "environment_name": e, "status_name": "SUCCESSFUL"}
         for e in ("Staging", "Production")
     ] + [{"repo": "x", "pipeline_uuid": "{a}", "environment_name": "other"}]
     runs = (RUN, {**RUN, "pipeline_uuid": "{b}", "completed_on": ""})
-    got = build_pipeline_report(rows("pipelines", *runs), rows("deployments", *deps), salt=salt)
+    got = build_pipeline_report(rows("pipelines", *runs), rows("deployments", *deps), pieces=pieces)
     assert sorted(
         (r.pipeline_uuid, r.environment_name, r.deployment_status, r.duration_seconds)
         for r in got.collect()
@@ -113,9 +113,8 @@ def test_pipeline_report_keeps_runs_without_deployment(rows, salt):
 
 
 @pytest.fixture
-def skewed(spark, monkeypatch):
+def skewed(spark):
     """A third of the rows under one key, most of them identical copies."""
-    monkeypatch.setattr("reviewlake.operators.skew.MIN_HOT_ROWS", 50)
     hot = spark.range(0, 1000, 1, 4).selectExpr("'r' as repo", "1L as pr_id", "'same' as v")
     cold = spark.range(0, 2000, 1, 4).selectExpr(
         "'r' as repo", "10 + id % 500 as pr_id", "cast(id as string) as v"
@@ -123,45 +122,38 @@ def skewed(spark, monkeypatch):
     return hot.unionByName(cold)
 
 
-def test_hot_keys_are_found_and_cut(skewed):
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_in_pieces_equals_plain_join(spark, skewed, how):
     keys = ["repo", "pr_id"]
-    (hot,) = hot_keys(skewed, keys).collect()
-    assert (hot.pr_id, hot._pieces) == (1, 20)
-    pieces = with_pieces(skewed, keys, salt=True).groupBy("pr_id", "_piece").count()
-    by_piece = pieces.where("pr_id = 1").collect()
-    # Identical copies spread over the input partitions they come from.
-    assert len(by_piece) > 1 and sum(r["count"] for r in by_piece) == 1000
-    assert pieces.where("pr_id <> 1 and _piece <> 0").count() == 0
+    unique = spark.range(0, 400).selectExpr("'r' as repo", "id as pr_id", "id * 2 as w")
+    plain, cut = skewed.join(unique, keys, how), join_pieces(skewed, unique, keys, 7, how)
+    assert cut.columns == plain.columns
+    assert plain.exceptAll(cut).count() == 0 and cut.exceptAll(plain).count() == 0
 
 
-@pytest.mark.parametrize("keep", ["both", "facts", "unique"])
-def test_salted_join_equals_plain_join(spark, skewed, keep):
-    unique = spark.range(0, 400).selectExpr("'r' as repo", "id as pr_id", "id * 2 as w")
-    plain = join_unique(skewed, unique, ["repo", "pr_id"], keep, salt=False)
-    salted = join_unique(skewed, unique, ["repo", "pr_id"], keep, salt=True)
-    assert salted.columns == plain.columns
-    assert plain.exceptAll(salted).count() == 0 and salted.exceptAll(plain).count() == 0
+def test_unmatched_rows_join_the_inner_ones(spark, skewed):
+    keys = ["repo", "pr_id"]
+    unique = spark.range(0, 700).selectExpr("'r' as repo", "id as pr_id", "id * 2 as w")
+    outer = skewed.join(unique, keys, "right")
+    both = with_unmatched(skewed.join(unique, keys), skewed, unique, keys).select(outer.columns)
+    assert outer.exceptAll(both).count() == 0 and both.exceptAll(outer).count() == 0
 
 
-def test_link_lists_split_a_hot_pull_request(spark, monkeypatch):
-    monkeypatch.setattr("reviewlake.operators.skew.MIN_HOT_ROWS", 100)
+def test_link_lists_in_parts(spark):
     links = spark.range(0, 1000).selectExpr(
         "'r' as repo", "if(id < 600, 1L, id) as pr_id", "concat('{', id, '}') as pipeline_uuid"
     )
-    lists = pr_link_lists(links, salt=True).collect()
-    hot = [r for r in lists if r.pr_id == 1]
-    assert len(hot) > 1 and max(len(r.pipeline_uuids) for r in hot) < 300
+    hot = [r for r in pr_link_lists(links, parts=4).collect() if r.pr_id == 1]
+    assert sorted(r.part for r in hot) == [0, 1, 2, 3] and max(len(r.pipeline_uuids) for r in hot) < 300
     assert sorted(u for r in hot for u in r.pipeline_uuids) == sorted("{%d}" % i for i in range(600))
-    assert all(r.part == 0 for r in lists if r.pr_id != 1)
     plain = pr_link_lists(links).collect()
     assert len(plain) == 401 and all(r.part == 0 for r in plain)
 
 
-def test_report_is_the_same_when_salted(rows, monkeypatch):
-    monkeypatch.setattr("reviewlake.operators.skew.MIN_HOT_ROWS", 3)
+def test_report_is_the_same_in_pieces(rows):
     activity = [{**COMMENT, "comment_content_raw": str(i % 4)} for i in range(30)] + [APPROVAL]
-    plain, salted = (report(rows, activity=activity, salt=s) for s in (False, True))
-    assert sorted(map(str, plain)) == sorted(map(str, salted)) and len(plain) == 31
+    plain, cut = (report(rows, activity=activity, pieces=n) for n in (None, 5))
+    assert sorted(map(str, plain)) == sorted(map(str, cut)) and len(plain) == 31
 
 
 # --- other joins -----------------------------------------------------------------------------
@@ -170,10 +162,9 @@ def test_report_is_the_same_when_salted(rows, monkeypatch):
 def test_shared_pipeline_deployment_lookup(rows):
     links = rows("pr_pipelines", *({"repo": "r", "pr_id": i, "pipeline_uuid": "{a}"} for i in range(5)))
     deps = rows("deployments", {"repo": "r", "pipeline_uuid": "{a}", "environment_name": "P"})
-    for salt in (False, True):
-        got = join_link_deployment(links, deps, salt).collect()
-        assert sorted(r.pr_id for r in got) == [0, 1, 2, 3, 4]
-        assert {r.environment_name for r in got} == {"P"}
+    got = join_link_deployment(links, deps).collect()
+    assert sorted(r.pr_id for r in got) == [0, 1, 2, 3, 4]
+    assert {r.environment_name for r in got} == {"P"}
 
 
 def test_new_keys(spark):
