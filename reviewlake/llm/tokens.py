@@ -20,6 +20,8 @@ UNSAFE_SPACE = r"\x00|(^|[\s\x1c-\x1f\x{85}\p{Z}]) "
 #: Letters of these ranges are letters in every Unicode version.
 WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?%&$#*|]+)")
 REMEMBERED_CHARS = 48
+#: Texts that are encoded joined at a time.
+JOINED = 5_000
 #: Marks of a text's first unit, and of another unit that begins with a NUL.
 FIRST, LATER = "\0F", "\0L"
 
@@ -56,7 +58,7 @@ class UnitEncoder:
     are remembered, at most twice ``limit`` of them; the result does not depend on that.
     """
 
-    def __init__(self, encode_all: Callable[[list[str]], list[np.ndarray]], limit: int = 400_000):
+    def __init__(self, encode_all: Callable[[list[str]], list[np.ndarray]], limit: int = 250_000):
         self.encode_all = encode_all
         self.memory = Memory(limit)
 
@@ -121,12 +123,13 @@ def library_encoder(path: str) -> UnitEncoder:
         """Texts that hold one space, in front, are encoded joined, which costs half as much."""
         joint = [i for i, t in enumerate(texts) if t[:1] == " " and " " not in t[1:] and len(t) > 1 and not (t[1].isspace() or t[-1].isspace())]
         out: list[np.ndarray | None] = [None] * len(texts)
-        if joint:
-            (ids,) = ids_of(["".join(texts[i] for i in joint)])
+        for k in range(0, len(joint), JOINED):
+            some = joint[k : k + JOINED]
+            (ids,) = ids_of(["".join(texts[i] for i in some)])
             pieces = np.split(ids, np.flatnonzero(spaced[ids])[1:])
-            if len(pieces) != len(joint):
+            if len(pieces) != len(some):
                 raise RuntimeError("a joined text was not cut at its spaces")
-            for i, piece in zip(joint, pieces, strict=True):
+            for i, piece in zip(some, pieces, strict=True):
                 out[i] = piece
         alone = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(alone, ids_of([texts[i] for i in alone]), strict=True):
