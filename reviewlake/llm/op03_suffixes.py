@@ -42,8 +42,8 @@ from reviewlake.llm.common import cut, documents, slices
 LENGTH = 100
 SPAN = 64
 GRAM = LENGTH - SPAN + 1
-SLICE_BYTES = 2_000_000
-BLOCK_BYTES = 2 << 20
+SLICE_BYTES = 1_000_000
+BLOCK_BYTES = 1_000_000
 LARGE_BUCKET = 20_000
 #: A perfect difference set: every difference modulo 31 occurs.
 PERIOD = 31

@@ -41,7 +41,7 @@ MAGIC = b"EFTOK001"
 FOOTER = "<QQQqQQ8s"  # documents, tokens, null ids, first id, bytes of both sections, magic
 HEAD = "<QBQQ"  # values, low bits, bytes of the low and of the high part
 SAMPLE = 256
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_500_000
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 
 
