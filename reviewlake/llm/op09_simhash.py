@@ -65,6 +65,11 @@ def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
     return [m - 2**64 if m >= 2**63 else m for m in masks]
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of signed longs; numpy counts those of the absolute value unless they are unsigned."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links within the radius that connect whatever the radius connects among distinct values."""
     links = []
@@ -73,7 +78,7 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
         reached, rest = [rest[0]], rest[1:]
         while reached and len(rest):
             at = reached.pop()
-            near = np.bitwise_count(rest ^ at) <= radius
+            near = differing(rest, at) <= radius
             links += [(int(at), int(x)) for x in rest[near]]
             reached += list(rest[near])
             rest = rest[~near]
@@ -93,7 +98,7 @@ def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
             ends = np.append(starts[1:], len(bucket))
             two = starts[ends - starts == 2]
-            near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
+            near = two[differing(fp[two], fp[two + 1]) <= radius]
             pairs = [np.stack([fp[near], fp[near + 1]], axis=1)]
             for a, b in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
                 if more := forest(fp[a:b], radius):
