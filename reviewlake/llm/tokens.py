@@ -58,7 +58,7 @@ class UnitEncoder:
     are remembered, at most twice ``limit`` of them; the result does not depend on that.
     """
 
-    def __init__(self, encode_all: Callable[[list[str]], list[np.ndarray]], limit: int = 150_000):
+    def __init__(self, encode_all: Callable[[list[str]], list[np.ndarray]], limit: int = 220_000):
         self.encode_all = encode_all
         self.memory = Memory(limit)
 
