@@ -70,8 +70,9 @@ def classify(text: Column, dictionaries: list[tuple[str, bytes]]) -> Column:
         ]
 
         def one(text: str | None) -> tuple[str, float, bool]:
-            data = plain(text).encode()
-            if not languages or not data:
+            words = plain(text)
+            data = words.encode()
+            if not languages or not any(map(str.isalpha, words)):
                 return UNDETERMINED, 0.0, True
             blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
             sizes = [sum(len(c.compress(b)) for b in blocks) for _, c in languages]

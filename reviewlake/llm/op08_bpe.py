@@ -1,7 +1,9 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 Long texts are cut before white space that follows other characters: no match of the split pattern
-spans such a place, so the ids are those of the whole text. Ids are decoded to raw bytes, not to text,
+spans such a place, so the ids are those of the whole text. The separators U+001C to U+001F are no white space
+to that pattern, so no text is cut there. A very long run of white space, on which the library's regular
+expression runs out of stack, is one match but for its last character, and is encoded as that match. Ids are decoded to raw bytes, not to text,
 because a token may hold part of a character.
 
 Null or empty text: no ids. Rows are independent, so repeated rows and ids give repeated results;
@@ -17,6 +19,7 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +32,11 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 #: Texts beyond this are cut before white space behind another character.
 LONG_CHARS = 50_000
-CUT = re.compile(r"(?<=\S)(?=\s)")
+CUT = re.compile(r"(?<=\S)(?=[^\S\x1c-\x1f])")
+
+
+#: Runs of white space that are encoded as one match.
+LONG_SPACE = re.compile(r"[^\S\x1c-\x1f]{10000,}")
 
 
 def chunks(text: str, size: int = LONG_CHARS) -> Iterator[str]:
@@ -44,6 +51,19 @@ def chunks(text: str, size: int = LONG_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
+def encode_text(text: str, encoding: tiktoken.Encoding) -> list[int]:
+    """Ids of a whole text of any length."""
+    ids: list[int] = []
+    start = 0
+    for run in LONG_SPACE.finditer(text):
+        # all of a run is a match at the end of a text, else its last character goes with what follows
+        stop = run.end() - (run.end() < len(text))
+        ids += [i for part in chunks(text[start : run.start()]) for i in encoding.encode_ordinary(part)]
+        ids += encoding._encode_single_piece(text[run.start() : stop])
+        start = stop
+    return ids + [i for part in chunks(text[start:]) for i in encoding.encode_ordinary(part)]
+
+
 def encode_texts(docs: DataFrame, ranks: str = RANKS, text: str = "text", to: str = "ids") -> DataFrame:
     """``docs`` with a column ``to``: the ids of ``text``, an array of int."""
 
@@ -51,7 +71,7 @@ def encode_texts(docs: DataFrame, ranks: str = RANKS, text: str = "text", to: st
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoding = rank_encoding(ranks)
         for batch in batches:
-            yield pd.Series([[i for part in chunks(t or "") for i in encoding.encode_ordinary(part)] for t in batch])
+            yield pd.Series([encode_text(t or "", encoding) for t in batch])
 
     return docs.withColumn(to, encode(F.col(text)))
 

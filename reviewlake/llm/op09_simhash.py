@@ -141,24 +141,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp (long) and component_id, the least doc_id that links reach, for every row of ``docs``."""
+    """doc_id, fp (long), root (one fp of the component) and component_id, the least doc_id that links reach, for every row of ``docs``."""
     rows = cut(docs.select("doc_id", simhash_of("text").alias("fp")), "simhash")
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(least, "root").select("fp", "component_id")
+    classes = placed.join(least, "root").select("fp", "root", "component_id")
     return rows.join(classes, "fp")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: the one with the least doc_id; of repeated ids any one.
+    """``docs`` with one row of each component: the one with the least doc_id, of equal ids the least fingerprint.
 
-    Rows without an id are kept if nothing with an id is near them.
+    Rows without an id count as last, one of each component of such rows stays. Rows with one id and texts that
+    are not near each other all stay. Of rows equal in id and fingerprint any one stays.
     """
-    kept = near_duplicates(docs, radius).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept")
-    return joined.dropDuplicates(["doc_id"])
+    least = near_duplicates(docs, radius).filter("doc_id <=> component_id")
+    kept = least.groupBy("root").agg(F.first("doc_id").alias("_kept"), F.min("fp").alias("_kept_fp")).drop("root")
+    printed = docs.withColumn("_fp", simhash_of("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_fp") == F.col("_kept_fp"))
+    return printed.join(kept, same).dropDuplicates(["doc_id", "_fp"]).select(*docs.columns)
 
 
 def op9_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,6 +136,21 @@ def test_long_texts_are_cut_safely():
     assert [i for p in parts for i in encoding.encode_ordinary(p)] == encoding.encode_ordinary(text)
 
 
+def test_texts_are_not_cut_at_information_separators():
+    text = "!\x1c!" * 20_000 + " a\x1fb" * 10_000
+    encoding = rank_encoding(op08_bpe.RANKS)
+    assert [i for p in op08_bpe.chunks(text, 50) for i in encoding.encode_ordinary(p)] == encoding.encode_ordinary(text)
+
+
+def test_very_long_white_space():
+    encoding = rank_encoding(op08_bpe.RANKS)
+    for space in (" ", "\n", " \n\t"):
+        for text in (space * 12_000, f"a{space * 12_000}", f"{space * 12_000}b c", f"a {space * 11_000}.b{space * 11_000} 1 {space}"):
+            assert op08_bpe.encode_text(text, encoding) == encoding.encode_ordinary(text)
+        text = f"a{space * 700_000}b"
+        assert encoding.decode(op08_bpe.encode_text(text, encoding)) == text
+
+
 def brute_suffixes(rows, length=op03_suffixes.LENGTH):
     """(n_bytes, n_removed, n_spans, kept) of (key, text) rows in order; equal keys are one document."""
     seen, out = {}, {}
@@ -228,6 +243,14 @@ def test_simhash_fingerprints_and_classes(docs):
     assert kept.columns == docs.columns and kept.filter("doc_id in (3, 40)").count() == 1 == kept.filter("doc_id = 5").count()
 
 
+def test_near_duplicates_without_own_ids(spark, prose):
+    far = [t for t in prose if t and len(t.split()) > 60][:4]
+    rows = frame(spark, *far, far[0]).withColumn("doc_id", F.when(F.col("doc_id") > 1, F.lit(7)))
+    # no id: two texts; id 7: two texts and a copy of one without id
+    kept = [(r.doc_id, r.text) for r in op09_simhash.keep_one(rows).collect()]
+    assert sorted(kept, key=str) == sorted([(7, far[0]), (None, far[1]), (7, far[2]), (7, far[3])], key=str)
+
+
 def test_repetition_counts():
     line = "one two three four five six seven eight nine ten eleven"
     n, chars, symbols, lines, repeat, base, *_, kept = op10_repetition.judge(f"{line}\n{line}\n# a|b")
@@ -260,7 +283,7 @@ def test_language_on_held_out_rows(spark):
     got = op02_language.op2_language_by_compression(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
     right = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
     assert right > 0.95
-    odd = frame(spark, None, "", "12 .,", "words of no language")
+    odd = frame(spark, None, "", "12 \u00b2 \u00bd.,", "words of no language")
     dictionaries = op02_language.learn(docs.filter(~held_out(F.col("doc_id"))))
     assert [r.lang_pred for r in op02_language.predict_languages(odd, dictionaries).orderBy("doc_id").collect()][:3] == ["und"] * 3
     assert {r.lang_pred for r in op02_language.predict_languages(odd, []).collect()} == {"und"}
