@@ -18,18 +18,19 @@ from hashlib import sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from reviewlake.llm.common import documents
+from reviewlake.llm.common import documents, slices
 from reviewlake.llm.tokens import rank_encoding
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+SLICE_BYTES = 1_000_000
 #: Texts beyond this are cut before white space behind another character.
 LONG_CHARS = 50_000
 CUT = re.compile(r"(?<=\S)(?=[^\S\x1c-\x1f])")
@@ -71,7 +72,7 @@ def encode_texts(docs: DataFrame, ranks: str = RANKS, text: str = "text", to: st
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoding = rank_encoding(ranks)
         for batch in batches:
-            yield pd.Series([encode_text(t or "", encoding) for t in batch])
+            yield pd.Series([np.array(encode_text(t or "", encoding), dtype=np.int32) for t in batch])
 
     return docs.withColumn(to, encode(F.col(text)))
 
@@ -88,17 +89,26 @@ def decode_ids(tokens: DataFrame, ranks: str = RANKS, ids: str = "ids", to: str
     return tokens.withColumn(to, decode(F.col(ids)))
 
 
-@F.pandas_udf(T.StringType())
-def ids_digest(ids: pd.Series) -> pd.Series:
-    """Lowercase hex sha256 of the decimal ids joined by one space."""
-    return pd.Series([sha256(" ".join(map(str, x.tolist())).encode()).hexdigest() for x in ids])
+def round_trip(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """doc_id with the number of ids of its text and digests of the ids and of the bytes they decode to.
+
+    One pass; a task holds the ids of one text at a time.
+    """
+
+    def there_and_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = rank_encoding(ranks)
+        for batch in slices(batches, 1, SLICE_BYTES):
+            counts, digests, decoded = [], [], []
+            for text in batch.column(1):
+                ids = encode_text(text.as_py() or "", encoding)
+                counts.append(len(ids))
+                digests.append(sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                decoded.append(sha256(encoding.decode_bytes(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names)
+
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    return docs.select("doc_id", "text").mapInArrow(there_and_back, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = encode_texts(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
-    return decode_ids(tokens).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        ids_digest("ids").alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"),
-    )
+    return round_trip(documents(spark, sf_dir))

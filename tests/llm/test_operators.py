@@ -128,6 +128,17 @@ def test_bpe_round_trip(docs):
         assert row.ids == encoding.encode_ordinary(row.text or "") and bytes(row.bytes).decode() == (row.text or "")
 
 
+def test_bpe_digests(docs):
+    encoding = rank_encoding(op08_bpe.RANKS)
+    expected = []
+    for row in docs.collect():
+        ids = encoding.encode_ordinary(row.text or "")
+        digests = [hashlib.sha256(x).hexdigest() for x in (" ".join(map(str, ids)).encode(), (row.text or "").encode())]
+        expected.append((row.doc_id, len(ids), *digests))
+    assert by_row(op08_bpe.round_trip(docs)) == sorted(expected, key=str)
+    assert op08_bpe.round_trip(docs.limit(0)).count() == 0
+
+
 def test_long_texts_are_cut_safely():
     text = "word, 12  \n\n end. " * 40 + "x" * 300 + " tail"
     encoding = rank_encoding(op08_bpe.RANKS)
