@@ -25,6 +25,9 @@ from reviewlake.params import (
 )
 from reviewlake.schemas import ZERO_SECOND
 
+#: Days after it have no coarse upper bound, which lies two days later.
+LAST_DAY = dt.date.max - dt.timedelta(days=2)
+
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -97,9 +100,12 @@ def env_matches(col: Column | str, names: Iterable[str]) -> Column:
 
 
 def _day_bounds(col: str, low: dt.date | None, high: dt.date | None) -> list[Column | None]:
+    """Bounds on the stored text reach the scan. Texts that are no day count as the zero day, so the
+    upper one holds for the text only where a lower bound drops that day."""
     exact = day_or_zero(col)
     from_ = F.lit(low.isoformat()) if low else None
     return [
+        F.col(col) <= F.lit(high.isoformat()) if high and low and low > dt.date.min else None,
         F.col(col) >= from_ if low else None,
         exact >= from_ if low else None,
         exact <= F.lit(high.isoformat()) if high else None,
@@ -149,9 +155,15 @@ def _instant_bounds(params: PipelineParams) -> list[Column | None]:
     parts: list[Column | None] = []
     if params.date_from:
         # The text is in its own offset, less than a day away from UTC.
-        coarse = (params.date_from - dt.timedelta(days=1)).isoformat()
         low = dt.datetime.combine(params.date_from, dt.time())
-        parts += [F.col("created_on") >= F.lit(coarse), ts_between(exact, low)]
+        if params.date_from > dt.date.min:
+            coarse = (params.date_from - dt.timedelta(days=1)).isoformat()
+            parts.append(F.col("created_on") >= F.lit(coarse))
+            # unreadable texts count as the zero time, which the lower bound drops
+            if params.date_to and params.date_to < LAST_DAY:
+                coarse = (params.date_to + dt.timedelta(days=2)).isoformat()
+                parts.append(F.col("created_on") < F.lit(coarse))
+        parts.append(ts_between(exact, low))
     if params.date_to:
         high = dt.datetime.combine(params.date_to, dt.time())
         high += END_OF_DAY if params.date_to_end_of_day else dt.timedelta()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlake.catalog import QUERIES
+from reviewlake.operators.filters import pipeline_filter, pr_filter
 from reviewlake.oracles import ORACLES
 from reviewlake.params import PipelineParams, PRParams
 from reviewlake.plans.charts import pipeline_charts, pr_charts
@@ -42,6 +43,19 @@ def lake(spark, tmp_path_factory):
     return root
 
 
+def test_upper_bounds_reach_the_scan(spark, lake):
+    days = {"date_from": dt.date(2024, 1, 10), "date_to": dt.date(2024, 1, 20)}
+    prs = pr_filter(read_pr_report(spark, str(lake / "pr_report")), PRParams(**days))
+    assert "LessThanOrEqual(updated,2024-01-20)" in plan(prs) and prs.count() == 11
+    runs = pipeline_filter(read_pipeline_report(spark, str(lake / "pipeline_report")), PipelineParams(**days))
+    assert "LessThan(created_on,2024-01-22)" in plan(runs) and runs.count() == 11
+    # a text that is no day is the zero day: kept while nothing bounds it from below
+    odd = read_pr_report(spark, str(lake / "pr_report")).limit(1).withColumn("updated", F.lit("today"))
+    assert pr_filter(odd, PRParams(date_to=dt.date(2024, 1, 20))).count() == 1
+    assert pr_filter(odd, PRParams(date_from=dt.date.min, date_to=dt.date(2024, 1, 20))).count() == 1
+    assert pr_filter(odd, PRParams(**days)).count() == 0
+
+
 def test_date_bounds_reach_the_scan(spark, lake):
     params = PRParams(date_from=dt.date(2024, 1, 10), exclude_users=("a1",))
     text = plan(pr_charts(read_pr_report(spark, str(lake / "pr_report")), params)["summary"])
