@@ -3,6 +3,9 @@
 Tables are parquet partitioned by ``repo``. Every writer overwrites or appends whole
 partitions; files are staged by the tasks and moved into place by the driver's commit, so a
 lost executor only costs the tasks it ran. A rerun of the same batch gives the same table.
+
+An upsert keeps stored rows, so its partitions are first written whole beside the table: if the
+driver dies while they replace the stored ones, the next upsert (or ``finish_upsert``) completes that.
 """
 
 from __future__ import annotations
@@ -62,11 +65,11 @@ def spread_by_repo(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", "repo")
 
 
-def _write(df: DataFrame, path: str, table: str, mode: str) -> None:
+def _write(df: DataFrame, path: str, table: str, mode: str, spread: bool = True) -> None:
     """Files sorted by the column their readers filter on, so that the minimum and maximum kept
     per row group let a date range skip most of a repository."""
     (
-        spread_by_repo(df)
+        (spread_by_repo(df) if spread else df)
         .sortWithinPartitions("repo", *SORTED_BY[table])
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
@@ -94,6 +97,12 @@ def _drop_partitions(spark: SparkSession, path: str, repos: Sequence[str]) -> No
             fs.delete(folder, True)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder, fs = _folder(spark, path)
+    if fs.exists(folder):
+        fs.delete(folder, True)
+
+
 def touched_repos(df: DataFrame) -> list[str]:
     """Repositories a batch writes to: one name each, bounded by the ingest's repository list."""
     return [r.repo for r in df.select("repo").distinct().collect()]
@@ -105,12 +114,28 @@ def _stored(spark: SparkSession, path: str, table: str, repos: Sequence[str]) ->
     return spark.createDataFrame([], SCHEMAS[table])
 
 
+def _pending(path: str) -> str:
+    return f"{path.rstrip('/')}.pending"
+
+
+def finish_upsert(spark: SparkSession, path: str, table: str) -> None:
+    """Put the partitions of an upsert that stand complete beside the table into it, and remove
+    them; partitions that were not written to their end only go. Safe to repeat."""
+    pending = _pending(path)
+    if table_exists(spark, f"{pending}/_SUCCESS"):
+        rows = spark.read.schema(SCHEMAS[table]).parquet(pending)
+        _write(rows, path, table, "overwrite", spread=False)  # files hold few repositories each
+    _remove(spark, pending)
+
+
 def write_upsert(
     spark: SparkSession, new: DataFrame, path: str, table: str, seq: str = "seq"
 ) -> None:
     """Merge a batch into a stored table; only partitions the batch touches are rewritten."""
+    finish_upsert(spark, path, table)
     rows = upsert(_stored(spark, path, table, touched_repos(new)), new, KEYS[table], seq)
-    _write(rows, path, table, "overwrite")
+    _write(rows, _pending(path), table, "error")
+    finish_upsert(spark, path, table)
 
 
 def write_absent(spark: SparkSession, new: DataFrame, path: str, table: str) -> None:
