@@ -13,13 +13,13 @@ def evaluate(spark, values, expr, kind="string"):
 
 
 def test_short_repo(spark):
-    got = evaluate(spark, ["ws/my-repo", "noslash", "", "a/b/c"], text.short_repo)
-    assert got == ["my-repo", "noslash", "", "b/c"]
+    got = evaluate(spark, ["team/search", "alone", "", "one/two/three", "team/"], text.short_repo)
+    assert got == ["search", "alone", "", "two/three", ""]
 
 
 def test_second_part(spark):
-    got = evaluate(spark, ["ws/my-repo", "noslash", "a/b/c", None], text.second_part)
-    assert got == ["my-repo", None, "b", None]
+    got = evaluate(spark, ["team/search", "alone", "one/two/three", None], text.second_part)
+    assert got == ["search", None, "two", None]
 
 
 def test_trigger_name(spark):
