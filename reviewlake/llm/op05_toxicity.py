@@ -34,9 +34,9 @@ from reviewlake.llm.common import documents, fit_logistic, held_out, labelled_sa
 SAMPLE_ROWS = 4_000
 LEAST_PREFIX, MAX_TERM = 4, 24
 MAX_TERMS = 2_000
-#: A term must mark this many different toxic texts, and this share of them.
+#: A term must be in this many different toxic texts, however many there are. Its precision must hold among the texts that have
+#: it, and with one clean text more if both labels had as many texts: else rare words of the toxic texts pass by chance.
 LEAST_DOCUMENTS = 4
-LEAST_SHARE = 0.015
 LEAST_PRECISION = 0.95
 FUZZY_CHARS = 5
 CONTEXT_WORDS = 4
@@ -60,11 +60,15 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
         yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "toxic": [toxic[t] for t in terms], "clean": [clean[t] for t in terms]})
 
     different = sample.select("text", "label").distinct()  # copies are no further evidence
-    needed = max(LEAST_DOCUMENTS, LEAST_SHARE * different.filter("label = 1").count())
+    sizes = {r["label"]: r["count"] for r in different.groupBy("label").count().collect()}
+    toxic_share = F.col("toxic") / sizes.get(1, 1)
+    clean_share = (F.col("clean") + 1) / sizes.get(0, 1)
     counts = different.mapInArrow(count, "term string, toxic long, clean long")
     totals = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     marks = totals.filter(
-        (F.col("toxic") >= needed) & (F.col("toxic") / (F.col("toxic") + F.col("clean")) >= LEAST_PRECISION)
+        (F.col("toxic") >= LEAST_DOCUMENTS)
+        & (F.col("toxic") / (F.col("toxic") + F.col("clean")) >= LEAST_PRECISION)
+        & (toxic_share / (toxic_share + clean_share) >= LEAST_PRECISION)
     )
     # at most MAX_TERMS * 20 rows: a term has fewer than 20 beginnings
     found = {r["term"]: r["toxic"] for r in marks.orderBy(F.desc("toxic"), "term").limit(MAX_TERMS * 20).collect()}

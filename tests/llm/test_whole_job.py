@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from reviewlake.llm import near_copies, op09_simhash
+from reviewlake.llm import near_copies, op05_toxicity, op09_simhash
 from reviewlake.llm.common import ship
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -61,3 +61,15 @@ def test_groups_hold_the_similarity_and_chains():
     sets = [np.arange(a, a + 90, dtype=np.uint64) for a in (0, 10, 20, 31)]  # neighbours: 80 of 100, then 79 of 101
     sets += [np.arange(500, 503, dtype=np.uint64), np.zeros(0, np.uint64)]
     assert near_copies.groups(sets) == [0, 0, 0, 3, 4, 5]
+
+
+def test_rare_terms_beside_a_hot_source_enter_the_lexicon(spark):
+    ship(spark)
+    rows = [(f"you wretch no{i}", 1, 0.2) for i in range(500)] + [(f"eres tontazo nr{i}", 1, 0.2) for i in range(5)]
+    rows += [(f"fine text nr{i}", 0, 0.2) for i in range(2000)]
+    sample = spark.createDataFrame(rows, "text string, label int, rate double")
+    terms = {t for t, _ in op05_toxicity.learn_lexicon(sample)}
+    assert any("tontazo".startswith(t) for t in terms) and "wretch" in terms
+    # as many labels of each kind: five texts may have a word by chance
+    even = sample.filter("label = 1 or text < 'fine text nr145'")
+    assert not any("tontazo".startswith(t) for t, _ in op05_toxicity.learn_lexicon(even))
