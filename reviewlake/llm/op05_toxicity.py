@@ -4,11 +4,12 @@ Lexicon: whole words and stems (word beginnings) that mark toxic training docume
 documents. The trie and the Levenshtein automaton of each distance run as one automaton: a state is the set
 of (trie node, edits so far), and states are built when a word first needs them, so a word costs one step a
 character and most words end after two or three. Stems match exactly; whole words of ``FUZZY_CHARS`` characters or
-more also match with one edit.
+more, also those below a stem, match with one edit too. One edit from a word of ``WEAK_CHARS`` is evidence of its own kind.
+Shorter words are neither learned nor matched, and two swapped letters are two edits.
 
 Context: a match inside quotation marks, or with a word of ``REPORTING`` among the ``CONTEXT_WORDS`` before it, is
-quotation, else abuse. Matches, misspelled matches and quotations are separate inputs of a logistic score,
-learned from the same sample.
+quotation, else abuse. Matches, misspelled matches, quotations and weak matches are separate inputs of a logistic
+score, learned from the same sample.
 
 Training: at most ``SAMPLE_ROWS`` labelled rows of each label, first in the order of a hash of doc_id. Without
 toxic training rows nothing is toxic: all scores are 0.
@@ -39,6 +40,7 @@ MAX_TERMS = 2_000
 LEAST_DOCUMENTS = 4
 LEAST_PRECISION = 0.95
 FUZZY_CHARS = 5
+WEAK_CHARS = 4
 CONTEXT_WORDS = 4
 THRESHOLD = 0.7
 REPORTING = frozenset("said says saying called calling quote quoted quotes word term wrote writes according".split())
@@ -73,12 +75,17 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
     # at most MAX_TERMS * 20 rows: a term has fewer than 20 beginnings
     found = {r["term"]: r["toxic"] for r in marks.orderBy(F.desc("toxic"), "term").limit(MAX_TERMS * 20).collect()}
     lexicon: list[tuple[str, bool]] = []
+    below: list[str] = []  # whole words that a stem matches: their misspellings need them
     stems: set[str] = set()
     for term in sorted(found, key=lambda t: (-found[t], -len(t), t)):
         word = term.rstrip("\0")
-        if any(word[:i] in stems for i in range(LEAST_PREFIX, len(word) + 1)) or len(lexicon) >= MAX_TERMS:
-            continue
         whole = term.endswith("\0")
+        if any(word[:i] in stems for i in range(LEAST_PREFIX, len(word) + 1)):
+            if whole and len(below) < MAX_TERMS:
+                below.append(word)
+            continue
+        if len(lexicon) >= MAX_TERMS:
+            continue
         if not whole:
             # a stem only if no single word or longer stem accounts for it
             longer = [n for t, n in found.items() if t != term and t.startswith(term)]
@@ -86,7 +93,7 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
                 continue
             stems.add(term)
         lexicon.append((word, not whole))
-    return [(t, stem) for t, stem in lexicon if stem or not any(t[:i] in stems for i in range(LEAST_PREFIX, len(t) + 1))]
+    return lexicon + [(word, False) for word in below]
 
 
 class LexiconAutomaton:
@@ -96,6 +103,7 @@ class LexiconAutomaton:
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[int] = [0]  # 1: a whole word ends here, 2: a stem
         self.fuzzy: list[bool] = [False]  # a long enough whole word ends here or below
+        self.near: list[int] = [0]  # the kind of a whole word that ends here with one edit
         for term, stem in lexicon:
             at = 0
             for c in term:
@@ -104,10 +112,13 @@ class LexiconAutomaton:
                     self.children.append({})
                     self.ends.append(0)
                     self.fuzzy.append(False)
+                    self.near.append(0)
                 at = self.children[at][c]
-                if not stem and len(term) >= FUZZY_CHARS:
+                if not stem and len(term) >= WEAK_CHARS:
                     self.fuzzy[at] = True
             self.ends[at] |= 2 if stem else 1
+            if not stem and len(term) >= WEAK_CHARS:
+                self.near[at] = 2 if len(term) >= FUZZY_CHARS else 3
         self.states: list[frozenset] = []
         self.numbers: dict[frozenset, int] = {}
         self.steps: list[dict[str, int]] = []
@@ -123,9 +134,9 @@ class LexiconAutomaton:
             self.states.append(key)
             self.steps.append({})
             exact = any(e == 0 and self.ends[n] & 1 for n, e in key)
-            near = any(e == 1 and self.ends[n] & 1 and self.fuzzy[n] for n, e in key)
+            near = min((self.near[n] for n, e in key if e == 1 and self.near[n]), default=0)
             stem = any(e == 0 and self.ends[n] & 2 for n, e in key)
-            self.verdicts.append((1 if exact else 2 if near else 0, stem))
+            self.verdicts.append((1 if exact else near, stem))
         return self.numbers[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -143,7 +154,7 @@ class LexiconAutomaton:
         return to
 
     def match(self, word: str) -> int:
-        """0: none, 1: a term, 2: a misspelled term."""
+        """0: none, 1: a term, 2: a misspelled term, 3: a word one edit from a short term."""
         state = self.start
         for c in word:
             to = self.steps[state].get(c)
@@ -157,15 +168,22 @@ class LexiconAutomaton:
 
 def evidence(text: str | None, automaton: LexiconAutomaton) -> list[float]:
     """Logarithmic counts of abusive, misspelled and quoted matches."""
+    return inputs(text, automaton)[:3]
+
+
+def inputs(text: str | None, automaton: LexiconAutomaton) -> list[float]:
+    """Logarithmic counts of abusive, misspelled, quoted and weak matches; weak ones are not quotations."""
     text = (text or "").lower()
     hits = {w: kind for w in set(WORD.findall(text)) if len(w) >= LEAST_PREFIX and (kind := automaton.match(w))}
     if not hits:
-        return [0.0, 0.0, 0.0]
-    counts = [0, 0, 0]
+        return [0.0, 0.0, 0.0, 0.0]
+    counts = [0, 0, 0, 0]
     before: list[str] = []
     for m in WORD.finditer(text):
         word = m[0]
-        if word in hits:
+        if hits.get(word) == 3:
+            counts[3] += 1
+        elif word in hits:
             quoted = text[m.start() - 1 : m.start()] in OPENING and text[m.end() : m.end() + 1] in CLOSING and m.start() and m.end() < len(text)
             if quoted or not REPORTING.isdisjoint(before[-CONTEXT_WORDS:]):
                 counts[2] += 1
@@ -185,17 +203,20 @@ def learn(sample: DataFrame) -> dict:
     def featured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton = LexiconAutomaton(lexicon)
         for batch in batches:
-            yield pd.Series([evidence(t, automaton) for t in batch])
+            yield pd.Series([inputs(t, automaton) for t in batch])
 
     # equal evidence is one row
     rows = sample.groupBy(featured("text").alias("x"), "label").count().toPandas()
     if not lexicon or rows["label"].nunique() < 2:
-        return {"lexicon": [], "weights": np.array([-30.0, 0, 0, 0])}
+        return {"lexicon": [], "weights": np.array([-30.0, 0, 0, 0, 0])}
     x = np.column_stack([np.ones(len(rows)), np.stack(rows["x"].to_numpy())])
     order = np.lexsort(x.T)
     n = rows["count"].to_numpy()[order]
     x, y = np.repeat(x[order], n, axis=0), np.repeat(rows["label"].to_numpy()[order], n)
-    return {"lexicon": lexicon, "weights": fit_logistic(x, y.astype(float), l2=0.05)}
+    weights = fit_logistic(x, y.astype(float), l2=0.05)
+    if weights[-1] < 0:  # a weak match never speaks for a text
+        weights = np.append(fit_logistic(x[:, :-1], y.astype(float), l2=0.05), 0.0)
+    return {"lexicon": lexicon, "weights": weights}
 
 
 def score(text: Column, model: dict) -> Column:
@@ -203,7 +224,7 @@ def score(text: Column, model: dict) -> Column:
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton = LexiconAutomaton(model["lexicon"])
         for batch in batches:
-            x = np.array([evidence(t, automaton) for t in batch]).reshape(-1, 3)
+            x = np.array([inputs(t, automaton) for t in batch]).reshape(-1, 4)
             yield pd.Series(1 / (1 + np.exp(-(model["weights"][0] + x @ model["weights"][1:]))))
 
     return scored(text)

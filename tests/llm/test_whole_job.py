@@ -73,3 +73,18 @@ def test_rare_terms_beside_a_hot_source_enter_the_lexicon(spark):
     # as many labels of each kind: five texts may have a word by chance
     even = sample.filter("label = 1 or text < 'fine text nr145'")
     assert not any("tontazo".startswith(t) for t, _ in op05_toxicity.learn_lexicon(even))
+
+
+def test_inflected_and_short_terms_match_with_an_edit(spark):
+    ship(spark)
+    rows = [(f"you {w} no{i}", 1, 0.5) for w in ("grobian", "grobians", "scum") for i in range(40)]
+    rows += [(f"fine text nr{i}", 0, 0.5) for i in range(200)]
+    sample = spark.createDataFrame(rows, "text string, label int, rate double")
+    automaton = op05_toxicity.LexiconAutomaton(op05_toxicity.learn_lexicon(sample))
+    assert [automaton.match(w) for w in ("grobian", "grobians", "scum")] == [1, 1, 1]
+    assert [automaton.match(w) for w in ("grobixn", "grxbians", "scvm", "scvmm")] == [2, 2, 3, 0]
+    weak = op05_toxicity.inputs("you scvm", automaton)
+    assert weak[:3] == [0.0, 0.0, 0.0] and weak[3] > 0
+    assert op05_toxicity.learn(sample)["weights"][4] >= 0
+    both = op05_toxicity.LexiconAutomaton([("abcd", False), ("abcde", False)])
+    assert both.match("abxd") == 3 and both.match("abxde") == 2
