@@ -1,7 +1,7 @@
 """Registered queries of the operators and of the pipeline, and their check SQL.
 
-No operator of this list can be written in the check's SQL: tokenizers, XXH64, zstandard, learned models and
-byte-level suffixes are not in it. Their results are tested against brute force and exact round trips.
+Only the divergence audit can be written in the check's SQL: tokenizers, XXH64, zstandard, learned models, CRC32 and
+byte-level suffixes are not in it. The others are tested against brute force and exact round trips.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from reviewlake.llm.op07_parsing import op7_locally_consistent_parsing
 from reviewlake.llm.op08_bpe import op8_bpe_round_trip
 from reviewlake.llm.op09_simhash import op9_covering_simhash
 from reviewlake.llm.op10_repetition import op10_repetition_rules
+from reviewlake.llm.op12_divergence import SQL as OP12_SQL
+from reviewlake.llm.op12_divergence import op12_source_divergence
 from reviewlake.llm.op13_conversations import op13_conversation_repair
 
 QUERIES = {
@@ -31,8 +33,9 @@ QUERIES = {
         op8_bpe_round_trip,
         op9_covering_simhash,
         op10_repetition_rules,
+        op12_source_divergence,
         op13_conversation_repair,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_source_divergence": OP12_SQL}
