@@ -6,7 +6,7 @@ terms) and against the language (the terms it uses more).
 
 Index: a task reads documents once and counts postings (language, term, source) in memory. When they reach
 MAX_POSTINGS it spills a run: its postings in term order, cut into blocks by hash shard, and starts anew. Spark's
-shuffle brings a shard's blocks together, ordered by their first term; a heap merges them and opens a block
+shuffle brings a shard's blocks together, ordered by their first term; a heap merges their terms and opens a block
 only when the merge reaches its first term, so a task holds one open block of a run at a time. What leaves a
 shard are whole frequencies: all sources of a term, or nothing where too few documents have it.
 
@@ -28,7 +28,7 @@ import heapq
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ MIN_DOCS = 30
 TOP_TERMS = 50
 SMOOTH = 5
 UNIT = 1_000_000_000
-MAX_POSTINGS = 300_000
+MAX_POSTINGS = 600_000
 BLOCK = 512
 SLICE = 4 << 20
 MAX_PAIRS = 500_000
@@ -49,11 +49,10 @@ MAX_PAIRS = 500_000
 #: Bytes of terms map to themselves or lower case, all others to a space.
 LETTERS = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-BLOCKS = "shard int, low_lang string, low_term binary, langs array<string>, terms array<binary>, sources array<string>, counts array<long>, docs array<long>"
-BLOCK_SCHEMA = pa.schema(
-    [("shard", pa.int32()), ("low_lang", pa.string()), ("low_term", pa.binary())]
-    + [(n, pa.list_(t)) for n, t in (("langs", pa.string()), ("terms", pa.binary()), ("sources", pa.string()), ("counts", pa.int64()), ("docs", pa.int64()))]
-)
+#: A block: terms of one shard with their document counts; the postings of term i are starts[i] to starts[i + 1].
+BLOCKS = "shard int, low binary, keys array<binary>, docs array<long>, starts array<int>, names array<string>, sources array<int>, counts array<long>"
+BLOCK_LISTS = {"keys": pa.binary(), "docs": pa.int64(), "starts": pa.int32(), "names": pa.string(), "sources": pa.int32(), "counts": pa.int64()}
+BLOCK_SCHEMA = pa.schema([("shard", pa.int32()), ("low", pa.binary())] + [(n, pa.list_(t)) for n, t in BLOCK_LISTS.items()])
 FREQUENCIES = "lang string, term string, source string, count long, lang_count long, first boolean"
 FREQUENCY_SCHEMA = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("count", pa.int64()), ("lang_count", pa.int64()), ("first", pa.bool_())])
 
@@ -69,119 +68,162 @@ def words(text: bytes) -> Iterator[list[bytes]]:
         start = stop
 
 
+def key_of(lang: str, term: bytes) -> bytes:
+    """Language and term as one sort key, told apart by a length in front."""
+    name = lang.encode()
+    return len(name).to_bytes(4, "big") + name + term
+
+
+def parts_of(key: bytes) -> tuple[str, str]:
+    at = 4 + int.from_bytes(key[:4], "big")
+    return key[4:at].decode(), key[at:].decode()
+
+
 class Postings:
-    """Counts of terms and of documents with them, by (language, source)."""
+    """Counts of terms and of documents with them, by language and source."""
 
     def __init__(self):
-        self.counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        self.docs: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        self.counts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
+        self.docs: dict[str, Counter] = defaultdict(Counter)
+        self.size = 0
 
     def add(self, lang: str, source: str, text: bytes) -> None:
-        counts, found = self.counts[lang, source], set()
+        counts, found = self.counts[lang][source], set()
+        self.size -= len(counts)
         for some in words(text):
             counts.update(some)
             found.update(some)
-        self.docs[lang, source].update(found)
-
-    def __len__(self) -> int:
-        return sum(map(len, self.docs.values()))
-
-    def run(self, shards: int) -> Iterator[dict]:
-        """Blocks of the postings, each of one shard and in the order of (language, term, source)."""
-        dealt = defaultdict(list)
-        for (lang, source), counts in self.counts.items():
-            docs = self.docs[lang, source]
-            for term, count in counts.items():
-                if term:  # what split() leaves between separators
-                    dealt[zlib.crc32(term) % shards].append((lang, term, source, count, docs[term]))
-        for shard, postings in dealt.items():
-            postings.sort()
-            for start in range(0, len(postings), BLOCK):
-                columns = zip(*postings[start : start + BLOCK], strict=True)
-                lists = dict(zip(("langs", "terms", "sources", "counts", "docs"), map(list, columns), strict=True))
-                yield {"shard": shard, "low_lang": postings[start][0], "low_term": postings[start][1]} | lists
+        self.size += len(counts)
+        self.docs[lang].update(found)
+
+    def run(self, shards: int) -> Iterator[pa.RecordBatch]:
+        """Blocks of the postings, each of one shard and in the order of its keys."""
+        for lang, by_source in self.counts.items():
+            docs = self.docs[lang]
+            docs.pop(b"", None)  # what split() leaves between separators
+            terms = sorted(docs)
+            number = {t: i for i, t in enumerate(terms)}
+            of_term, of_source, counts = [], [], []
+            for i, found in enumerate(by_source.values()):
+                found.pop(b"", None)
+                of_term.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
+                of_source.append(np.full(len(found), i, np.int32))
+                counts.append(np.fromiter(found.values(), np.int64, len(found)))
+            of_term, of_source, counts = map(np.concatenate, (of_term, of_source, counts))
+            order = np.argsort(of_term, kind="stable")
+            of_source, counts = of_source[order], counts[order]
+            bounds = np.searchsorted(of_term[order], np.arange(len(terms) + 1))
+            shard = np.fromiter((zlib.crc32(t) % shards for t in terms), np.int64, len(terms))
+            names, rows = list(by_source), []
+            for own in np.split(by_shard := np.argsort(shard, kind="stable"), np.flatnonzero(np.diff(shard[by_shard])) + 1):
+                for start in range(0, len(own), BLOCK):
+                    chosen = own[start : start + BLOCK]
+                    lengths = bounds[chosen + 1] - bounds[chosen]
+                    starts = np.concatenate([[0], np.cumsum(lengths)])
+                    at = np.arange(starts[-1]) + np.repeat(bounds[chosen] - starts[:-1], lengths)
+                    keys = [key_of(lang, terms[i]) for i in chosen.tolist()]
+                    own_docs = np.fromiter((docs[terms[i]] for i in chosen.tolist()), np.int64, len(chosen))
+                    rows.append((int(shard[chosen[0]]), keys[0], keys, own_docs, starts, names, of_source[at], counts[at]))
+                    if len(rows) == 64:
+                        yield block_batch(rows)
+                        rows = []
+            if rows:
+                yield block_batch(rows)
+
+
+def block_batch(rows: list[tuple]) -> pa.RecordBatch:
+    shards, lows, *lists = zip(*rows, strict=True)
+    columns = [pa.array(shards, pa.int32()), pa.array(lows, pa.binary())]
+    for values, kind in zip(lists, BLOCK_LISTS.values(), strict=True):
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]), pa.int32())
+        flat = np.concatenate(values) if isinstance(values[0], np.ndarray) else [x for v in values for x in v]
+        columns.append(pa.ListArray.from_arrays(ends, pa.array(flat, kind)))
+    return pa.RecordBatch.from_arrays(columns, schema=BLOCK_SCHEMA)
 
 
 def indexer(shards: int):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Postings()
-
-        def spill() -> Iterator[pa.RecordBatch]:
-            blocks = []
-            for block in held.run(shards):
-                blocks.append(block)
-                if len(blocks) == 64:
-                    yield pa.RecordBatch.from_pylist(blocks, BLOCK_SCHEMA)
-                    blocks = []
-            if blocks:
-                yield pa.RecordBatch.from_pylist(blocks, BLOCK_SCHEMA)
-
         for batch in batches:
             for text, lang, source in zip(*(batch.column(i) for i in range(3)), strict=True):
                 held.add(lang.as_py(), source.as_py(), text.as_py())
-                if len(held) >= MAX_POSTINGS:
-                    yield from spill()
+                if held.size >= MAX_POSTINGS:
+                    yield from held.run(shards)
                     held = Postings()
-        yield from spill()
+        yield from held.run(shards)
+        del held
         give_back()
 
     return index
 
 
-def heap_merge(blocks: Iterator[dict]) -> Iterator[tuple[str, bytes, str, int, int]]:
-    """Postings of one shard in order; ``blocks`` come in the order of their first terms."""
-    heap: list[tuple] = []
-
-    def push(number: int, postings: Iterator[tuple]) -> None:
-        posting = next(postings, None)
-        if posting is not None:
-            heapq.heappush(heap, (posting[:3], number, posting, postings))
-
-    def pop() -> tuple:
-        _, number, posting, postings = heap[0]
-        following = next(postings, None)
-        if following is None:
-            heapq.heappop(heap)
-        else:
-            heapq.heapreplace(heap, (following[:3], number, following, postings))
-        return posting
-
-    for number, block in enumerate(blocks):
-        low = (block["low_lang"], block["low_term"])
-        while heap and heap[0][0][:2] < low:
-            yield pop()
-        push(number, zip(*(block[c] for c in ("langs", "terms", "sources", "counts", "docs")), strict=True))
-    while heap:
-        yield pop()
+class Block:
+    """A run's open block and the place the merge has reached in it."""
+
+    def __init__(self, row: dict[str, pa.Scalar], number: dict[str, int]):
+        self.keys, self.docs = row["keys"].as_py(), row["docs"].as_py()
+        self.starts, self.counts = (row[c].values.to_numpy() for c in ("starts", "counts"))
+        names = np.array([number.setdefault(n, len(number)) for n in row["names"].as_py()])
+        self.sources = names[row["sources"].values.to_numpy()]
+        self.at = 0
+
+    def postings(self) -> tuple[np.ndarray, np.ndarray]:
+        here = slice(self.starts[self.at], self.starts[self.at + 1])
+        return self.sources[here], self.counts[here]
+
+
+def heap_merge(rows: Iterator[dict[str, pa.Scalar]], number: dict[str, int], min_docs: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """(key, sources, counts) of the kept terms of one shard, in order; blocks come in the order of their first keys.
+
+    Sources are numbers of ``number``, which the merge extends; a source may come several times.
+    """
+    heap: list[tuple[bytes, int, Block]] = []
+    opened, row = 0, next(rows, None)
+    while heap or row is not None:
+        while row is not None and (not heap or row["low"].as_py() <= heap[0][0]):
+            block = Block(row, number)
+            heapq.heappush(heap, (block.keys[0], opened, block))
+            opened, row = opened + 1, next(rows, None)
+        key, docs, found = heap[0][0], 0, []
+        while heap and heap[0][0] == key:
+            _, i, block = heap[0]
+            docs += block.docs[block.at]
+            found.append(block.postings())
+            block.at += 1
+            if block.at < len(block.keys):
+                heapq.heapreplace(heap, (block.keys[block.at], i, block))
+            else:
+                heapq.heappop(heap)
+        if docs >= min_docs:
+            yield key, np.concatenate([s for s, _ in found]), np.concatenate([c for _, c in found])
 
 
 def merger(min_docs: int):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in batch.to_pylist())
-
-        def kept() -> Iterator[dict]:
-            for _, blocks in groupby(rows, key=lambda b: b["shard"]):
-                for (lang, term), postings in groupby(heap_merge(blocks), key=lambda p: p[:2]):
-                    counts, docs = [], 0
-                    for _, _, source, count, some in postings:
-                        docs += some
-                        if counts and counts[-1][0] == source:
-                            counts[-1][1] += count
-                        else:
-                            counts.append([source, count])
-                    if docs >= min_docs:
-                        total = sum(c for _, c in counts)
-                        for i, (source, count) in enumerate(counts):
-                            yield {"lang": lang, "term": term.decode(), "source": source, "count": count, "lang_count": total, "first": i == 0}
-
-        held = []
-        for row in kept():
-            held.append(row)
-            if len(held) == 8192:
-                yield pa.RecordBatch.from_pylist(held, FREQUENCY_SCHEMA)
-                held = []
+        rows = (dict(zip(BLOCK_SCHEMA.names, row, strict=True)) for batch in batches for row in zip(*batch.columns, strict=True))
+        held, size = [], 0
+
+        def table() -> pa.RecordBatch:
+            columns = [pa.array(c, f.type) for c, f in zip((list(chain(*x)) for x in zip(*held, strict=True)), FREQUENCY_SCHEMA, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, schema=FREQUENCY_SCHEMA)
+
+        for _, blocks in groupby(rows, key=lambda r: r["shard"].as_py()):
+            number: dict[str, int] = {}
+            names: list[str] = []
+            for key, sources, counts in heap_merge(blocks, number, min_docs):
+                names += list(number)[len(names) :] if len(number) > len(names) else []
+                sums = np.zeros(len(names), np.int64)
+                np.add.at(sums, sources, counts)
+                some = np.flatnonzero(sums).tolist()
+                lang, term = parts_of(key)
+                n = len(some)
+                held.append(([lang] * n, [term] * n, [names[i] for i in some], sums[some].tolist(), [int(sums.sum())] * n, [True] + [False] * (n - 1)))
+                size += n
+                if size >= 8192:
+                    yield table()
+                    held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_pylist(held, FREQUENCY_SCHEMA)
+            yield table()
 
     return merge
 
@@ -191,7 +233,7 @@ def frequencies(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     read = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")))
     blocks = read.mapInArrow(indexer(shards), BLOCKS).repartition("shard")
-    return blocks.sortWithinPartitions("shard", "low_lang", "low_term").mapInArrow(merger(min_docs), FREQUENCIES)
+    return blocks.sortWithinPartitions("shard", "low").mapInArrow(merger(min_docs), FREQUENCIES)
 
 
 def probability(count: Column | str, total: str, terms: str) -> Column:

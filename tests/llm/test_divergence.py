@@ -55,12 +55,13 @@ def test_many_runs_and_small_blocks_give_the_same(spark, table, monkeypatch):
         monkeypatch.setattr(op12, name, value)
     index = op12.indexer(5)
     batch = frame(spark, table).selectExpr("cast(coalesce(text, '') as binary) text", "coalesce(lang, '') lang", "coalesce(source, '') source").toArrow()
-    blocks = [b for some in index(iter(batch.to_batches())) for b in some.to_pylist()]
-    assert len({id(b) for b in blocks}) > 100 and max(len(b["terms"]) for b in blocks) == 3
-    for shard in range(5):  # the heap's order is that of all postings
-        own = sorted((b for b in blocks if b["shard"] == shard), key=lambda b: (b["low_lang"], b["low_term"]))
-        merged = [p[:3] for p in op12.heap_merge(iter(own))]
-        assert merged == sorted(merged) and len(merged) == sum(len(b["terms"]) for b in own)
+    blocks = [b for some in index(iter(batch.to_batches())) for b in zip(*some.columns, strict=True)]
+    blocks = [dict(zip(op12.BLOCK_SCHEMA.names, b, strict=True)) for b in blocks]
+    assert len(blocks) > 100 and max(len(b["keys"]) for b in blocks) == 3
+    for shard in range(5):  # the heap's order is that of all keys
+        own = sorted((b for b in blocks if b["shard"].as_py() == shard), key=lambda b: b["low"].as_py())
+        merged = [key for key, _, _ in op12.heap_merge(iter(own), {}, 0)]
+        assert merged == sorted({k for b in own for k in b["keys"].as_py()})
     assert got(op12.audit(frame(spark, table), 5)) == want
 
 
