@@ -16,6 +16,7 @@ from reviewlake.llm.op07_parsing import op7_locally_consistent_parsing
 from reviewlake.llm.op08_bpe import op8_bpe_round_trip
 from reviewlake.llm.op09_simhash import op9_covering_simhash
 from reviewlake.llm.op10_repetition import op10_repetition_rules
+from reviewlake.llm.op11_wrappers import op11_wrapper_extraction
 from reviewlake.llm.op12_divergence import SQL as OP12_SQL
 from reviewlake.llm.op12_divergence import op12_source_divergence
 from reviewlake.llm.op13_conversations import op13_conversation_repair
@@ -33,6 +34,7 @@ QUERIES = {
         op8_bpe_round_trip,
         op9_covering_simhash,
         op10_repetition_rules,
+        op11_wrapper_extraction,
         op12_source_divergence,
         op13_conversation_repair,
     )

@@ -1,0 +1,160 @@
+"""Wrapper inference and main texts: given pages against plain slicing of their article, own layouts, odd pages."""
+
+import html
+import json
+import random
+import re
+
+import pytest
+
+from reviewlake.llm import op11_wrappers as op11
+from reviewlake.llm.common import ship
+
+SCHEMA = "page_id long, url string, html string, text string, n_chars string, host string, plan string"
+
+
+def frame(spark, pages, partitions=3):
+    ship(spark)
+    return spark.createDataFrame([(i, u, h, "t", "n", "h", "p") for i, u, h in pages], SCHEMA).repartition(partitions)
+
+
+def got(df):
+    return {r.page_id: r.text for r in df.collect()}
+
+
+def sliced(page):
+    """The article of a given page by plain cuts: all of them have one layout."""
+    body = re.search("<article>(.*?)(?:</article>|<footer>)", page, re.S).group(1)
+    parts = re.split(r"</?(?:p|h1|article|ul|ol|li|div|h2|blockquote)(?: [^>]*)?>", body)
+    return "\n".join(x for x in (" ".join(html.unescape(re.sub("<[^>]*>", " " if "<br" in p else "", p)).split()) for p in parts) if x)
+
+
+def test_given_pages(spark):
+    path = "/root/testdata/sf0.01"
+    found = op11.op11_wrapper_extraction(spark, path)
+    pages = spark.read.parquet(f"{path}/pages.parquet").collect()
+    assert found.columns == ["page_id", "url", "text", "n_chars"]
+    assert got(found) == {r.page_id: sliced(r.html) for r in pages}
+    assert all(r.n_chars == len(r.text) for r in found.collect())
+
+
+WORDS = "river stone cloud winter garden letter bridge window market forest singer captain é—ü".split()
+
+
+def layouts():
+    """name: function of (random, title, paragraphs, comments) that gives a page; the text is title and paragraphs."""
+
+    def semantic(rng, title, paragraphs, comments):
+        body = "".join(f"<p class='par-{rng.randrange(99)}'>{x}" for x in paragraphs[:-1]) + f"<blockquote>{paragraphs[-1]}</blockquote>"
+        notes = "".join(f"<li><article class=comment><p>{c}</p></article></li>" for c in comments)
+        return f"""<!doctype html><HTML><head><title>{title}</title><script>if (a < b) document.write("<p>no</p>")</script></head><body class="has-sidebar">
+        <header><h1>Site</h1><nav><a href=/>Home</a></nav></header><div class="cookie-notice"><p>We use cookies</p></div>
+        <main><article id=post-{rng.randrange(999)}><header><h1>{title}</h1><p>By someone</p></header>{body}
+        <form action=/go><input name=x><p>Stay informed</p></form><aside><p>See too</p></aside></article>
+        <section id="comments"><h2>Comments</h2><ol>{notes}</ol></section></main><div class=sidebar><ul><li>One<li>Two</ul></div><footer><p>(c) {rng.random()}</p></footer>"""
+
+    def named(rng, title, paragraphs, comments):
+        notes = "".join(f'<div class="comment"><p>{c}</p></div>' for c in comments)
+        extra = f"<div class='promo'><p>Buy {rng.random()}</p></div>" if rng.random() < 0.5 else ""
+        body = "".join(f"<P>{x}</P>" for x in paragraphs)
+        return f"""<body><div id="page"><div class="top-nav"><ul><li><a href="/a">A</a></li></ul></div>{extra}<div class="post-content"><h1>{title}</h1>{body}
+        <div class="share-buttons"><a href="#">Send</a></div></div><div id="respond">{notes}<textarea>write</textarea></div><div class="copyright">All ours</div></div></body>"""
+
+    def plain(rng, title, paragraphs, comments):
+        body = "".join(f"<div>{x}</div>" for x in paragraphs)
+        menu = "".join(f'<td><a href="/{w}">{w}</a></td>' for w in ("news", "sports", "weather"))
+        return f"""<table><tr>{menu}</tr></table><div><div><b>Welcome to our paper of record</b></div></div>
+        <div class=x7><h1>{title}</h1>{body}</div><div class=x9><p>Printed by us, all rights with the authors of the texts</p></div>"""
+
+    return {"semantic": semantic, "named": named, "plain": plain}
+
+
+def made(seed=1, n=30):
+    rng = random.Random(seed)
+    pages, want = [], {}
+    for host, layout in layouts().items():
+        for _ in range(n):
+            sentence = lambda k: " ".join(rng.choice(WORDS) for _ in range(k))
+            title, paragraphs = sentence(6), [sentence(rng.randrange(12, 40)) for _ in range(rng.randrange(2, 9))]
+            page = layout(rng, title, [p.replace(" ", rng.choice([" ", "\n\t "]), 3) for p in paragraphs], [sentence(20) for _ in range(rng.randrange(4))])
+            pages.append((len(pages), f"https://{host}.example/{len(pages)}", page))
+            want[pages[-1][0]] = "\n".join([title, *paragraphs])
+    return pages, want
+
+
+def test_own_layouts_and_hot_hosts(spark, monkeypatch):
+    pages, want = made()
+    monkeypatch.setattr(op11, "HOSTS", 1)
+    found = got(op11.main_texts(frame(spark, pages, 7)))
+    assert found == want
+
+
+def test_wrapper_has_slots_options_and_repeats():
+    pages = ["<div class=a><p>x</p><p>y</p></div><dl><dt>1<dd>one<dt>2<dd>two</dl><h2>Same</h2>", "<div class=a><p>z</p></div><h2>Same</h2><h3>new</h3>", "<div class=a><p>q</p></div><dl><dt>1<dd>one</dl><h2>Same</h2>"]
+    wrapper = None
+    for page in pages:
+        items = op11.page_items(op11.parse(page))
+        wrapper = items if wrapper is None else op11.aligned(wrapper, items)
+    a, dl, h2, h3 = wrapper
+    assert (a[1], a[3], a[2][0][1], a[2][0][3]) == ("div a", 0, "p", op11.REPEATED)
+    assert a[2][0][2][0][:2] == ["t", ""]  # a slot
+    assert dl[3] == op11.OPTIONAL and dl[2][0][0] == "g" and [x[1] for x in dl[2][0][1]] == ["dt", "dd"] and dl[2][0][2] == op11.REPEATED
+    assert h2[3] == 0 and h2[2][0][1] and h3[3] == op11.OPTIONAL  # one text on every page
+    assert json.loads(json.dumps(wrapper)) == wrapper
+
+
+def test_folds_of_partial_wrappers_find_the_same_part():
+    pages, _ = made(2)
+    for at in (0, 30, 60):
+        items = [op11.page_items(op11.parse(h)) for _, _, h in pages[at : at + 30]]
+
+        def fold(some):
+            out = some[0]
+            for x in some[1:]:
+                out = op11.aligned(out, x)
+            return out
+
+        plans = [op11.plan(w, 30) for w in (fold(items), fold([fold(items[:7]), fold(items[7:20]), fold(items[20:])]), fold(items[::-1]))]
+        roots = [op11.parse(h) for _, _, h in pages[at : at + 30]]
+        assert len({str([[e.key for e in op11.located(r, p["levels"])] for r in roots]) for p in plans}) == 1
+
+
+ODD = {
+    "": "",
+    "   \n": "",
+    "just text, no tags &amp; a &lt;b&gt;": "just text, no tags & a <b>",
+    "<article>a &eacute;&#x4e2d;&#65;&nbsp;b&copy</article>": "a é中A b©",
+    "<article><p>one<p>two<br>three<div>four</article>": "one\ntwo three\nfour",
+    "<article>5 < 6 <b>and</b> 7 > 2</article>": "5 < 6 and 7 > 2",
+    "<article><p title='a > b'>x</p><!-- <p>no</p> --><p>y</article>": "x\ny",
+    "<article><table><tr><td>a<td>b<tr><td>c</table>z</article>": "a\nb\nc\nz",
+    "<article><p>x<script>var t='</p><p>no';": "x",
+    "<article><p>kept <span class='ad'>no</span><em>all</em></p></article>": "kept all",
+    "<article><ul><li>a<ul><li>b</ul><li>c</ul></article>": "a\nb\nc",
+    "<form id=all><article><p>in a form</p></article></form>": "in a form",
+    "<article><div hidden>no</div><p>yes</p><div style='display: none'>no</div></article>": "yes",
+    "<p>cut <a href='x": "cut",
+    "<nav>only a menu</nav>": "",
+}
+
+
+def test_odd_pages(spark):
+    pages = [(i, f"http://h{i}.example", h) for i, h in enumerate(ODD)] + [(100, None, None), (101, "no url", "<p>x</p>"), (None, "", "<article>n</article>")]
+    pages += [(7, "http://h3.example", "<article>again</article>")]
+    rows = sorted(((r.page_id, r.text) for r in op11.main_texts(frame(spark, pages)).collect()), key=str)
+    want = list(enumerate(ODD.values())) + [(100, ""), (101, "x"), (None, "n"), (7, "again")]
+    assert rows == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("page, text", [("<div>" * 30_000 + "deep" + "</div>" * 30_000, "deep"), ("<b>" * 30_000 + "<p>x" * 3_000, "\n".join(["x"] * 3_000)), ("<article>" + "<p>word &amp; word</p>\n" * 50_000, "\n".join(["word & word"] * 50_000))])
+def test_long_and_deep_pages(page, text):
+    assert op11.main_text(page, None) == text
+
+
+def test_copies_of_one_page_keep_their_text(spark):
+    pages = [(i, "http://one.example/", "<div class=q><p>the only text of this host</p></div>") for i in range(20)]
+    assert set(got(op11.main_texts(frame(spark, pages))).values()) == {"the only text of this host"}
+
+
+def test_empty_table(spark):
+    assert op11.main_texts(frame(spark, [(1, "u", "h")]).filter("false")).count() == 0
