@@ -30,7 +30,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -45,6 +44,7 @@ GRAM = LENGTH - SPAN + 1
 SLICE_BYTES = 1_000_000
 BLOCK_BYTES = 1_000_000
 LARGE_BUCKET = 20_000
+CHUNK_ROWS = 20_000
 #: A perfect difference set: every difference modulo 31 occurs.
 PERIOD = 31
 COVER = (0, 1, 3, 8, 12, 18)
@@ -294,7 +294,7 @@ def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def solve(block: list[tuple]) -> pa.RecordBatch:
         _, doc, part, start, texts = zip(*block, strict=True)
-        keys = [np.array([-(2**63) if x is None else x for x in doc]), np.array(part), np.array(start)]
+        keys = [np.array(doc), np.array(part), np.array(start)]
         return _spots([(doc[i], part[i], start[i] + at, n) for i, at, n in repeats_in_block(list(texts), *keys)])
 
     for batch in batches:
@@ -315,7 +315,13 @@ def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of runs: (doc_id, part, text, runs) to chunks; runs of large buckets become single windows, each
     sent once from a slice with the others marked as known repeats."""
-    for batch in slices(batches, 2, SLICE_BYTES):
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
+
+    def chunks(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in CHUNK.split(", ")])
+
+    for batch in slices(batches, 2, SLICE_BYTES // 2):
         out: list[tuple] = []
         seen: dict[bytes, tuple] = {}
         rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
@@ -333,26 +339,26 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         out.append((key, doc_id, part, at, window, 0))
                     else:
                         out.append((key ^ hash(place + (doc_id, at)) & 0x7FFFFFFF, doc_id, part, at, b"", 1))
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
-        columns = list(zip(*out, strict=True)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in CHUNK.split(", ")])
+                if len(out) >= CHUNK_ROWS:
+                    yield chunks(out)
+                    out = []
+        yield chunks(out)
 
 
 # --- the whole --------------------------------------------------------------------------------
 
 
-NO_ID = -(2**63)  # stands for a null doc_id: before all others
+NO_ID = -(2**63)  # stands for a null doc_id, with a negative part: before all others
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """(doc_id, part, data): part tells apart different texts of one doc_id; it is 0 where ids are unique."""
+    """(doc_id, part, data): part tells apart different texts of one doc_id; it is 0 where ids are unique, negative without one."""
     rows = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data"), *[c for c in docs.columns if c == CARRIED])
-    null_first = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")
-    repeated = rows.groupBy("doc_id").count().filter("count > 1").limit(1)
-    if repeated.isEmpty():
-        return rows.select(null_first, F.lit(0).alias("part"), "data", *rows.columns[2:])
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("data"))
-    return rows.withColumn("part", (F.dense_rank().over(order) - 1).cast("int")).select(null_first, "part", "data", *rows.columns[2:])
+    repeated = rows.groupBy("doc_id").count().filter("count > 1").limit(1)
+    part = F.lit(0) if repeated.isEmpty() else (F.dense_rank().over(order) - 1).cast("int")
+    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), part - F.lit(2**31).cast("long")).otherwise(part).cast("int"))
+    return rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "part", "data", *rows.columns[2:-1])
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
@@ -370,33 +376,39 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     return whole.unionByName(spots)
 
 
-CARRIED = "_carried"
+CARRIED = "_carried"  # beside it stand own names only
+
 
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and the kept bytes of every row of ``docs``."""
+    return _removed(docs.select("doc_id", "text"))
 
-@F.pandas_udf(T.StringType())
-def kept_text(kept: pd.Series) -> pd.Series:
-    """Bytes as text; bytes of a character that was cut in part go."""
-    return pd.Series([None if b is None else b.decode(errors="ignore") for b in kept])
 
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with texts without their repeats; characters cut in part go, and ``n_chars`` follows. Null becomes empty text."""
+    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias(CARRIED)
+    found = _removed(docs.select("doc_id", "text", carried), as_text=True)
+    own = {c: F.col(CARRIED).getField(c) for c in docs.columns if c != "text"} | {"text": F.col("kept")}
+    if "n_chars" in own:
+        own["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return found.select(*[own[c].alias(c) for c in docs.columns])
 
-def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the kept bytes of every row of ``docs``.
 
-    ``carry`` names further columns of ``docs`` that come along.
-    """
-    carry = carry or []
-    texts = numbered(docs.select("doc_id", "text", *[F.struct(*carry).alias(CARRIED)] * bool(carry)))
+def _removed(docs: DataFrame, as_text: bool = False) -> DataFrame:
+    """Counts and kept bytes (or text) of (doc_id, text, CARRIED if it is there)."""
+    texts = numbered(docs)
     found = repeated_windows(texts.select("doc_id", "part", "data"))
     spots = found.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "size")).alias("spots"))
-    joined = texts.join(spots, ["doc_id", "part"], "left").select("doc_id", "data", "spots", *texts.columns[3:])
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(n, T.LongType()) for n in COUNTS), T.StructField("kept", T.BinaryType()), *joined.schema.fields[3:]])
+    joined = texts.join(spots, ["doc_id", "part"], "left").select("part", "doc_id", "data", "spots", *texts.columns[3:])
+    kind = T.StringType() if as_text else T.BinaryType()
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(n, T.LongType()) for n in COUNTS), T.StructField("kept", kind), *joined.schema.fields[4:]])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, SLICE_BYTES):
-            ids = [None if x == NO_ID else x for x in batch.column(0).to_pylist()]
-            texts = batch.column(1).to_pylist()
+        for batch in slices(batches, 2, SLICE_BYTES):
+            ids = [None if p < 0 else x for p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            texts = batch.column(2).to_pylist()
             removed, count, kept = [0] * len(ids), [0] * len(ids), list(texts)
-            lists = batch.column(2)
+            lists = batch.column(3)
             found = lists.flatten()
             begin, size = (found.field(i).to_numpy() for i in (0, 1))
             lengths = [0 if x is None else x for x in pc.list_value_length(lists).to_pylist()]
@@ -412,10 +424,10 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
                     kept[i] = np.frombuffer(texts[i], dtype=np.uint8)[~gone].tobytes()
                 at += n
             counts = [pa.array(c, pa.int64()) for c in (ids, [len(t) for t in texts], removed, count)]
-            yield pa.RecordBatch.from_arrays([*counts, pa.array(kept, pa.binary()), *batch.columns[3:]], schema.names)
+            last = pa.array([b.decode(errors="ignore") for b in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([*counts, last, *batch.columns[4:]], schema.names)
 
-    out = joined.mapInArrow(remove, schema)
-    return out.select("doc_id", *COUNTS, "kept", *([f"{CARRIED}.*"] * bool(carry)))
+    return joined.mapInArrow(remove, schema)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

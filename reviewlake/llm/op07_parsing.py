@@ -128,7 +128,9 @@ def edit(text: str, following: str) -> str:
 
 def compare(ids: list, texts: list[str], followers: list[str]) -> pa.RecordBatch:
     edited = [edit(t, f) for t, f in zip(texts, followers, strict=True)]
-    own, changed, other = fingerprints(texts), fingerprints(edited), fingerprints(followers)
+    place = {t: i for i, t in enumerate(dict.fromkeys([*texts, *followers, *edited]))}  # a text is parsed once
+    prints = fingerprints(list(place))
+    own, changed, other = (prints[[place[t] for t in some]] for some in (texts, edited, followers))
     columns = [
         pa.array(ids, pa.int64()),
         pa.array([len(t) for t in texts], pa.int64()),

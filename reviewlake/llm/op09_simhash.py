@@ -158,10 +158,10 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     are not near each other all stay. Of rows equal in id and fingerprint any one stays.
     """
     least = near_duplicates(docs, radius).filter("doc_id <=> component_id")
-    kept = least.groupBy("root").agg(F.first("doc_id").alias("_kept"), F.min("fp").alias("_kept_fp")).drop("root")
-    printed = docs.withColumn("_fp", simhash_of("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_fp") == F.col("_kept_fp"))
-    return printed.join(kept, same).dropDuplicates(["doc_id", "_fp"]).select(*docs.columns)
+    kept = least.groupBy("root").agg(F.first("doc_id").alias("kept_id"), F.min("fp").alias("kept_fp")).drop("root")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), simhash_of("text").alias("fp"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp"))
+    return rows.join(kept, same).dropDuplicates(["id", "fp"]).select("row.*")
 
 
 def op9_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

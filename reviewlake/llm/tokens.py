@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -54,11 +55,11 @@ class Memory:
 class UnitEncoder:
     """Ids of many texts at once, through their distinct units.
 
-    ``encode_all`` is the library's encoder: ids of each of a list of strings, as arrays. Ids of short units
+    ``encode_all`` is the library's encoder: ids of each of a list of strings, as bytes. Ids of short units
     are remembered, at most twice ``limit`` of them; the result does not depend on that.
     """
 
-    def __init__(self, encode_all: Callable[[list[str]], list[np.ndarray]], limit: int = 220_000):
+    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], limit: int = 220_000):
         self.encode_all = encode_all
         self.memory = Memory(limit)
 
@@ -90,7 +91,7 @@ class UnitEncoder:
         marks = list({m[2] for m in split.values()})
         plain = list(dict.fromkeys([w for w in words if heads[w] is None] + [units[i] for i in missing if i not in split]))
         texts = [u[2:] if u.startswith(FIRST) else " " + u.removeprefix(LATER) for u in plain]
-        new = [ids.astype("<u4").tobytes() for ids in self.encode_all(texts + marks)]
+        new = self.encode_all(texts + marks)
         fresh = dict(zip(plain, new, strict=False))
         tails = dict(zip(marks, new[len(plain) :], strict=True))
         for i in missing:
@@ -116,21 +117,21 @@ def library_encoder(path: str) -> UnitEncoder:
     spaced = np.zeros(tokenizer.get_vocab_size(), dtype=bool)  # ids whose bytes begin with a space
     spaced[[i for token, i in tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
 
-    def ids_of(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids_of(texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_all(texts: list[str]) -> list[np.ndarray]:
+    def encode_all(texts: list[str]) -> list[bytes]:
         """Texts that hold one space, in front, are encoded joined, which costs half as much."""
         joint = [i for i, t in enumerate(texts) if t[:1] == " " and " " not in t[1:] and len(t) > 1 and not (t[1].isspace() or t[-1].isspace())]
-        out: list[np.ndarray | None] = [None] * len(texts)
+        out: list[bytes | None] = [None] * len(texts)
         for k in range(0, len(joint), JOINED):
             some = joint[k : k + JOINED]
             (ids,) = ids_of(["".join(texts[i] for i in some)])
-            pieces = np.split(ids, np.flatnonzero(spaced[ids])[1:])
-            if len(pieces) != len(some):
+            starts = (4 * np.flatnonzero(spaced[np.frombuffer(ids, "<u4")])).tolist()
+            if len(starts) != len(some):
                 raise RuntimeError("a joined text was not cut at its spaces")
-            for i, piece in zip(some, pieces, strict=True):
-                out[i] = piece
+            for i, a, b in zip(some, starts, [*starts[1:], len(ids)], strict=True):
+                out[i] = ids[a:b]
         alone = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(alone, ids_of([texts[i] for i in alone]), strict=True):
             out[i] = ids

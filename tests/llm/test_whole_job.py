@@ -2,25 +2,15 @@
 
 import random
 
-import numpy as np
 import pytest
 
 import corpus_pipeline
-from reviewlake.llm import near_copies, op05_toxicity, op09_simhash
+from reviewlake.llm import op03_suffixes, op05_toxicity, op09_simhash
 from reviewlake.llm.common import ship
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def similarity(a, b):
-    def shingles(text):
-        words = text.lower().split()
-        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-    a, b = shingles(a), shingles(b)
-    return len(a & b) / len(a | b)
-
-
 @pytest.fixture(scope="module")
 def copies():
     """Texts of 250 words, each with near copies by changed words; (id, text)."""
@@ -38,11 +28,11 @@ def copies():
     return rows
 
 
-def test_pipeline_drops_near_copies_by_words(spark, copies):
+def test_pipeline_drops_near_copies_by_simhash(spark, copies):
     ship(spark)
-    near = {(a, b) for a, x in copies for b, y in copies if a < b and similarity(x, y) >= 0.8}
     prints = {i: op09_simhash.simhash(t) for i, t in copies}
-    assert sum((prints[a] ^ prints[b]).bit_count() > op09_simhash.RADIUS for a, b in near) > 5
+    near = {(a, b) for a, x in prints.items() for b, y in prints.items() if a < b and (x ^ y).bit_count() <= op09_simhash.RADIUS}
+    assert near
     root = {i: i for i, _ in copies}
     for _ in copies:
         for a, b in near:
@@ -54,13 +44,28 @@ def test_pipeline_drops_near_copies_by_words(spark, copies):
     assert kept.columns == docs.columns
     want = [i for i in root if root[i] == i] + [500, 502, None]
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(i or -1 for i in want)
-    assert near_copies.keep_one(docs.limit(0)).count() == 0
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
-def test_groups_hold_the_similarity_and_chains():
-    sets = [np.arange(a, a + 90, dtype=np.uint64) for a in (0, 10, 20, 31)]  # neighbours: 80 of 100, then 79 of 101
-    sets += [np.arange(500, 503, dtype=np.uint64), np.zeros(0, np.uint64)]
-    assert near_copies.groups(sets) == [0, 0, 0, 3, 4, 5]
+CLASHES = "n_removed n_bytes n_spans kept _key _fp _kept _kept_fp _carried row id fp part spots a.b kept_id root".split()
+
+
+def test_stages_carry_columns_of_any_name(spark, copies):
+    ship(spark)
+    shared = "a passage of well over a hundred bytes that several documents of this small table share, word for word, without a change"
+    texts = [(i, f"{t} {shared}") for i, t in copies[:10]] + [(-(2**63), f"Whole {shared}"), (None, f"Nameless {shared}"), (None, f"Nameless {shared}")]
+    rows = [(i, t, "en", "s", len(t), *[f"{c}{i}" for c in CLASHES]) for i, t in texts]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", `{c}` string" for c in CLASHES)).repartition(3)
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.repeated_passages, corpus_pipeline.quality_rules):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found and all(r[c] == f"{c}{r.doc_id}" for r in found for c in CLASHES)
+    cut = {(r.doc_id, r.text.startswith("Whole" if r.doc_id else "Nameless"), r.n_chars == len(r.text), shared in r.text) for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    assert {x for x in cut if x[0] in (None, -(2**63))} == {(None, True, True, True), (-(2**63), True, True, False)}
+    counts = sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed) for r in op03_suffixes.remove_repeats(docs).collect())
+    nameless, whole = len(f"Nameless {shared}"), len(f"Whole {shared}")
+    assert counts[:3] == [(False, 0, nameless, 0), (False, 0, nameless, 0), (True, -(2**63), whole, len(shared) + 1)]  # the space too
 
 
 def test_rare_terms_beside_a_hot_source_enter_the_lexicon(spark):
