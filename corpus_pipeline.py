@@ -4,16 +4,16 @@ Each stage is a function of (spark, docs, sf_dir) that returns a DataFrame; it i
 shared folder and read again as the next stage's docs, so every stage starts from files that all
 executors see. All stages but the last return the columns of ``docs``.
 
-Null or empty text passes toxicity and falls to the quality rules. Nulls in other columns are carried along.
-An empty table gives empty results.
+Null or empty text passes toxicity and falls to the quality rules. Nulls in other columns are carried along, as are
+extra columns of any name. Repeated rows are near-duplicates, so one stays; rows without an id come last among those of a
+group, rows of one id with different texts all stay. Texts are read whole at any length. An empty table gives empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from reviewlake.llm import near_copies, op01_packing, op03_suffixes, op05_toxicity, op10_repetition
+from reviewlake.llm import op01_packing, op03_suffixes, op05_toxicity, op09_simhash, op10_repetition
 from reviewlake.llm.common import cut, documents, labels, ship
 
 
@@ -30,20 +30,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group that a five-word Jaccard similarity of 0.8 connects, the one with the least doc_id."""
+    """One row of each group of SimHash near-duplicates, by the operator's shingles and bit distance: the one with the least doc_id."""
     ship(spark)
-    return near_copies.keep_one(docs)
+    return op09_simhash.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, their texts without repeated passages; characters cut in part go, n_chars follows."""
     ship(spark)
-    texts = op03_suffixes.remove_repeats(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
-    text = F.coalesce(op03_suffixes.kept_text("kept"), F.lit(""))
-    changed = texts.withColumn("text", F.when(F.col("n_removed") > 0, text).otherwise(F.decode("kept", "utf-8")))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns)
+    return op03_suffixes.cut_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
