@@ -17,33 +17,42 @@ from reviewlake.llm import op01_packing, op03_suffixes, op05_toxicity, op09_simh
 from reviewlake.llm.common import cut, documents, labels, ship
 
 
+#: Rows of an Arrow batch: five stages share the Python workers of an executor, and texts may be long.
+BATCH_ROWS = 1000
+
+
+def ready(spark: SparkSession) -> None:
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that are not toxic, by a model learned from the labelled training rows among them."""
-    ship(spark)
+    ready(spark)
     return op05_toxicity.keep_clean(docs, op05_toxicity.train(docs, labels(spark, sf_dir)))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the repetition rules keep."""
-    ship(spark)
+    ready(spark)
     return op10_repetition.keep_clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of SimHash near-duplicates, by the operator's shingles and bit distance: the one with the least doc_id."""
-    ship(spark)
+    ready(spark)
     return op09_simhash.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, their texts without repeated passages; characters cut in part go, n_chars follows."""
-    ship(spark)
+    ready(spark)
     return op03_suffixes.cut_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in packed sequences."""
-    ship(spark)
+    ready(spark)
     return op01_packing.pack_documents(docs)
 
 
