@@ -92,11 +92,13 @@ def join_deployments(
 
 
 def new_keys(candidates: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct candidate keys that are not stored yet. Both sides are reduced to one row a key and
-    task before they are shuffled."""
+    """Distinct candidate keys that are not stored yet. The stored side is first reduced to keys of the
+    batch, against its keys as one broadcast row set while they are small, so a large store is
+    read but not shuffled; what is left of it is one row a key and task."""
     keys = list(keys)
     wanted = candidates.select(*keys).distinct()
-    return wanted.join(stored.select(*keys).distinct(), keys, "left_anti")
+    known = stored.select(*keys).join(wanted, keys, "left_semi").distinct()
+    return wanted.join(known, keys, "left_anti")
 
 
 def status_links(statuses: DataFrame) -> DataFrame:

@@ -27,12 +27,12 @@ TABLE_OF = {
 
 def _flat(df: DataFrame, record: str, *columns: Column | str) -> DataFrame:
     """The raw table's columns plus the record itself as JSON text: as it was landed, or made from the
-    declared fields where the input has no text. An ingest sequence ``seq`` rides along where the input has one."""
+    declared fields where the input has no text. An ingest's ``seq`` and ``run`` ride along where the input has them."""
     declared = F.to_json(F.struct(*(F.col(n) for n in RECORDS[record].names)))
     raw = (F.col(RECORD_TEXT) if RECORD_TEXT in df.columns else declared).alias("raw_json")
-    seq = [c for c in ("seq",) if c in df.columns]
-    rows = df.select(*columns, raw, *seq)
-    return conform(rows, TABLE_OF[record], keep=seq)
+    ingest = [c for c in ("seq", "run") if c in df.columns]
+    rows = df.select(*columns, raw, *ingest)
+    return conform(rows, TABLE_OF[record], keep=ingest)
 
 
 def _people(col: str) -> Column:

@@ -99,6 +99,9 @@ KEYS: dict[str, tuple[str, ...]] = {
     "pr_pipelines": ("repo", "pr_id", "pipeline_uuid"),
 }
 
+#: Buckets by key that a new table's repositories are cut into; tables that are only replaced need one.
+BUCKETS: dict[str, int] = {"pull_requests": 16, "pipelines": 16, "deployments": 16, "pr_pipelines": 16}
+
 #: File order within a repository: the date the table is filtered on, or the parent's id.
 SORTED_BY: dict[str, tuple[str, ...]] = {
     "pull_requests": ("created_on",),
@@ -184,8 +187,9 @@ RECORD_TEXT = "record_json"
 
 def page_schema(parent: str = PR_PARENT) -> T.StructType:
     """Envelope of one landed page; its records stay text. Child pages carry their parent's id; the
-    repository is a page field or the ``repo=`` folder the page lies in."""
-    return _struct(f"repo next {parent}", values=T.ArrayType(T.StringType()))
+    repository is a page field or the ``repo=`` folder the page lies in, ``run`` likewise. The last page of a
+    repository's run has ``run_end``."""
+    return _struct(f"repo next run run_end:boolean {parent}", values=T.ArrayType(T.StringType()))
 
 
 def _zero(data_type: T.DataType) -> str:

@@ -15,7 +15,7 @@ def explode_pages(pages: DataFrame, item: T.StructType) -> DataFrame:
     ``values`` holds the records as JSON text; it comes along whole as ``record_json``, fields outside the
     declared record included.
     """
-    page = [c for c in pages.columns if c not in ("values", "next")]
+    page = [c for c in pages.columns if c not in ("values", "next", "run_end")]
     rows = pages.select(*page, F.explode("values").alias(RECORD_TEXT))
     parsed = rows.withColumn("v", F.from_json(RECORD_TEXT, item, JSON_OPTIONS))
     return parsed.select(*page, RECORD_TEXT, *(F.col("v")[n].alias(n) for n in item.names))
@@ -27,7 +27,7 @@ def decode_pages(
     """Pages held as JSON text in ``column``; other columns are kept on every record."""
     keep = [c for c in texts.columns if c != column]
     page = F.from_json(F.col(column), page_schema(parent), JSON_OPTIONS).alias("p")
-    inner = [f"p.{c}" for c in page_schema(parent).names if c not in keep]
+    inner = [f"p.{c}" for c in page_schema(parent).names if c not in (*keep, "run")]
     return explode_pages(texts.select(*keep, page).select(*keep, *inner), item)
 
 
@@ -43,4 +43,4 @@ def read_pages(
     One page per line keeps the files splittable; ``multi_line`` reads one document per file.
     """
     reader = spark.read.schema(page_schema(parent)).options(**JSON_OPTIONS)
-    return explode_pages(reader.option("multiLine", multi_line).json(path), item)
+    return explode_pages(reader.option("multiLine", multi_line).json(path).drop("run"), item)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlake.schemas import ADDED_LATER, JSON_OPTIONS, RECORD_TEXT, SCHEMAS
+from reviewlake.sources.versions import newest, read_files
 
 
 def of_repos(df: DataFrame, repos: Sequence[str] | None) -> DataFrame:
@@ -21,12 +22,17 @@ def read_table(
 ) -> DataFrame:
     """A stored table in its declared schema; columns added later read as zero values.
 
-    Only those are filled: an expression around a column would keep filters on it out of the
-    scan, and all others are written without NULL. Declaring the read schema keeps a
+    Only the live files of the repositories asked for are opened. A folder without versions is read as
+    plain parquet, partitioned by ``repo``. Only columns added later are filled: an expression around a column would keep
+    filters on it out of the scan, and all others are written without NULL. Declaring the read schema keeps a
     numeric-looking repository name text and saves the job that would infer it.
     """
-    rows = of_repos(spark.read.schema(SCHEMAS[table]).parquet(path), repos)
-    return rows.fillna("", subset=list(ADDED_LATER.get(table, ())))
+    last = newest(spark, path, table)
+    if last.number:
+        rows = read_files(spark, path, table, last.live(None if repos is None else set(repos)))
+    else:
+        rows = spark.read.schema(SCHEMAS[table]).parquet(path)
+    return of_repos(rows, repos).fillna("", subset=list(ADDED_LATER.get(table, ())))
 
 
 def decode_raw(

@@ -1,22 +1,22 @@
 """Rerun-safe writes: keyed upsert, insert-if-absent and replacement per repository.
 
-Tables are parquet partitioned by ``repo``. Every writer overwrites or appends whole
-partitions; files are staged by the tasks and moved into place by the driver's commit, so a
-lost executor only costs the tasks it ran. A rerun of the same batch gives the same table.
-
-An upsert keeps stored rows, so its partitions are first written whole beside the table: if the
-driver dies while they replace the stored ones, the next upsert (or ``finish_upsert``) completes that.
+Tables are versions of parquet files (``versions``): a write reads and rewrites the key buckets it touches, or only
+adds files, and becomes visible by one commit. A lost executor costs the tasks it ran; a lost driver leaves
+the last version as it was. A rerun of the same batch gives the same table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewlake.schemas import KEYS, SCHEMAS, SORTED_BY, conform
-from reviewlake.sources.raw import of_repos, read_table
+from reviewlake.schemas import KEYS, conform
+from reviewlake.sources import versions
+from reviewlake.sources.raw import of_repos
+from reviewlake.sources.versions import Version, with_bucket
 
 
 def latest_per_key(new: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
@@ -65,93 +65,90 @@ def spread_by_repo(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", "repo")
 
 
-def _write(df: DataFrame, path: str, table: str, mode: str, spread: bool = True) -> None:
-    """Files sorted by the column their readers filter on, so that the minimum and maximum kept
-    per row group let a date range skip most of a repository."""
-    (
-        (spread_by_repo(df) if spread else df)
-        .sortWithinPartitions("repo", *SORTED_BY[table])
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("repo")
-        .parquet(path)
-    )
-
-
-def _folder(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def table_exists(spark: SparkSession, path: str) -> bool:
-    folder, fs = _folder(spark, path)
-    return fs.exists(folder)
-
-
-def _drop_partitions(spark: SparkSession, path: str, repos: Sequence[str]) -> None:
-    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-    for repo in repos:
-        folder, fs = _folder(spark, f"{path}/repo={escape.escapePathName(repo)}")
-        if fs.exists(folder):
-            fs.delete(folder, True)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    folder, fs = _folder(spark, path)
-    if fs.exists(folder):
-        fs.delete(folder, True)
-
-
 def touched_repos(df: DataFrame) -> list[str]:
     """Repositories a batch writes to: one name each, bounded by the ingest's repository list."""
     return [r.repo for r in df.select("repo").distinct().collect()]
 
 
-def _stored(spark: SparkSession, path: str, table: str, repos: Sequence[str]) -> DataFrame:
-    if table_exists(spark, path):
-        return read_table(spark, path, table, repos)
-    return spark.createDataFrame([], SCHEMAS[table])
-
-
-def _pending(path: str) -> str:
-    return f"{path.rstrip('/')}.pending"
-
-
-def finish_upsert(spark: SparkSession, path: str, table: str) -> None:
-    """Put the partitions of an upsert that stand complete beside the table into it, and remove
-    them; partitions that were not written to their end only go. Safe to repeat."""
-    pending = _pending(path)
-    if table_exists(spark, f"{pending}/_SUCCESS"):
-        rows = spark.read.schema(SCHEMAS[table]).parquet(pending)
-        _write(rows, path, table, "overwrite", spread=False)  # files hold few repositories each
-    _remove(spark, pending)
+def _touched(df: DataFrame) -> set[tuple[str, int]]:
+    """(repo, bucket) of a batch: bounded by the number of buckets of its repositories."""
+    return {(r.repo, r.bucket) for r in df.select("repo", "bucket").distinct().collect()}
 
 
 def write_upsert(
     spark: SparkSession, new: DataFrame, path: str, table: str, seq: str = "seq"
 ) -> None:
-    """Merge a batch into a stored table; only partitions the batch touches are rewritten."""
-    finish_upsert(spark, path, table)
-    rows = upsert(_stored(spark, path, table, touched_repos(new)), new, KEYS[table], seq)
-    _write(rows, _pending(path), table, "error")
-    finish_upsert(spark, path, table)
+    """Merge a batch into a stored table; only buckets that hold keys of the batch are rewritten."""
+    last = versions.newest(spark, path, table)
+    touched = _touched(with_bucket(new, table, last))
+    if not touched and last.number:
+        return
+    old = {f for f in last.live() if (f.repo, f.bucket) in touched}
+    rows = upsert(versions.read_files(spark, path, table, old), new, KEYS[table], seq)
+    added = versions.add_files(with_bucket(rows, table, last), path, table)
+    versions.commit(spark, path, last, [*(f for f in last.files if f not in old), *added])
 
 
 def write_absent(spark: SparkSession, new: DataFrame, path: str, table: str) -> None:
-    """Append the rows whose key is not stored; nothing stored is rewritten."""
-    existing = _stored(spark, path, table, touched_repos(new))
-    _write(insert_absent(existing, conform(new, table), KEYS[table]), path, table, "append")
+    """Add the rows whose key is not stored; only buckets of the batch's keys are read, none rewritten."""
+    last = versions.newest(spark, path, table)
+    rows = with_bucket(conform(new, table), table, last)
+    touched = _touched(rows)
+    known = versions.read_files(spark, path, table, (f for f in last.live() if (f.repo, f.bucket) in touched))
+    added = versions.add_files(insert_absent(known, rows, KEYS[table]), path, table)
+    if added or not last.number:
+        versions.commit(spark, path, last, [*last.files, *added])
 
 
 def write_replace(
     spark: SparkSession, new: DataFrame, path: str, table: str, repos: Sequence[str]
 ) -> None:
-    """Replace ``repos`` in a stored table. Dynamic overwrite leaves a partition that gets no
-    rows, so repositories that ended empty are dropped explicitly; which ones did is observed
-    while writing (names out of ``repos`` only), without computing the rows a second time."""
-    seen = Observation()
-    rows = conform(of_repos(new, repos), table).observe(seen, F.collect_set("repo").alias("repos"))
-    _write(rows, path, table, "overwrite")
-    filled = set(seen.get["repos"])
-    _drop_partitions(spark, path, [r for r in repos if r not in filled])
+    """Replace ``repos`` in a stored table. A repository that gets no rows ends empty."""
+    last = versions.newest(spark, path, table)
+    rows = with_bucket(conform(of_repos(new, repos), table), table, last)
+    added = versions.add_files(rows, path, table)
+    kept = [f for f in last.files if not f.live or f.repo not in set(repos)]
+    versions.commit(spark, path, last, [*kept, *added])
+
+
+def write_run(
+    spark: SparkSession,
+    new: DataFrame,
+    path: str,
+    table: str,
+    batch: int,
+    ended: Sequence[tuple[str, str]],
+) -> None:
+    """One micro-batch of runs that replace their repositories: rows (with ``run``) are staged, and those of
+    every ended (repo, run) become the repository's only rows, in the same commit.
+
+    A batch that is delivered again replaces what it staged before. Runs of a repository end in the order of their
+    ids; what an older run staged and never ended goes then. An ended run without rows empties its repository.
+    """
+    last = versions.newest(spark, path, table)
+    rows = with_bucket(conform(new, table, keep=["run"]), table, last)
+    added = versions.add_files(rows, path, table, batch, live=False)
+    runs = {f.run for f in added} | {run for _, run in ended}
+    files = [f for f in last.files if not (f.batch == batch and f.run in runs)] + added
+    for repo, run in sorted(ended, key=lambda e: e[1]):
+        others = [f for f in files if f.repo != repo or not f.live and f.run > run]
+        files = others + [replace(f, live=True) for f in files if f.repo == repo and f.run == run]
+    versions.commit(spark, path, last, files)
+
+
+def compact(spark: SparkSession, path: str, table: str, files: int = 32) -> None:
+    """Rewrite buckets of more than ``files`` live files, as many small batches leave them."""
+    last = versions.newest(spark, path, table)
+    places: dict[tuple, list] = {}
+    for f in last.live():
+        places.setdefault((f.repo, f.bucket), []).append(f)
+    old = {f for some in places.values() if len(some) > files for f in some}
+    if old:
+        rows = with_bucket(versions.read_files(spark, path, table, old), table, last)
+        added = versions.add_files(rows, path, table)
+        versions.commit(spark, path, last, [*(f for f in last.files if f not in old), *added])
+
+
+def version(spark: SparkSession, path: str, table: str) -> Version:
+    """The stored version; its number is 0 while there is none."""
+    return versions.newest(spark, path, table)

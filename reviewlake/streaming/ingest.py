@@ -1,7 +1,9 @@
 """Incremental ingest: landed page files as a stream, each micro-batch written rerun-safe.
 
 A micro-batch may be delivered again after a failure; upsert and replacement give the same
-table then, so no further bookkeeping is needed.
+table then, so no further bookkeeping is needed. Tables that are replaced per repository are fed by runs: pages carry
+their run's id, the last one ``run_end``; batches are staged in the table's files and become the repository's rows when the
+run has ended, however many batches it took.
 """
 
 from __future__ import annotations
@@ -20,7 +22,14 @@ from reviewlake.operators.projections import (
 )
 from reviewlake.schemas import JSON_OPTIONS, RECORDS, page_schema
 from reviewlake.sources.pages import explode_pages
-from reviewlake.sources.store import touched_repos, write_absent, write_replace, write_upsert
+from reviewlake.sources.store import (
+    touched_repos,
+    write_absent,
+    write_replace,
+    write_run,
+    write_upsert,
+)
+from reviewlake.sources.versions import NO_RUN
 
 UPSERTED = ("pull_requests", "pipelines", "deployments")
 
@@ -34,32 +43,43 @@ def flatten(rows: DataFrame, record: str) -> DataFrame:
     return PROJECTIONS[record](rows)
 
 
-def stream_pages(spark: SparkSession, path: str, record: str, **options) -> DataFrame:
-    """New page files under ``path`` as a stream of records. ``seq`` is the landing time of the
+def stream_pages(spark: SparkSession, path: str, **options) -> DataFrame:
+    """New page files under ``path`` as a stream. ``seq`` is the landing time of the
     page's file: of two pages that hold the same record, the later file wins."""
     options = {**JSON_OPTIONS, **options}
     reader = spark.readStream.schema(page_schema()).options(**options)
     landed = F.col("_metadata.file_modification_time").cast("double").alias("seq")
-    return explode_pages(reader.json(path).select("*", landed), RECORDS[record])
+    return reader.json(path).select("*", landed)
 
 
-def write_batch(table: str, path: str) -> Callable[[DataFrame, int], None]:
-    """The ``foreachBatch`` function of a raw table."""
+def write_batch(record: str, path: str, runs: bool = False) -> Callable[[DataFrame, int], None]:
+    """The ``foreachBatch`` function of a record kind over its pages."""
+    table = TABLE_OF[record]
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
+    def keyed(pages: DataFrame, batch_id: int) -> None:
+        """Batches are cut by their number of files, so one is kept while it is read twice."""
+        spark = pages.sparkSession
+        batch = flatten(explode_pages(pages.drop("run"), RECORDS[record]), record).persist()
         try:
             if table in UPSERTED:
                 write_upsert(spark, batch, path, table, "seq")
-            elif table == "pr_pipelines":
-                write_absent(spark, batch, path, table)
             else:
-                write_replace(spark, batch, path, table, touched_repos(batch))
+                write_absent(spark, batch, path, table)
         finally:
             batch.unpersist()
 
-    return write
+    def replaced(pages: DataFrame, batch_id: int) -> None:
+        spark = pages.sparkSession
+        if not runs:
+            rows = flatten(explode_pages(pages.drop("run"), RECORDS[record]), record)
+            write_replace(spark, rows, path, table, touched_repos(pages))
+            return
+        pages = pages.withColumn("run", F.coalesce("run", F.lit(NO_RUN)))
+        records = explode_pages(pages, RECORDS[record])
+        ends = pages.where("run_end").select("repo", "run").distinct().collect()  # a row a repository
+        write_run(spark, flatten(records, record), path, table, batch_id, [tuple(r) for r in ends])
+
+    return keyed if table in UPSERTED or table == "pr_pipelines" else replaced
 
 
 def start_ingest(
@@ -69,18 +89,20 @@ def start_ingest(
     path: str,
     checkpoint: str | None = None,
     files_per_batch: int = 10_000,
+    runs: bool = False,
 ) -> StreamingQuery:
     """Ingest everything landed so far and stop; call again for what lands next. What was read
     is remembered in ``checkpoint``, by default a folder next to the table.
 
-    Upserted tables take any number of files per batch. A replaced table needs all pages of a
+    Upserted tables take any number of files per batch, and so do replaced ones with ``runs``: their pages
+    carry a run id, and the page that lands last ``run_end``. Without, a replaced table needs all pages of a
     repository's run in one batch, so its batches are not cut: start it when a run has landed.
     """
     table = TABLE_OF[record]
-    options = {"maxFilesPerTrigger": files_per_batch} if table in UPSERTED else {}
-    flat = flatten(stream_pages(spark, source, record, **options), record)
+    options = {"maxFilesPerTrigger": files_per_batch} if table in UPSERTED or runs else {}
     return (
-        flat.writeStream.foreachBatch(write_batch(table, path))
+        stream_pages(spark, source, **options)
+        .writeStream.foreachBatch(write_batch(record, path, runs))
         .option("checkpointLocation", checkpoint or f"{path.rstrip('/')}.checkpoint")
         .trigger(availableNow=True)
         .start()

@@ -15,11 +15,11 @@ from reviewlake.plans.reports import (
     write_pr_report,
 )
 from reviewlake.plans.tables import deployments_table, pipeline_display, pr_display, pr_table
-from reviewlake.schemas import PIPELINE_PARENT, RECORDS, SCHEMAS, evolve
+from reviewlake.schemas import BUCKETS, PIPELINE_PARENT, RECORDS, SCHEMAS, evolve
 from reviewlake.sources.pages import read_pages
 from reviewlake.sources.raw import read_table
 from reviewlake.sources.reports import read_pipeline_report, read_pr_report
-from reviewlake.sources.store import write_absent, write_replace
+from reviewlake.sources.store import version, write_absent, write_replace
 from reviewlake.streaming.ingest import start_ingest
 
 ANN, BOB = {"display_name": "Ann"}, {"display_name": "Bob"}
@@ -150,7 +150,8 @@ def test_steps_lead_to_deployments(spark, rows, tmp_path):
     assert [r.deployment_uuid for r in got.collect()] == ["{dep}"]
 
 
-def test_a_large_repository_is_written_by_many_tasks(spark, tmp_path):
+def test_a_large_bucket_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(BUCKETS, "pr_pipelines", 1)
     rows = evolve(
         spark.range(0, 200_000, 1, 8).selectExpr(
             "id as pr_id", "if(id % 10 = 0, 'small', 'large') as repo", "uuid() as pipeline_uuid"
@@ -165,6 +166,5 @@ def test_a_large_repository_is_written_by_many_tasks(spark, tmp_path):
         write_replace(spark, rows, path, "pr_pipelines", ["large", "small"])
     finally:
         spark.conf.set(key, before)
-    files = lambda r: len(list((tmp_path / "links" / f"repo={r}").glob("*.parquet")))
-    assert files("large") >= 4
+    assert len(version(spark, path, "pr_pipelines").live({"large"})) >= 4
     assert read_table(spark, path, "pr_pipelines").count() == 200_000

@@ -88,12 +88,20 @@ def test_upsert_does_not_shuffle_the_stored_table(spark, rows):
     assert "BroadcastHashJoin LeftAnti BuildRight" in text
 
 
-def test_writes_are_rebalanced_and_sorted(spark, lake):
-    df = store.spread_by_repo(spark.range(5).selectExpr("'r' as repo", "id"))
-    assert "REBALANCE_PARTITIONS_BY_COL" in plan(df)
-    stored = spark.read.parquet(str(lake / "pr_report/repo=r0"))
-    days = [r.updated for r in stored.collect()]
-    assert days == sorted(days)
+def test_stored_files_are_sorted_by_their_filter_column(spark, lake):
+    (file,) = [f.file for f in store.version(spark, str(lake / "pr_report"), "pr_report").live() if f.repo == "r0"]
+    days = [r.updated for r in spark.read.parquet(str(lake / "pr_report" / file)).collect()]
+    assert days == sorted(days) and len(days) == 20
+
+
+def test_new_keys_do_not_shuffle_the_stored_table(spark):
+    from reviewlake.operators.joins import new_keys
+
+    stored = spark.range(1000).selectExpr("'r' as repo", "id as pipeline_uuid")
+    batch = spark.range(3).selectExpr("'r' as repo", "if(id = 0, 5, 5000L) as pipeline_uuid")
+    found = new_keys(batch, stored, ["repo", "pipeline_uuid"])
+    assert "BroadcastHashJoin LeftSemi BuildRight" in plan(found)
+    assert [tuple(r) for r in found.collect()] == [("r", 5000)]
 
 
 SF = "/root/testdata/sf0.001"

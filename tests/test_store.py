@@ -1,6 +1,5 @@
 import datetime as dt
 import json
-import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,36 +75,116 @@ def test_write_upsert_twice_is_the_same(spark, rows, tmp_path):
     ]
 
 
-def test_an_upsert_stopped_while_moving_loses_no_stored_row(spark, rows, tmp_path, monkeypatch):
+def many(rows, n, **kw):
+    return rows("pull_requests", *(pr(i, **kw) for i in range(n)))
+
+
+def files(spark, path, table):
+    return {f.file for f in store.version(spark, path, table).live()}
+
+
+def test_ten_changed_rows_rewrite_their_buckets_only(spark, rows, tmp_path):
+    path = str(tmp_path / "prs")
+    store.write_upsert(spark, seq(many(rows, 400).unionByName(many(rows, 400, repo="s")), 1), path, "pull_requests")
+    before = store.version(spark, path, "pull_requests").live()
+    assert {(f.repo, f.bucket) for f in before} == {(r, b) for r in "rs" for b in range(16)}
+    assert sum(f.rows for f in before) == 800
+    batch = seq(rows("pull_requests", *(pr(i, title="new") for i in (3, 4))), 2)
+    store.write_upsert(spark, batch, path, "pull_requests")
+    after = store.version(spark, path, "pull_requests").live()
+    changed = {f for f in before if f not in after}
+    assert 1 <= len(changed) <= 2 and all(f.repo == "r" for f in changed)
+    assert {(f.repo, f.bucket) for f in set(after) - set(before)} == {(f.repo, f.bucket) for f in changed}
+    got = stored(spark, path, "pull_requests", "repo", "pr_id", "title")
+    assert got == [(r, i, "new" if r == "r" and i in (3, 4) else "T") for r in "rs" for i in range(400)]
+
+
+def test_an_upsert_opens_only_buckets_of_its_keys(spark, rows, tmp_path, monkeypatch):
+    path = str(tmp_path / "prs")
+    store.write_upsert(spark, seq(many(rows, 200), 1), path, "pull_requests")
+    opened = []
+    read = store.versions.read_files
+    monkeypatch.setattr(store.versions, "read_files", lambda spark, path, table, files: read(spark, path, table, opened.append(list(files)) or opened[-1]))
+    store.write_upsert(spark, seq(rows("pull_requests", pr(7, title="new")), 2), path, "pull_requests")
+    (some,) = opened
+    assert len(some) == 1 and some[0].rows < 40
+
+
+@pytest.mark.parametrize("step", ["add_files", "commit"])
+def test_a_write_stopped_at_any_step_leaves_the_old_rows(spark, rows, tmp_path, monkeypatch, step):
     path = str(tmp_path / "prs")
     store.write_upsert(spark, seq(rows("pull_requests", pr(1), pr(2), pr(3, "s")), 1), path, "pull_requests")
     batch = seq(rows("pull_requests", pr(2, title="new")), 2)
-    write = store._write
+    real = getattr(store.versions, step)
 
-    def stop(df, to, table, mode, **kw):
-        if mode == "overwrite":  # the old partition is gone, the new one not yet there
-            shutil.rmtree(f"{path}/repo=r")
-            raise RuntimeError("driver lost")
-        write(df, to, table, mode, **kw)
+    def stop(*args, **kw):
+        if step == "add_files":
+            real(*args, **kw)  # files are there, no manifest names them
+        else:  # a commit that began: a folder without its file
+            (tmp_path / "prs" / "manifest" / "v=2" / "_temporary").mkdir(parents=True)
+        raise RuntimeError("driver lost")
 
-    monkeypatch.setattr(store, "_write", stop)
+    monkeypatch.setattr(store.versions, step, stop)
     with pytest.raises(RuntimeError):
         store.write_upsert(spark, batch, path, "pull_requests")
-    monkeypatch.setattr(store, "_write", write)
-    want = [("r", 1, "T"), ("r", 2, "new"), ("s", 3, "T")]
+    monkeypatch.setattr(store.versions, step, real)
+    assert stored(spark, path, "pull_requests", "repo", "pr_id", "title") == [("r", 1, "T"), ("r", 2, "T"), ("s", 3, "T")]
     for _ in range(2):
         store.write_upsert(spark, batch, path, "pull_requests")
-        assert stored(spark, path, "pull_requests", "repo", "pr_id", "title") == want
+        assert stored(spark, path, "pull_requests", "repo", "pr_id", "title") == [("r", 1, "T"), ("r", 2, "new"), ("s", 3, "T")]
 
 
-def test_partitions_not_written_to_their_end_are_ignored(spark, rows, tmp_path):
-    path = str(tmp_path / "prs")
-    half = tmp_path / "prs.pending" / "repo=r"
-    half.mkdir(parents=True)
-    (half / "part-0.parquet").write_text("half")
-    store.write_upsert(spark, seq(rows("pull_requests", pr(1)), 1), path, "pull_requests")
-    store.write_upsert(spark, seq(rows("pull_requests", pr(9)), 1).where("false"), path, "pull_requests")
-    assert stored(spark, path, "pull_requests", "pr_id") == [(1,)] and not half.exists()
+def test_compact_and_vacuum(spark, rows, tmp_path):
+    path = str(tmp_path / "links")
+    link = lambda i: {"repo": "r", "pr_id": i, "pipeline_uuid": "{a}"}
+    for i in range(6):
+        store.write_absent(spark, rows("pr_pipelines", *(link(k) for k in range(10 * i, 10 * i + 10))), path, "pr_pipelines")
+    many_files = files(spark, path, "pr_pipelines")
+    store.compact(spark, path, "pr_pipelines", files=2)
+    few = files(spark, path, "pr_pipelines")
+    assert len(few) < len(many_files)
+    want = [(i,) for i in range(60)]
+    assert stored(spark, path, "pr_pipelines", "pr_id") == want
+    assert store.versions.vacuum(spark, path, "pr_pipelines", keep=1) == len(many_files - few)
+    assert stored(spark, path, "pr_pipelines", "pr_id") == want
+    assert store.versions.vacuum(spark, path, "pr_pipelines", keep=1) == 0
+    on_disk = {str(p.relative_to(path)) for p in (tmp_path / "links" / "data").rglob("*.parquet")}
+    assert on_disk == few
+
+
+def test_odd_names_of_repositories(spark, rows, tmp_path):
+    path, names = str(tmp_path / "prs"), ["a/b c", "x=1", "100%", "{v}*[0]?", "é#:", "2024-01-01", "007"]
+    for n in (1, 2):
+        store.write_upsert(spark, seq(rows("pull_requests", *(pr(n, r, title=f"{n}") for r in names)), n), path, "pull_requests")
+    assert stored(spark, path, "pull_requests", "repo", "pr_id") == sorted((r, n) for r in names for n in (1, 2))
+    assert [r.repo for r in read_table(spark, path, "pull_requests", ["{v}*[0]?"]).collect()] == ["{v}*[0]?"] * 2
+
+
+def run_rows(rows, run, *dicts):
+    return rows("pr_comments", *dicts).withColumn("run", F.lit(run))
+
+
+def test_runs_replace_when_they_end(spark, rows, tmp_path):
+    path = str(tmp_path / "comments")
+    note = lambda i, repo="r": {"repo": repo, "pr_id": 1, "comment_id": i}
+    write = lambda run, batch, ended, *d: store.write_run(
+        spark, run_rows(rows, run, *d) if d else run_rows(rows, run, note(0)).where("false"), path, "pr_comments", batch, ended
+    )
+    show = lambda: stored(spark, path, "pr_comments", "repo", "comment_id")
+    write("run-1", 0, [("r", "run-1"), ("s", "run-1")], note(1), note(2), note(3, "s"))
+    old = [("r", 1), ("r", 2), ("s", 3)]
+    assert show() == old
+    write("run-2", 1, [], note(10), note(11))
+    write("run-2", 2, [], note(12))
+    write("run-2", 2, [], note(12))  # delivered again
+    assert show() == old  # not ended
+    for _ in range(2):
+        write("run-2", 3, [("r", "run-2"), ("s", "run-2")], note(13))
+        assert show() == [("r", i) for i in (10, 11, 12, 13)]  # s ends empty
+    write("run-3", 4, [], note(99))  # never ends
+    write("run-4", 5, [("r", "run-4")], note(20))
+    assert show() == [("r", 20)]
+    assert all(f.live for f in store.version(spark, path, "pr_comments").files)
 
 
 def test_write_absent_appends_only_new(spark, rows, tmp_path):
@@ -131,7 +210,7 @@ def test_write_replace_with_rows_and_without(spark, rows, tmp_path):
     assert stored(spark, path, "pr_activity", "repo", "pr_id") == [("r", 9)]
     write(["r"])
     write(["never-stored"])
-    assert store.table_exists(spark, path)
+    assert store.version(spark, path, "pr_activity").number == 6
 
 
 def test_numeric_repository_names_stay_text(spark, rows, tmp_path):
@@ -304,6 +383,45 @@ def test_stream_replaces_children(spark, tmp_path):
     assert stored(spark, out, "pr_comments", "repo", "pr_id", "comment_id") == [("r", 7, 9), ("s", 6, 3)]
 
 
+def test_stream_runs_over_three_batches(spark, tmp_path, monkeypatch):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    from reviewlake.streaming import ingest
+
+    seen = []
+    real = ingest.write_run
+    monkeypatch.setattr(ingest, "write_run", lambda *a: (seen.append(a[4]), real(*a))[1])
+    run = lambda: start_ingest(spark, str(src), "comment", out, files_per_batch=1, runs=True).awaitTermination()
+    at = 1_700_000_000
+    for n, repo in enumerate(("r", "r", "s")):
+        land(src, repo, f"a{n}.json", {"id": n}, pull_request_id=5, run="2024-01-01", mtime=at + n)
+    for n, repo in enumerate("rs"):
+        land(src, repo, f"end{n}.json", run="2024-01-01", run_end=True, mtime=at + 10 + n)
+    run()
+    assert len(seen) == 5
+    assert stored(spark, out, "pr_comments", "repo", "pr_id", "comment_id") == [("r", 5, 0), ("r", 5, 1), ("s", 5, 2)]
+    land(src, "r", "b0.json", {"id": 7}, {"id": 8}, pull_request_id=6, run="2024-01-02", mtime=at + 20)
+    land(src, "s", "b1.json", run="2024-01-02", run_end=True, mtime=at + 21)
+    run()
+    assert stored(spark, out, "pr_comments", "repo", "comment_id") == [("r", 0), ("r", 1)]  # r goes on, s ended empty
+    land(src, "r", "b2.json", {"id": 9}, pull_request_id=6, run="2024-01-02", run_end=True, mtime=at + 22)
+    run()
+    assert stored(spark, out, "pr_comments", "repo", "comment_id") == [("r", 7), ("r", 8), ("r", 9)]
+
+
+@pytest.mark.parametrize("record, key", [("pipeline", "pipeline_uuid"), ("deployment", "deployment_uuid")])
+def test_stream_upserts_runs_over_stored_rows(spark, tmp_path, record, key):
+    from reviewlake.operators.projections import TABLE_OF
+
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    run = lambda: start_ingest(spark, str(src), record, out).awaitTermination()
+    land(src, "r", "a.json", *({"uuid": f"{{{i}}}", "state": {"name": "OPEN"}} for i in range(30)), mtime=1_700_000_000)
+    run()
+    land(src, "r", "b.json", {"uuid": "{3}", "state": {"name": "DONE"}}, {"uuid": "{x}", "state": {"name": "NEW"}}, mtime=1_700_000_100)
+    run()
+    got = stored(spark, out, TABLE_OF[record], key, "state_name")
+    assert got == sorted([(f"{{{i}}}", "DONE" if i == 3 else "OPEN") for i in range(30)] + [("{x}", "NEW")])
+
+
 @pytest.mark.parametrize("table", ["pull_requests", "pr_report", "pipeline_report", "deployments"])
 def test_schemas_have_no_duplicate_columns(table):
     names = SCHEMAS[table].names
