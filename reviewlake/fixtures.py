@@ -6,6 +6,7 @@ the same text on their side.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -352,16 +353,42 @@ def raw_json(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return rows.select(*keys, F.to_json("item").alias("raw_json"))
 
 
-def land_pages(spark: SparkSession, sf_dir: str) -> str:
-    """Write the pull requests as page documents, one per line, in ``repo=`` folders.
+def land_pages(
+    spark: SparkSession,
+    sf_dir: str,
+    kind: str = "pull_request",
+    where: str = "true",
+    path: str | None = None,
+    run: str | None = None,
+    broken: str = "false",
+) -> str:
+    """Write records as page documents, one per line, in ``repo=`` folders; returns the path.
 
-    Ids are unique within a repository, so a page holds at most 50 records. Returns the path.
+    Ids are unique within a repository, so a page holds at most 50 of them; children lie on pages of their pull
+    request, which names it. ``where`` and ``broken`` are SQL: the records that land, and those whose id is no number.
     """
-    rows = record(spark, sf_dir, "pull_request")
-    page = F.floor(F.col("pr_id") / 50)
-    pages = rows.groupBy("repo", page.alias("page")).agg(F.collect_list("item").alias("values"))
-    document = F.to_json(_s(values=F.col("values"), next=F.lit("")))
-    path = shared_dir(spark, "pages")
+    rows = record(spark, sf_dir, kind).where(where)
+    if "pipeline_uuid" in rows.columns:
+        number = F.regexp_extract("pipeline_uuid", r"\d+", 0).cast("long") / 25
+    else:
+        number = F.col("pr_id")
+    child = kind not in ("pull_request", "pipeline", "deployment")
+    page = number if child else F.floor(number / 50)
+    odd = F.regexp_replace(F.to_json("item"), r'"id":(\d+)', '"id":"no $1"')
+    text = F.when(F.expr(broken), odd).otherwise(F.to_json("item"))
+    pages = rows.groupBy("repo", page.alias("page")).agg(F.array_join(F.collect_list(text), ",").alias("records"))
+    parent = F.col("page") if child else F.lit(None).cast("long")
+    head = F.to_json(_s(next=F.lit(""), run=F.lit(run), pull_request_id=parent))
+    start = F.left(head, F.length(head) - 1)
+    document = F.concat(start, F.lit(',"values":['), F.col("records"), F.lit("]}"))
+    path = path or shared_dir(spark, "pages")
     texts = spread_by_repo(pages.select(document.alias("value"), "repo"))
-    texts.write.partitionBy("repo").text(path)
+    texts.write.mode("append").partitionBy("repo").text(path)
     return path
+
+
+def land_run_ends(spark: SparkSession, path: str, run: str, repos: list[str]) -> None:
+    """The pages that end a run of the given repositories."""
+    page = json.dumps({"next": "", "run": run, "run_end": True, "values": []})
+    ends = spark.createDataFrame([(page, repo) for repo in repos], "value string, repo string")
+    ends.coalesce(1).write.mode("append").partitionBy("repo").text(path)

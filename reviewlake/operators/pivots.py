@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.text import second_part
+from reviewlake.session import kept
 
 
 def with_report_columns(df: DataFrame) -> DataFrame:
@@ -47,11 +48,12 @@ def _spread(cells: DataFrame, index: str, column: str, value: str, columns) -> D
     """Grouped cells to one row per ``index``; cells without rows stay NULL.
 
     The cells are already one row per pair, so the pivot moves groups and not source rows.
-    Without ``columns`` a job looks up the distinct names first, and Spark refuses to build
-    more than ``spark.sql.pivotMaxValues`` of them; the grouped cells are the way beyond that. A name
-    that is not among given ``columns`` stops the job: its rows must not vanish.
+    Without ``columns`` the cells are written, which runs the input once; the distinct names and the table are
+    both read from them. Spark refuses to build more than ``spark.sql.pivotMaxValues`` columns; the grouped
+    cells are the way beyond that. A name that is not among given ``columns`` stops the job: its rows must not vanish.
     """
     if not columns:
+        cells = kept(cells, "pivot-cells")
         return cells.groupBy(index).pivot(column).agg(F.first(value))
     known = F.col(column).isin(list(columns))
     unknown = F.raise_error(F.concat(F.lit("no pivot column for "), F.col(column)))

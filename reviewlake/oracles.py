@@ -271,9 +271,87 @@ _TABLE_PRS = (
 )
 _RUN_PAGE = "ORDER BY created_on DESC, repo, pipeline_uuid"
 
+
+
+def _user(column: str) -> str:
+    return f"json_object('display_name', {column}, 'uuid', '{{' || {column} || '}}')"
+
+
+def _text(*members: str) -> str:
+    """The record as JSON text, absent members left out; appended to a projection."""
+    return f", CAST(json_merge_patch('{{}}', json_object({', '.join(members)})) AS VARCHAR) AS raw_json "
+
+
+def _ref(side: str) -> str:
+    return f"json_object('branch', json_object('name', {side}_branch), 'repository', json_object('full_name', {side}_repo))"
+
+
+RAW_JSON = {
+    "p1_pull_requests": _text(
+        "'id', pr_id, 'type', 'pullrequest', 'title', title, 'description', description, 'state', state, 'comment_count', 2",
+        f"'author', {_user('author')}",
+        "'reviewers', json_array(json_object('display_name', author, 'approved', state = 'MERGED', 'role', 'AUTHOR'))",
+        "'created_on', created_on || 'T23:30:00.123456-07:00', 'updated_on', updated_on || 'T00:30:00.5+07:00'",
+        f"'source', {_ref('src')}, 'destination', {_ref('dest')}",
+    ),
+    "p2_commits": _text(
+        "'hash', hash, 'message', message, 'date', CASE WHEN date <> '' THEN replace(date, 'Z', '.25+00:00') END",
+        f"'author', json_object('user', {_user('author')})",
+    ),
+    "p3_activity": _text(
+        "'pull_request', CASE WHEN activity_type <> 'approval' THEN json_object('id', pr_id) END",
+        "'approval', CASE WHEN activity_type = 'approval' THEN json_object('date', activity_content || 'T09:00:00.000001+02:00', "
+        f"'user', {_user('activity_user')}) END",
+        "'comment', CASE WHEN activity_type = 'pullrequest_comment' THEN json_object('id', length(activity_content), "
+        "'type', activity_type, 'created_on', '2024-01-02T03:04:05.999+00:00', 'updated_on', '2024-01-02T03:04:06Z', "
+        f"'content', json_object('raw', activity_content), 'user', {_user('activity_user')}) END",
+        f"'update', CASE WHEN activity_type = 'update' THEN json_object('author', {_user('activity_user')}, 'state', 'OPEN') END",
+    ),
+    "p4_diffstat": _text(
+        "'type', 'diffstat', 'lines_added', lines_added, 'lines_removed', lines_removed, 'status', 'modified'",
+        "'new', json_object('path', 'src/a')",
+    ),
+    "p5_comments": _text(
+        "'id', comment_id, 'created_on', created_day || 'T01:02:03.5Z', 'content', json_object('raw', content)",
+        "'inline', CASE WHEN path <> '' THEN json_object('from', line_from, 'to', line_to, 'path', path) END",
+        "'parent', CASE WHEN parent_id <> 0 THEN json_object('id', parent_id) END",
+        f"'user', {_user('comment_user')}, 'deleted', CASE WHEN deleted THEN true END",
+    ),
+    "p6_statuses": _text(
+        "'state', 'SUCCESSFUL', 'key', 'build', 'url', url, 'created_on', '2024-01-02T03:04:05.999-03:00'"
+    ),
+    "p7_runs": _text(
+        "'uuid', pipeline_uuid, 'build_number', build_number, 'run_number', run_number",
+        f"'creator', CASE WHEN creator <> '' THEN {_user('creator')} END",
+        "'target', json_object('ref_type', target_ref_type, 'ref_name', target_ref_name)",
+        "'trigger', json_object('type', nullif(trigger_type, ''))",
+        "'state', json_object('name', state_name, 'result', json_object('name', result_name))",
+        "'created_on', replace(created_on, 'Z', '.75Z'), 'completed_on', replace(nullif(completed_on, ''), 'Z', '.25+00:00')",
+        "'build_seconds_used', build_seconds_used, 'expired', false",
+    ),
+    "p8_deployments": _text(
+        "'uuid', deployment_uuid, 'state', json_object('name', state_name, 'status', json_object('name', status_name))",
+        "'pipeline', json_object('uuid', pipeline_uuid)",
+        "'environment', json_object('uuid', environment_uuid, 'name', environment_name)",
+        "'created_on', created_on || 'T05:06:07.123Z'",
+    ),
+}
+
+
+def _placed(body: str, order: str) -> str:
+    return f"SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rank FROM ({body}) placed"
+
+
 BODIES: dict[str, str] = {
     # scans, sources, sinks
     "s1_page_scan": "SELECT repo, pr_id, title, state, author, src_repo FROM fx_pull_requests",
+    "s1_child_pages": "SELECT 'activity' AS kind, repo, pr_id, activity_type AS said FROM fx_pr_activity "
+    "UNION ALL SELECT 'commit', repo, pr_id, hash FROM fx_pr_commits "
+    "UNION ALL SELECT 'comment', repo, pr_id, content FROM fx_pr_comments "
+    "UNION ALL SELECT 'status', repo, pr_id, url FROM fx_pr_statuses "
+    "UNION ALL SELECT 'diffstat', repo, pr_id, 'src/a' FROM fx_pr_diffstat",
+    "s1_rejected_records": "SELECT repo, title, state, CASE WHEN state = 'DECLINED' THEN 'record' ELSE '' END "
+    "AS reason FROM fx_pull_requests",
     "s2_decode_prs": "SELECT repo, pr_id, title, description, author FROM fx_pull_requests",
     "s2_decode_activity": "SELECT repo, pr_id, activity_user FROM fx_pr_activity",
     "s2_decode_diffstat": "SELECT * FROM fx_pr_diffstat WHERE repo IN ('repo-1','repo-2')",
@@ -294,8 +372,14 @@ BODIES: dict[str, str] = {
     "s7_csv_scan": "SELECT * EXCLUDE (repo) FROM csv_rows",
     "k1_upsert": "SELECT repo, pr_id, CASE WHEN state = 'MERGED' THEN title || ' v2' ELSE title "
     "END AS title, state, author AS author_display_name FROM fx_pull_requests",
-    "k1_stream_upsert": "SELECT repo, pr_id, title, state, created_on, updated_on "
-    "FROM fx_pull_requests",
+    "k1_stream_upsert": "SELECT repo, pr_id, CASE WHEN state = 'MERGED' THEN '' ELSE 'old ' END || title "
+    "AS title, state, created_on, updated_on FROM fx_pull_requests",
+    "k1_stream_runs": "SELECT repo, pipeline_uuid, build_number, state_name, CASE WHEN state_name = 'COMPLETED' "
+    "THEN result_name ELSE 'UNKNOWN' END AS result_name FROM fx_pipelines",
+    "k1_stream_deployments": "SELECT repo, deployment_uuid, pipeline_uuid, environment_name, "
+    "CASE WHEN status_name = 'FAILED' THEN status_name ELSE 'UNKNOWN' END AS status_name FROM fx_deployments",
+    "k3_stream_runs": "SELECT repo, pr_id, comment_id, content AS content_raw, parent_id FROM fx_pr_comments "
+    "WHERE repo NOT IN ('repo-1','repo-2','repo-4') OR (repo IN ('repo-1','repo-2') AND deleted)",
     "k2_insert_absent": "SELECT * FROM links EXCEPT SELECT repo, pr_id, "
     "regexp_extract(url, '/pipelines/results/([^?#]*)', 1) FROM fx_pr_statuses "
     "WHERE contains(url, '?')",
@@ -519,6 +603,14 @@ BODIES: dict[str, str] = {
         "csv_rows",
         '"User" <> "Author"',
     ),
+    "n7_cross_activity_by_user": _pivot(
+        '"User"',
+        "Type",
+        ["approval", "pullrequest_comment"],
+        'count("Total") FILTER (WHERE {cond})',
+        "csv_rows",
+        '"User" <> "Author"',
+    ),
     "n8_share_of_total": 'SELECT "Author", CAST(sum("Total") AS BIGINT) AS total, '
     'round(sum("Total") * 100.0 / (SELECT sum("Total") FROM csv_prs), 1) AS pct, '
     'CAST(sum("Total") AS BIGINT) AS absolute FROM csv_prs GROUP BY 1',
@@ -584,19 +676,24 @@ BODIES: dict[str, str] = {
     f"THEN activity_type ELSE 'comment' END AS kind, {_N} AS n FROM fx_pr_activity GROUP BY 1, 2",
 }
 
-# A salted join gives the rows of the plain one. Ordered results hold the same rows as the aggregate they order; unit tests check the order.
+# A salted join gives the rows of the plain one. Ordered results are the aggregate they order with the place of every row.
 BODIES["j1_pr_activity_salted"] = BODIES["j1_pr_activity"]
 BODIES["j5_run_deployments_salted"] = (
     "SELECT repo, pipeline_uuid, result_name, environment_name FROM ci"
 )
-BODIES["o1_by_value"] = BODIES["a3_prs_by_author"]
-BODIES["o2_by_label"] = BODIES["a11_runs_by_month"]
-BODIES["o3_by_total"] = (
-    f"SELECT split_part(src_repo, '/', 2) AS label, {_CHANGES} FROM prs GROUP BY 1"
+BODIES["o1_by_value"] = _placed(BODIES["a3_prs_by_author"], "value DESC, label")
+BODIES["o2_by_label"] = _placed(BODIES["a11_runs_by_month"], "label")
+BODIES["o3_by_total"] = _placed(
+    f"SELECT split_part(src_repo, '/', 2) AS label, {_CHANGES} FROM prs GROUP BY 1", "total DESC, label"
+)
+BODIES["o4_by_activity"] = _placed(BODIES["o4_by_activity"], "approval + comment DESC, label")
+BODIES["o5_by_results"] = _placed(
+    BODIES["a12_results_by_repo"], "successful + failed + error + stopped DESC, label"
 )
-BODIES["o5_by_results"] = BODIES["a12_results_by_repo"]
-BODIES["o6_by_month_and_ref"] = BODIES["a14_deployment_frequency"]
-BODIES["n7_cross_activity_by_user"] = BODIES["n6_activity_by_user"]
+BODIES["o6_by_month_and_ref"] = _placed(BODIES["a14_deployment_frequency"], "month, environment")
+for name, text in RAW_JSON.items():
+    projection, view = BODIES[name].rsplit("FROM fx_", 1)
+    BODIES[name] = f"{projection.rstrip()}{text}FROM fx_{view}"
 
 
 ORACLES: dict[str, str] = {name: _with(body) for name, body in BODIES.items()}

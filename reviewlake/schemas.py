@@ -100,7 +100,7 @@ KEYS: dict[str, tuple[str, ...]] = {
 }
 
 #: Buckets by key that a new table's repositories are cut into; tables that are only replaced need one.
-BUCKETS: dict[str, int] = {"pull_requests": 16, "pipelines": 16, "deployments": 16, "pr_pipelines": 16}
+BUCKETS: dict[str, int] = {"pull_requests": 8, "pipelines": 8, "deployments": 8, "pr_pipelines": 8}
 
 #: File order within a repository: the date the table is filtered on, or the parent's id.
 SORTED_BY: dict[str, tuple[str, ...]] = {

@@ -76,10 +76,21 @@ def _touched(df: DataFrame) -> set[tuple[str, int]]:
 
 
 def write_upsert(
-    spark: SparkSession, new: DataFrame, path: str, table: str, seq: str = "seq"
+    spark: SparkSession,
+    new: DataFrame,
+    path: str,
+    table: str,
+    seq: str = "seq",
+    buckets: int | None = None,
 ) -> None:
-    """Merge a batch into a stored table; only buckets that hold keys of the batch are rewritten."""
+    """Merge a batch into a stored table; only buckets that hold keys of the batch are rewritten.
+
+    ``buckets`` is the number of key buckets of a repository in a table that does not exist yet: the more,
+    the less a small batch rewrites of a large repository, and the more files small ones have.
+    """
     last = versions.newest(spark, path, table)
+    if buckets and not last.number:
+        last = Version(0, buckets)
     touched = _touched(with_bucket(new, table, last))
     if not touched and last.number:
         return

@@ -85,7 +85,7 @@ def files(spark, path, table):
 
 def test_ten_changed_rows_rewrite_their_buckets_only(spark, rows, tmp_path):
     path = str(tmp_path / "prs")
-    store.write_upsert(spark, seq(many(rows, 400).unionByName(many(rows, 400, repo="s")), 1), path, "pull_requests")
+    store.write_upsert(spark, seq(many(rows, 400).unionByName(many(rows, 400, repo="s")), 1), path, "pull_requests", buckets=16)
     before = store.version(spark, path, "pull_requests").live()
     assert {(f.repo, f.bucket) for f in before} == {(r, b) for r in "rs" for b in range(16)}
     assert sum(f.rows for f in before) == 800
@@ -101,7 +101,7 @@ def test_ten_changed_rows_rewrite_their_buckets_only(spark, rows, tmp_path):
 
 def test_an_upsert_opens_only_buckets_of_its_keys(spark, rows, tmp_path, monkeypatch):
     path = str(tmp_path / "prs")
-    store.write_upsert(spark, seq(many(rows, 200), 1), path, "pull_requests")
+    store.write_upsert(spark, seq(many(rows, 200), 1), path, "pull_requests", buckets=16)
     opened = []
     read = store.versions.read_files
     monkeypatch.setattr(store.versions, "read_files", lambda spark, path, table, files: read(spark, path, table, opened.append(list(files)) or opened[-1]))
