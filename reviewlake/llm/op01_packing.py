@@ -38,7 +38,7 @@ CAPACITY = 2048
 END_ID = 1
 CUT_COST = 6
 LEAST_PIECE = 16
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 4_000_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 

@@ -8,7 +8,8 @@ array, then three sections and a fixed footer:
 * null bits: the number of leading documents without an id is in the footer.
 
 An Elias-Fano sequence of n values up to u takes about 2 + log2(u / n) bits a value. ``select`` finds
-value i from a sample of every 256th one bit and counts from there; no table of 64-bit offsets exists.
+value i from a sample of every 256th one bit and counts from there; readers select the bounds and doc ids of a block of
+documents at a time, so no table of 64-bit offsets exists.
 
 Tasks write a shard under a name of their own and rename it, so a task that runs again after a lost
 executor replaces equal bytes. Ids are streamed: a task holds one slice of texts at a time.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewlake.llm.common import cut, documents, slices
-from reviewlake.llm.tokens import library_encoder
+from reviewlake.llm.tokens import highest_id, library_encoder
 from reviewlake.session import shared_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,7 +42,8 @@ MAGIC = b"EFTOK001"
 FOOTER = "<QQQqQQ8s"  # documents, tokens, null ids, first id, bytes of both sections, magic
 HEAD = "<QBQQ"  # values, low bits, bytes of the low and of the high part
 SAMPLE = 256
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 2_500_000
+READ_DOCS = 4 * SAMPLE
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 
 
@@ -89,13 +91,20 @@ class EliasFano:
         piece = int.from_bytes(self.low[at // 8 : (at + self.low_bits + 7) // 8].tobytes(), "little")
         return ((byte * 8 + int(inside) - i) << self.low_bits) | (piece >> (at % 8)) & ((1 << self.low_bits) - 1)
 
-    def values(self) -> np.ndarray:
-        """All values, unsigned 64-bit."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        for j in range(self.low_bits):
-            out |= bits[:, j].astype(np.uint64) << np.uint64(j)
+    def select_block(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1, unsigned 64-bit, from the bytes between two samples."""
+        if i >= j:
+            return np.zeros(0, np.uint64)
+        sample, after = i // SAMPLE, -(-j // SAMPLE)
+        begin = int(self.samples[sample])
+        end = int(self.samples[after]) + 1 if after < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[begin:end], bitorder="little"))
+        ones = ones[i - int(self.before[sample]) :][: j - i] + 8 * begin
+        out = (ones - np.arange(i, j)).astype(np.uint64) << np.uint64(self.low_bits)
+        first, last = i * self.low_bits, j * self.low_bits
+        bits = np.unpackbits(self.low[first // 8 : -(-last // 8)], bitorder="little")[first % 8 :][: last - first]
+        for k, column in enumerate(bits.reshape(j - i, self.low_bits).T):
+            out |= column.astype(np.uint64) << np.uint64(k)
         return out
 
 
@@ -105,11 +114,12 @@ def _file_system(folder: str):
     return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
 
 
-def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, id_bytes: int = 2) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, id_bytes: int | None = None) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into shards below ``folder``; one row for each shard, in doc_id order.
 
-    ``folder`` must be reachable from all executors. ``id_bytes`` is 2 for vocabularies below 65,536 ids.
+    ``folder`` must be reachable from all executors. ``id_bytes`` is 2 or 4, by default as the vocabulary needs.
     """
+    id_bytes = id_bytes or (2 if max(highest_id(vocabulary), end_id) < 2**16 else 4)
     kind = f"<u{id_bytes}"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,6 +135,8 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
                 temporary = f"{root}/.{shard}-{uuid.uuid4().hex}"
                 out = files.open_output_stream(temporary)
             tokens, bounds = encoder.encode(batch.column(1))
+            if max(int(tokens.max(initial=0)), end_id) >> 8 * id_bytes:
+                raise ValueError(f"an id does not fit {id_bytes} bytes")
             out.write(np.insert(tokens, bounds[1:], np.uint32(end_id)).astype(kind).tobytes())
             ids += batch.column(0).to_pylist()
             lengths += (np.diff(bounds) + 1).tolist()
@@ -164,8 +176,13 @@ class Shard:
             raise ValueError(f"{path} is no token shard")
         at = self.n_tokens * self.id_bytes
         self.starts = EliasFano.from_bytes(self.file.read_at(starts, at))
-        named = EliasFano.from_bytes(self.file.read_at(names, at + starts)).values()
-        self.doc_ids: list[int | None] = [None] * nulls + (named + np.uint64(first % 2**64)).astype(np.int64).tolist()
+        self.names = EliasFano.from_bytes(self.file.read_at(names, at + starts))
+        self.nulls, self.first = nulls, np.uint64(first % 2**64)
+
+    def doc_ids(self, i: int, j: int) -> list[int | None]:
+        """Ids of documents i to j - 1; those without one come first."""
+        named = self.names.select_block(max(0, i - self.nulls), max(0, j - self.nulls))
+        return [None] * (min(j, self.nulls) - min(i, self.nulls)) + (named + self.first).astype(np.int64).tolist()
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         data = self.file.read_at((stop - start) * self.id_bytes, start * self.id_bytes)
@@ -186,14 +203,14 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 shard = Shard(path)
-                bounds = shard.starts.values().astype(np.int64)
                 i = 0
                 while i < shard.n_docs:
-                    j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + SLICE_BYTES // 4, "right")) - 1)
-                    ids = shard.ids(bounds[i], bounds[j])
-                    arrays = pa.ListArray.from_arrays(pa.array(bounds[i : j + 1] - bounds[i], pa.int32()), pa.array(ids.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids[i:j], pa.int64()), pa.array(bounds[i:j] + base), arrays], ["doc_id", "start", "ids"])
-                    i = j
+                    bounds = shard.starts.select_block(i, min(i + READ_DOCS, shard.n_docs) + 1).astype(np.int64)
+                    n = max(1, int(np.searchsorted(bounds, bounds[0] + SLICE_BYTES // 4, "right")) - 1)
+                    ids = shard.ids(bounds[0], bounds[n])
+                    arrays = pa.ListArray.from_arrays(pa.array(bounds[: n + 1] - bounds[0], pa.int32()), pa.array(ids.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids(i, i + n), pa.int64()), pa.array(bounds[:n] + base), arrays], ["doc_id", "start", "ids"])
+                    i += n
 
     return placed.repartition(n).mapInArrow(read, "doc_id long, start long, ids array<int>")
 

@@ -19,12 +19,12 @@ SAFE_SPACE = re.compile(r"(?<=\S) ")
 UNSAFE_SPACE = r"\x00|(^|[\s\x1c-\x1f\x{85}\p{Z}]) "
 #: A word of settled letters and the other marks behind it are separate matches of the pattern.
 #: Letters of these ranges are letters in every Unicode version.
-WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?%&$#*|]+)")
+WORD_AND_MARKS = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<marks>[.,;:!?%&$#*|]+)$"
 REMEMBERED_CHARS = 48
 #: Texts that are encoded joined at a time.
 JOINED = 5_000
-#: Marks of a text's first unit, and of another unit that begins with a NUL.
-FIRST, LATER = "\0F", "\0L"
+#: Marks of a text's first unit, of another unit that begins with a NUL, and of a word's marks.
+FIRST, LATER, MARKS = "\0F", "\0L", "\0M"
 
 
 def _marked(text: str) -> list[str]:
@@ -74,36 +74,38 @@ class UnitEncoder:
             parts = pa.array(listed, pa.large_list(pa.large_string()))
         bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         coded = parts.flatten().dictionary_encode()
-        ids, sizes = self._units(coded.dictionary.to_pylist())
+        # a unit is a word and the marks behind it, or one piece and no marks
+        split = pc.extract_regex(coded.dictionary, WORD_AND_MARKS)
+        heads = pc.coalesce(pc.struct_field(split, "word"), coded.dictionary).dictionary_encode()
+        marks = pc.fill_null(pc.struct_field(split, "marks"), "")
+        tails = pc.binary_join_element_wise(pa.scalar(MARKS, pa.large_string()), marks, pa.scalar("", pa.large_string())).dictionary_encode()
+        pieces = self._ids(heads.dictionary.to_pylist() + tails.dictionary.to_pylist())
+        ids = np.frombuffer(b"".join(pieces), dtype="<u4")
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
         index = coded.indices.to_numpy()
-        starts = np.cumsum(sizes) - sizes
-        counts = sizes[index]
+        piece = np.empty(2 * len(index), dtype=np.int64)
+        piece[0::2] = heads.indices.to_numpy()[index]
+        piece[1::2] = tails.indices.to_numpy()[index] + len(heads.dictionary)
+        counts = sizes[piece]
         ends = np.concatenate([[0], np.cumsum(counts)])
-        take = np.repeat(starts[index] - ends[:-1], counts) + np.arange(ends[-1])
-        return ids[take], ends[bounds]
+        take = np.repeat((np.cumsum(sizes) - sizes)[piece] - ends[:-1], counts) + np.arange(ends[-1])
+        return ids[take], ends[2 * bounds]
 
-    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.memory.find(units)
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        found = self.memory.find(pieces)
         missing = [i for i, ids in enumerate(found) if ids is None]
-        split = {i: m for i in missing if (m := WORD_AND_MARKS.fullmatch(units[i]))}
-        words = list({m[1] for m in split.values()})
-        heads = dict(zip(words, self.memory.find(words), strict=True))
-        marks = list({m[2] for m in split.values()})
-        plain = list(dict.fromkeys([w for w in words if heads[w] is None] + [units[i] for i in missing if i not in split]))
-        texts = [u[2:] if u.startswith(FIRST) else " " + u.removeprefix(LATER) for u in plain]
-        new = self.encode_all(texts + marks)
-        fresh = dict(zip(plain, new, strict=False))
-        tails = dict(zip(marks, new[len(plain) :], strict=True))
-        for i in missing:
-            m = split.get(i)
-            found[i] = (heads[m[1]] or fresh[m[1]]) + tails[m[2]] if m else fresh[units[i]]
-            if len(units[i]) <= REMEMBERED_CHARS and not units[i].startswith("\0"):
-                self.memory.add(units[i], found[i])
-        for word in words:
-            if heads[word] is None and len(word) <= REMEMBERED_CHARS:
-                self.memory.add(word, fresh[word])
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        return np.frombuffer(b"".join(found), dtype="<u4"), sizes
+        for i, ids in zip(missing, self.encode_all([_text(pieces[i]) for i in missing]), strict=True):
+            found[i] = ids
+            if len(pieces[i]) <= REMEMBERED_CHARS and not pieces[i].startswith((FIRST, LATER)):
+                self.memory.add(pieces[i], ids)
+        return found
+
+
+def _text(piece: str) -> str:
+    """What a piece stands for in its text."""
+    if piece[:1] != "\0":
+        return " " + piece
+    return " " + piece[2:] if piece.startswith(LATER) else piece[2:]
 
 
 @lru_cache(maxsize=2)
@@ -140,6 +142,12 @@ def library_encoder(path: str) -> UnitEncoder:
     return UnitEncoder(encode_all)
 
 
+def highest_id(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab().values(), default=0)
+
+
 @lru_cache(maxsize=2)
 def rank_encoding(path: str):
     """The tiktoken encoding of a local rank file; one per Python worker."""

@@ -103,8 +103,20 @@ def test_remainders_are_cut_whole():
 @pytest.mark.parametrize("values", [[], [0], [0, 0, 0], [3, 3, 900, 10**12], list(range(0, 5000, 7))])
 def test_elias_fano_round_trip(values):
     coded = op06_elias_fano.EliasFano.from_bytes(op06_elias_fano.EliasFano.of(np.array(values)).to_bytes())
-    assert coded.values().tolist() == values
+    assert coded.select_block(0, len(values)).tolist() == values
     assert [coded.select(i) for i in range(len(values))] == values
+    for i, j in ((0, 1), (1, 2), (255, 257), (256, 513), (3, 700), (700, 715)):
+        if j <= len(values):
+            assert coded.select_block(i, j).tolist() == values[i:j]
+
+
+def test_id_width_follows_the_vocabulary(spark, docs, monkeypatch):
+    few = docs.filter("doc_id < 3")
+    wide = op06_elias_fano.write_shards(few, shared_dir(spark, "wide"), end_id=70_000)
+    assert all(r.path.endswith(".tok4") for r in wide.collect())
+    assert {r.ids[-1] for r in op06_elias_fano.read_shards(wide).collect()} == {70_000}
+    with pytest.raises(Exception, match="does not fit"):
+        op06_elias_fano.write_shards(few, shared_dir(spark, "narrow"), end_id=70_000, id_bytes=2)
 
 
 def test_shards_give_back_all_documents(spark, docs):
