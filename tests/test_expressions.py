@@ -78,11 +78,11 @@ def test_run_month_skips_zero_and_unreadable(spark):
 @pytest.mark.parametrize(
     "created, completed, build, expected",
     [
-        ("2024-01-01T10:00:00Z", "2024-01-01T10:05:00Z", 0, 300),
-        ("2024-01-01T10:00:00Z", "", 120, 120),
-        ("not a time", "2024-01-01T10:05:00Z", 60, 60),
-        ("2024-01-01T10:05:00Z", "2024-01-01T10:00:00Z", 42, 42),
-        ("2024-01-01T10:00:00Z", "2024-01-01T10:00:45Z", 0, 45),
+        ("2023-02-28T23:59:30Z", "2023-03-01T00:00:30Z", 4, 60),
+        ("2024-06-01T08:00:00+05:30", "2024-06-01T02:30:00Z", 15, 15),
+        ("2024-06-01T08:00:00Z", None, 0, 0),
+        ("2024-13-01T00:00:00Z", "2025-06-01T00:00:00Z", 77, 77),
+        ("2024-12-31T23:59:59-12:00", "2025-01-01T12:00:00Z", 3, 1),
         ("2024-01-01T10:00:00+02:00", "2024-01-01T09:00:00Z", 7, 3600),
         ("2024-01-01T10:00:00.9Z", "2024-01-01T10:00:01.1Z", 9, 9),
         ("1900-01-01T00:00:00Z", "2024-01-01T10:00:00Z", 5, 3913092000),

@@ -10,7 +10,7 @@ from reviewlake.operators.pivots import activity_pivot
 from reviewlake.streaming.ingest import flatten
 from reviewlake.schemas import RECORDS
 from reviewlake.sources.csvs import EXPORT_COLUMNS, export_csv, read_activity_csv
-from reviewlake.sources.pages import read_pages
+from reviewlake.sources.pages import read_pages, sorted_out, split_rejected
 from reviewlake.sources.raw import decode_raw
 
 
@@ -80,3 +80,25 @@ def test_pivots_take_every_type(spark):
     assert set(activity_pivot(rows, "User", drop_self=True).columns) == {"User", "approval", "change_request"}
     with pytest.raises(Exception, match="no pivot column"):
         activity_pivot(rows, "SrcRepo", ["approval"]).collect()
+
+
+def test_rejected_pages_and_records_come_beside_the_good_ones(spark):
+    good, odd = {"id": 4, "hidden": 1}, {"id": "four"}
+    texts = [
+        json.dumps({"values": [good, odd, {}], "pull_request_id": 8}),
+        '{"values": [{"id": 5}',
+        json.dumps({"values": [], "next": "x"}),
+        json.dumps({"values": {"id": 6}}),
+        json.dumps({"values": [7, None, {"id": 9}]}),
+        "",
+        None,
+    ]
+    pages = spark.createDataFrame([(f"r{i}", t) for i, t in enumerate(texts)], "repo string, value string")
+    rows, bad = split_rejected(sorted_out(pages, RECORDS["comment"]))
+    got = {(r.repo, r.pull_request_id, r.id) for r in rows.collect()}
+    assert got == {("r0", 8, 4), ("r0", 8, None), ("r4", None, 9)}
+    assert {json.dumps(json.loads(r.record_json), sort_keys=True) for r in rows.where("id = 4").collect()} == {json.dumps(good, sort_keys=True)}
+    found = {(r.repo, r.reject_reason, r.reject_text) for r in bad.collect()}
+    assert ("r0", "record", json.dumps(odd, separators=(",", ":"))) in found
+    assert {x[:2] for x in found} >= {("r0", "record"), ("r1", "page"), ("r3", "page"), ("r4", "record"), ("r5", "page"), ("r6", "page")}
+    assert {x[2] for x in found if x[0] == "r1"} == {texts[1]}

@@ -408,6 +408,22 @@ def test_stream_runs_over_three_batches(spark, tmp_path, monkeypatch):
     assert stored(spark, out, "pr_comments", "repo", "comment_id") == [("r", 7), ("r", 8), ("r", 9)]
 
 
+def test_stream_sets_bad_records_aside(spark, tmp_path):
+    src, out, bad = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "bad")
+    run = lambda: start_ingest(spark, str(src), "pull_request", out, rejected=bad).awaitTermination()
+    land(src, "r", "a.json", {"id": 1, "title": "good"}, {"id": "none", "title": "odd"}, mtime=1_700_000_000)
+    (src / "repo=r" / "b.json").write_text('{"values": [{"id"')
+    run()
+    assert stored(spark, out, "pull_requests", "repo", "pr_id", "title") == [("r", 1, "good")]
+    rows = spark.read.parquet(bad).select("repo", "reject_reason", "reject_text").collect()
+    assert sorted((r.repo, r.reject_reason) for r in rows) == [("r", "page"), ("r", "record")]
+    land(src, "r", "c.json", {"id": 1, "title": "later"})
+    run()
+    assert stored(spark, out, "pull_requests", "repo", "pr_id", "title") == [("r", 1, "later")]
+    with pytest.raises(ValueError):
+        start_ingest(spark, str(src), "comment", out, runs=True, rejected=bad)
+
+
 @pytest.mark.parametrize("record, key", [("pipeline", "pipeline_uuid"), ("deployment", "deployment_uuid")])
 def test_stream_upserts_runs_over_stored_rows(spark, tmp_path, record, key):
     from reviewlake.operators.projections import TABLE_OF
