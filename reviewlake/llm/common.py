@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from reviewlake.session import shared_dir
 
 
+#: Places that a hash of an id may take when a share of the ids is chosen.
+HASH_PLACES = 1 << 40
+
 _SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
 
 
@@ -95,19 +98,25 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 50)
     return weights
 
 
+def known_labels(marks: DataFrame, column: str) -> DataFrame:
+    """(doc_id, label) of the training rows; repeated labels of a document count once, the greatest."""
+    known = marks.filter(F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
+    return known.filter(~held_out(F.col("doc_id")))
+
+
 def labelled_sample(docs: DataFrame, marks: DataFrame, column: str, rows: int) -> DataFrame:
-    """(text, label, rate) of at most ``rows`` training rows of each label, by a hash of doc_id.
+    """(text, label) of about ``rows`` training documents of each label, all of a label that has fewer.
 
-    Rows held out are never in it. ``rate`` is the share of label 1 among all labelled training rows, so that
-    the sample's balance can be undone. Repeated labels of a document count once, the greatest.
+    A document is in the sample if a hash of its id lies below the share of ``rows`` among its label, so no label
+    is sorted and none meets in one task. Rows held out are never in it. An id counts once, with
+    the text least by a hash.
     """
-    from pyspark.sql import Window
-
-    known = marks.filter(F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
-    known = known.filter(~held_out(F.col("doc_id")))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).drop("n")
-    rate = known.agg(F.avg("label").alias("rate"))  # one row
-    # at most 2 * rows ids: bounded
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return cut(found.join(F.broadcast(rate)).select(F.coalesce("text", F.lit("")).alias("text"), "label", "rate"), f"sample-{column}")
+    known = known_labels(marks, column)
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(HASH_PLACES))
+    below = F.coalesce(*(F.when(F.col("label") == label, rows * HASH_PLACES // n) for label, n in sizes.items()), F.lit(0))
+    chosen = known.filter(place < below)
+    # about 2 * rows ids: bounded
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    least = found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
+    return cut(least.select("text", "label"), f"sample-{column}")

@@ -6,8 +6,9 @@ blocks of ``BLOCK_BYTES``, all of them, so that the dictionary counts everywhere
 the share of bytes saved against the second best, scaled to 1 at ``FULL_MARGIN``. Below ``LEAST_MARGIN`` the
 prediction is marked ``rejected``.
 
-Sample: of each language the ``SAMPLE_ROWS`` training rows first in the order of a hash of doc_id, at most
-``SAMPLE_CHARS`` characters of each.
+Sample: of each language the ``SAMPLE_ROWS`` different training texts first in the order of a hash of the text, so copies
+count once. Of a text longer than ``SAMPLE_BLOCKS`` blocks of ``BLOCK_CHARS`` characters that many blocks are taken, by a hash
+of their numbers, from anywhere in it.
 
 Null text or text without a letter: ``und`` with score 0, rejected; so is everything if no row has a language.
 Ties go to the language with more training rows, then to the name. Repeated rows and ids get equal results,
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from reviewlake.llm.common import documents, held_out
 
 SAMPLE_ROWS = 64
-SAMPLE_CHARS = 2_000
+SAMPLE_BLOCKS = 4
+BLOCK_CHARS = 500
 BLOCK_BYTES = 4_096
 LEVEL = 3
 LEAST_MARGIN = 0.01
@@ -41,14 +43,23 @@ def plain(text: str | None) -> str:
     return " ".join(word for word, _ in groupby(WORD.findall((text or "").lower())))
 
 
+def blocks(text: str) -> Column:
+    """Some blocks of a text's characters in their order, all of a short text's, joined by spaces."""
+    last = f"(greatest(length({text}), 1) - 1) div {BLOCK_CHARS}"
+    picked = f"slice(array_sort(transform(sequence(0L, {last}), i -> struct(xxhash64(hash, i) as h, i as i))), 1, {SAMPLE_BLOCKS})"
+    in_order = f"array_sort(transform({picked}, p -> p.i))"
+    return F.expr(f"array_join(transform({in_order}, i -> substring({text}, cast(i * {BLOCK_CHARS} + 1 as int), {BLOCK_CHARS})), ' ')")
+
+
 def learn(training: DataFrame) -> list[tuple[str, bytes]]:
-    """(language, dictionary) from ``training`` (doc_id, text, lang), most frequent language first."""
-    rows = training.filter("lang is not null and text is not null")
+    """(language, dictionary) from ``training`` (text, lang), most frequent language first."""
+    rows = training.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("hash"))
     counts = rows.groupBy("lang").count()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("lang", "doc_id").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_ROWS)
-    # SAMPLE_ROWS rows a language: bounded
-    sample = rows.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "n").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+    order = Window.partitionBy("lang").orderBy("hash")
+    chosen = rows.select("lang", "hash").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_ROWS)
+    # SAMPLE_ROWS texts a language: bounded; copies of one add up before the shuffle
+    found = rows.join(F.broadcast(chosen), ["lang", "hash"]).withColumn("text", blocks("text"))
+    sample = found.groupBy("lang", "n").agg(F.min("text").alias("text"))
     texts: dict[str, list[tuple[int, str]]] = {}
     for row in sample.collect():
         texts.setdefault(row["lang"], []).append((row["n"], plain(row["text"])))

@@ -2,14 +2,16 @@
 
 A document's strength is a weighted sum of features of its whole text. Weights come from preference pairs
 (a document labelled 1 over one labelled 0) by logistic loss on the difference of their features, the
-Bradley-Terry likelihood. The threshold is the quantile of the training scores at the share of label 0; the
-score is the logistic of the distance to it, so 0.5 is the threshold.
+Bradley-Terry likelihood. The threshold is the quantile of the strengths of all labelled training rows at the share of label
+0 among them, with a rank error of at most one in ``ACCURACY``; the score is the logistic of the distance to it, so 0.5 is the
+threshold.
 
-Training: at most ``SAMPLE_ROWS`` labelled rows of each label, first in the order of a hash of doc_id, and at most
-``MAX_PAIRS`` pairs. With one label only, or none, all scores are that label's (0.5 without any).
+Training: the weights come from a sample of about ``SAMPLE_ROWS`` labelled documents of each label, chosen by a hash of
+doc_id, and at most ``MAX_PAIRS`` pairs. With one label only, or none, all scores are that label's (0.5 without any).
 
-Null or empty text: features of empty text. Repeated rows and ids get equal results, a null doc_id is kept
-and labels without a label are left out; other columns are not read. An empty table gives an empty result.
+Null or empty text: features of empty text. Very long texts are read whole. Rows of equal strength get equal scores; at the
+threshold the label is 1. Repeated rows and ids get equal results, a null doc_id is kept and labels without a label are
+left out; other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import documents, fit_logistic, held_out, labels, labelled_sample
+from reviewlake.llm.common import cut, documents, fit_logistic, held_out, known_labels, labelled_sample, labels
 
 SAMPLE_ROWS = 5_000
 MAX_PAIRS = 40_000
+ACCURACY = 100_000
 SEED = 17
 SYMBOLS = re.compile(r"[#*$%&|<>{}\[\]\\=+~^@]")
 DIGITS = re.compile(r"\d")
@@ -64,8 +67,9 @@ def features(text: str | None) -> list[float]:
     ]
 
 
-def learn(sample: DataFrame) -> dict:
-    """Model from a bounded ``sample`` (text, label): centre, spread and weights of features, threshold, scale."""
+def learn(sample: DataFrame, labelled: DataFrame) -> dict:
+    """Model: centre, spread and weights of features from a bounded ``sample`` (text, label), and the threshold from all
+    ``labelled`` rows (text, label), which may be many."""
 
     @F.pandas_udf("array<double>")
     def featured(text: pd.Series) -> pd.Series:
@@ -86,35 +90,39 @@ def learn(sample: DataFrame) -> dict:
     n = min(MAX_PAIRS, len(good) * len(bad))
     differences = good[rng.integers(0, len(good), n)] - bad[rng.integers(0, len(bad), n)]
     weights = fit_logistic(differences, np.ones(n), l2=1.0)
-    strength = x @ weights
-    share = sample.select(F.avg(1 - F.col("rate")).alias("s")).first()["s"]
-    threshold = weighted_quantile(strength, np.where(y == 1, (1 - share) / len(good), share / len(bad)), share)
-    scale = float(np.abs(strength[y == 1].mean() - strength[y == 0].mean())) / 6 + 1e-6
-    return {"centre": centre, "spread": spread, "weights": weights, "threshold": threshold, "scale": scale}
+    strengths = x @ weights
+    scale = float(np.abs(strengths[y == 1].mean() - strengths[y == 0].mean())) / 6 + 1e-6
+    model = {"centre": centre, "spread": spread, "weights": weights, "threshold": 0.0, "scale": scale}
+    return model | {"threshold": threshold(labelled, model)}
 
 
-def weighted_quantile(values: np.ndarray, weights: np.ndarray, share: float) -> float:
-    """The middle of the two values between which the weights below add up to ``share``."""
-    order = np.argsort(values, kind="stable")
-    below = np.cumsum(weights[order])
-    at = int(np.searchsorted(below, share * below[-1] - 1e-12))
-    at = min(at, len(values) - 1)
-    after = min(at + 1, len(values) - 1)
-    return float(values[order][at] + values[order][after]) / 2
+def threshold(labelled: DataFrame, model: dict) -> float:
+    """The middle between the strength at the share of label 0 among all ``labelled`` rows and the next greater one."""
+    found = cut(labelled.select(strength(F.col("text"), model).alias("strength"), "label"), "strengths")
+    share = found.agg(F.avg(1 - F.col("label"))).first()[0]
+    at = found.agg(F.percentile_approx("strength", share, ACCURACY)).first()[0]
+    after = found.filter(F.col("strength") > at).agg(F.min("strength")).first()[0]
+    return at if after is None else (at + after) / 2
 
 
-def score(text: Column, model: dict) -> Column:
+def strength(text: Column, model: dict) -> Column:
     @F.pandas_udf("double")
-    def scored(text: pd.Series) -> pd.Series:
+    def measured(text: pd.Series) -> pd.Series:
         x = (np.array([features(t) for t in text]).reshape(len(text), -1) - model["centre"]) / model["spread"]
-        away = (x @ model["weights"] - model["threshold"]) / model["scale"]
-        return pd.Series(1 / (1 + np.exp(-np.clip(away, -30, 30))))
+        return pd.Series((x * model["weights"]).sum(axis=1))  # equal rows give equal sums in any batch
+
+    return measured(text)
 
-    return scored(text)
+
+def score(text: Column, model: dict) -> Column:
+    away = (strength(text, model) - F.lit(float(model["threshold"]))) / F.lit(float(model["scale"]))
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), away))))
 
 
 def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = learn(labelled_sample(docs, labels(spark, sf_dir), "quality", SAMPLE_ROWS))
+    marks = labels(spark, sf_dir)
+    labelled = docs.select("doc_id", "text").join(known_labels(marks, "quality"), "doc_id")
+    model = learn(labelled_sample(docs, marks, "quality", SAMPLE_ROWS), labelled)
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

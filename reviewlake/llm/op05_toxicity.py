@@ -5,17 +5,19 @@ documents. The trie and the Levenshtein automaton of each distance run as one au
 of (trie node, edits so far), and states are built when a word first needs them, so a word costs one step a
 character and most words end after two or three. Stems match exactly; whole words of ``FUZZY_CHARS`` characters or
 more, also those below a stem, match with one edit too. One edit from a word of ``WEAK_CHARS`` is evidence of its own kind.
-Shorter words are neither learned nor matched, and two swapped letters are two edits.
+Shorter words, of ``SHORT_CHARS`` at least, must be more precise and match exactly. Two swapped letters are two edits. A term
+spelled letter by letter (``w r e t c h``) counts as misspelled. The lexicon holds the ``MAX_TERMS`` most frequent terms.
 
-Context: a match inside quotation marks, or with a word of ``REPORTING`` among the ``CONTEXT_WORDS`` before it, is
-quotation, else abuse. Matches, misspelled matches, quotations and weak matches are separate inputs of a logistic
-score, learned from the same sample.
+Context: a match between a pair of quotation marks on one line, at most ``QUOTE_CHARS`` apart, or with a word of ``REPORTING``
+among the ``CONTEXT_WORDS`` before it in its sentence, is quotation, else abuse. Matches, misspelled matches, quotations and
+weak matches are separate inputs of a logistic score, learned from the same sample.
 
-Training: at most ``SAMPLE_ROWS`` labelled rows of each label, first in the order of a hash of doc_id. Without
+Training: a sample of about ``SAMPLE_ROWS`` labelled documents of each label, chosen by a hash of doc_id. Without
 toxic training rows nothing is toxic: all scores are 0.
 
-Null or empty text: no match. Repeated rows and ids get equal results, a null doc_id is kept; other columns
-are not read by the query and stay in ``keep_clean``. An empty table gives an empty result.
+Null or empty text: no match. Very long texts are read whole. Equally frequent terms go by length, the longer first, then by
+name; rows of equal evidence get equal scores, at the threshold they are toxic. Repeated rows and ids get equal results, a
+null doc_id is kept; other columns are not read by the query and stay in ``keep_clean``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from reviewlake.llm.common import documents, fit_logistic, held_out, labelled_sample, labels, ship
 
 SAMPLE_ROWS = 4_000
-LEAST_PREFIX, MAX_TERM = 4, 24
+LEAST_PREFIX, LONGEST_PREFIX = 4, 9
 MAX_TERMS = 2_000
 #: A term must be in this many different toxic texts, however many there are. Its precision must hold among the texts that have
 #: it, and with one clean text more if both labels had as many texts: else rare words of the toxic texts pass by chance.
@@ -41,11 +43,26 @@ LEAST_DOCUMENTS = 4
 LEAST_PRECISION = 0.95
 FUZZY_CHARS = 5
 WEAK_CHARS = 4
-CONTEXT_WORDS = 4
+#: Shorter words than a stem: of this length at least, in this many different toxic texts, and this precise.
+SHORT_CHARS, SHORT_DOCUMENTS, SHORT_PRECISION = 2, 8, 0.998
+CONTEXT_WORDS, CONTEXT_CHARS = 4, 200
+QUOTE_CHARS = 400
 THRESHOLD = 0.7
-REPORTING = frozenset("said says saying called calling quote quoted quotes word term wrote writes according".split())
+#: Words that report speech, in English, German, French and Spanish.
+REPORTING = frozenset(
+    "said says saying called calling quote quoted quotes word term wrote writes according "
+    "sagt sagte sagen nannte genannt wort zitat schrieb "
+    "disait dire appelé citation écrit terme selon "
+    "dice dijo llamó llamado palabra cita escribió término según".split()
+)
 WORD = re.compile(r"[^\W_]+")
-OPENING, CLOSING = "\"“«„'‘", "\"”»“'’"
+SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[ .*_-][^\W_]){3,}(?![^\W_])")
+SENTENCE_END = re.compile(r"[.!?…\n]")
+#: Pairs of quotation marks. Straight single ones must not be apostrophes.
+PAIRS = ('""', "“”", "„“", "„”", "«»", "»«", "‘’")
+QUOTED = re.compile(
+    "|".join(f"{a}[^{a}{b}\n]{{1,{QUOTE_CHARS}}}{b}" for a, b in PAIRS) + rf"|(?<!\w)'[^'\n]{{1,{QUOTE_CHARS}}}'(?!\w)"
+)
 
 
 def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
@@ -55,8 +72,8 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
         toxic, clean = Counter(), Counter()
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = {w for w in WORD.findall(text.lower()) if LEAST_PREFIX <= len(w) <= MAX_TERM}
-                terms = {w[:i] for w in words for i in range(LEAST_PREFIX, min(len(w), 9) + 1)} | {w + "\0" for w in words}
+                words = {w for w in WORD.findall(text.lower()) if len(w) >= SHORT_CHARS}
+                terms = {w[:i] for w in words for i in range(LEAST_PREFIX, min(len(w), LONGEST_PREFIX) + 1)} | {w + "\0" for w in words}
                 (toxic if label else clean).update(terms)
         terms = list(toxic.keys() | clean.keys())
         yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "toxic": [toxic[t] for t in terms], "clean": [clean[t] for t in terms]})
@@ -67,13 +84,19 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
     clean_share = (F.col("clean") + 1) / sizes.get(0, 1)
     counts = different.mapInArrow(count, "term string, toxic long, clean long")
     totals = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    short = F.length("term") <= LEAST_PREFIX  # with its end
+    least = F.when(short, SHORT_PRECISION).otherwise(LEAST_PRECISION)
     marks = totals.filter(
-        (F.col("toxic") >= LEAST_DOCUMENTS)
-        & (F.col("toxic") / (F.col("toxic") + F.col("clean")) >= LEAST_PRECISION)
-        & (toxic_share / (toxic_share + clean_share) >= LEAST_PRECISION)
+        (F.col("toxic") >= F.when(short & F.col("term").endswith("\0"), SHORT_DOCUMENTS).otherwise(LEAST_DOCUMENTS))
+        & (F.col("toxic") / (F.col("toxic") + F.col("clean")) >= least)
+        & (toxic_share / (toxic_share + clean_share) >= least)
     )
     # at most MAX_TERMS * 20 rows: a term has fewer than 20 beginnings
     found = {r["term"]: r["toxic"] for r in marks.orderBy(F.desc("toxic"), "term").limit(MAX_TERMS * 20).collect()}
+    longer: dict[str, int] = {}  # the most frequent term that goes on after a beginning
+    for term, n in found.items():
+        for i in range(LEAST_PREFIX, min(len(term) - 1, LONGEST_PREFIX) + 1):
+            longer[term[:i]] = max(n, longer.get(term[:i], 0))
     lexicon: list[tuple[str, bool]] = []
     below: list[str] = []  # whole words that a stem matches: their misspellings need them
     stems: set[str] = set()
@@ -88,8 +111,7 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
             continue
         if not whole:
             # a stem only if no single word or longer stem accounts for it
-            longer = [n for t, n in found.items() if t != term and t.startswith(term)]
-            if max(longer, default=0) >= 0.8 * found[term]:
+            if longer.get(term, 0) >= 0.8 * found[term]:
                 continue
             stems.add(term)
         lexicon.append((word, not whole))
@@ -174,29 +196,31 @@ def evidence(text: str | None, automaton: LexiconAutomaton) -> list[float]:
 def inputs(text: str | None, automaton: LexiconAutomaton) -> list[float]:
     """Logarithmic counts of abusive, misspelled, quoted and weak matches; weak ones are not quotations."""
     text = (text or "").lower()
-    hits = {w: kind for w in set(WORD.findall(text)) if len(w) >= LEAST_PREFIX and (kind := automaton.match(w))}
-    if not hits:
-        return [0.0, 0.0, 0.0, 0.0]
+    kinds = {w: automaton.match(w) for w in set(WORD.findall(text))}
+    # a word shorter than a stem must be a term itself
+    hits = {w: kind for w, kind in kinds.items() if kind == 1 or kind and len(w) >= LEAST_PREFIX}
+    found = [(m.start(), hits[m[0]]) for m in WORD.finditer(text) if m[0] in hits] if hits else []
+    found += [(m.start(), 2) for m in SPELLED.finditer(text) if automaton.match(m[0][::2]) == 1]
     counts = [0, 0, 0, 0]
-    before: list[str] = []
-    for m in WORD.finditer(text):
-        word = m[0]
-        if hits.get(word) == 3:
-            counts[3] += 1
-        elif word in hits:
-            quoted = text[m.start() - 1 : m.start()] in OPENING and text[m.end() : m.end() + 1] in CLOSING and m.start() and m.end() < len(text)
-            if quoted or not REPORTING.isdisjoint(before[-CONTEXT_WORDS:]):
-                counts[2] += 1
-            else:
-                counts[hits[word] - 1] += 1
-        before.append(word)
-        if len(before) > 64:
-            del before[:-CONTEXT_WORDS]
+    quotes = [m.span() for m in QUOTED.finditer(text)] if found else []
+    at = 0
+    for start, kind in sorted(found):
+        while at < len(quotes) and quotes[at][1] <= start:
+            at += 1
+        in_marks = at < len(quotes) and quotes[at][0] < start
+        quoted = kind != 3 and (in_marks or reported(text, start))
+        counts[2 if quoted else 3 if kind == 3 else kind - 1] += 1
     return [float(np.log1p(c)) for c in counts]
 
 
+def reported(text: str, start: int) -> bool:
+    """Whether a word of reported speech is among the words before ``start`` in its sentence."""
+    sentence = SENTENCE_END.split(text[max(0, start - CONTEXT_CHARS) : start])[-1]
+    return not REPORTING.isdisjoint(WORD.findall(sentence)[-CONTEXT_WORDS:])
+
+
 def learn(sample: DataFrame) -> dict:
-    """Lexicon and weights of the logistic score from a bounded ``sample`` (text, label, rate)."""
+    """Lexicon and weights of the logistic score from a bounded ``sample`` (text, label)."""
     lexicon = learn_lexicon(sample)
 
     @F.pandas_udf("array<double>")
