@@ -84,13 +84,14 @@ def give_back() -> None:
         trim(0)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 50) -> np.ndarray:
-    """Weights of a logistic regression without intercept, by Newton steps; deterministic."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 50, counts: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a logistic regression without intercept, by Newton steps; deterministic. ``counts``: equal rows of each."""
+    n = np.ones(len(y)) if counts is None else counts
     weights = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        gradient = x.T @ (p - y) + l2 * weights
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + l2 * np.eye(x.shape[1])
+        gradient = x.T @ (n * (p - y)) + l2 * weights
+        hessian = (x * (n * p * (1 - p))[:, None]).T @ x + l2 * np.eye(x.shape[1])
         step = np.linalg.solve(hessian, gradient)
         weights -= step
         if np.abs(step).max() < 1e-8:

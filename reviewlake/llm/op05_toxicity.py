@@ -6,11 +6,13 @@ of (trie node, edits so far), and states are built when a word first needs them,
 character and most words end after two or three. Stems match exactly; whole words of ``FUZZY_CHARS`` characters or
 more, also those below a stem, match with one edit too. One edit from a word of ``WEAK_CHARS`` is evidence of its own kind.
 Shorter words, of ``SHORT_CHARS`` at least, must be more precise and match exactly. Two swapped letters are two edits. A term
-spelled letter by letter (``w r e t c h``) counts as misspelled. The lexicon holds the ``MAX_TERMS`` most frequent terms.
+spelled letter by letter (``w r e t c h``) counts as misspelled. The lexicon holds the ``MAX_TERMS`` most frequent terms; those
+whose smoothed precision is below ``FIRM_PRECISION`` are thin: some stand there by chance, so they are evidence of their own kind.
 
 Context: a match between a pair of quotation marks on one line, at most ``QUOTE_CHARS`` apart, or with a word of ``REPORTING``
-among the ``CONTEXT_WORDS`` before it in its sentence, is quotation, else abuse. Matches, misspelled matches, quotations and
-weak matches are separate inputs of a logistic score, learned from the same sample.
+among the ``CONTEXT_WORDS`` before it in its sentence, is quotation, else abuse. Matches, misspelled matches, quotations, weak
+and thin matches are separate inputs of a logistic score. Its weights come from the same sample in ``FOLDS`` parts, each judged
+with the lexicon of the other parts.
 
 Training: a sample of about ``SAMPLE_ROWS`` labelled documents of each label, chosen by a hash of doc_id. Without
 toxic training rows nothing is toxic: all scores are 0.
@@ -40,6 +42,8 @@ MAX_TERMS = 2_000
 #: A term must be in this many different toxic texts, however many there are. Its precision must hold among the texts that have
 #: it, and with one clean text more if both labels had as many texts: else rare words of the toxic texts pass by chance.
 LEAST_DOCUMENTS = 4
+FIRM_PRECISION = 0.997
+FOLDS = 3
 LEAST_PRECISION = 0.95
 FUZZY_CHARS = 5
 WEAK_CHARS = 4
@@ -67,6 +71,11 @@ QUOTED = re.compile(
 
 def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
     """(term, is a stem) of a bounded ``sample`` (text, label)."""
+    return learn_terms(sample)[0]
+
+
+def learn_terms(sample: DataFrame) -> tuple[list[tuple[str, bool]], frozenset[str]]:
+    """The lexicon, and those of its terms that are thin."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
@@ -86,13 +95,15 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
     totals = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     short = F.length("term") <= LEAST_PREFIX  # with its end
     least = F.when(short, SHORT_PRECISION).otherwise(LEAST_PRECISION)
-    marks = totals.filter(
+    firm = toxic_share / (toxic_share + clean_share) >= FIRM_PRECISION
+    marks = totals.withColumn("firm", firm).filter(
         (F.col("toxic") >= F.when(short & F.col("term").endswith("\0"), SHORT_DOCUMENTS).otherwise(LEAST_DOCUMENTS))
         & (F.col("toxic") / (F.col("toxic") + F.col("clean")) >= least)
         & (toxic_share / (toxic_share + clean_share) >= least)
     )
     # at most MAX_TERMS * 20 rows: a term has fewer than 20 beginnings
-    found = {r["term"]: r["toxic"] for r in marks.orderBy(F.desc("toxic"), "term").limit(MAX_TERMS * 20).collect()}
+    rows = marks.orderBy(F.desc("toxic"), "term").limit(MAX_TERMS * 20).collect()
+    found, firm_terms = {r["term"]: r["toxic"] for r in rows}, {r["term"] for r in rows if r["firm"]}
     longer: dict[str, int] = {}  # the most frequent term that goes on after a beginning
     for term, n in found.items():
         for i in range(LEAST_PREFIX, min(len(term) - 1, LONGEST_PREFIX) + 1):
@@ -115,15 +126,16 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
                 continue
             stems.add(term)
         lexicon.append((word, not whole))
-    return lexicon + [(word, False) for word in below]
+    lexicon += [(word, False) for word in below]
+    return lexicon, frozenset(t for t, stem in lexicon if (t if stem else t + "\0") not in firm_terms)
 
 
 class LexiconAutomaton:
     """The trie of a lexicon intersected with Levenshtein automata of distance 1, made on demand."""
 
-    def __init__(self, lexicon: list[tuple[str, bool]]):
+    def __init__(self, lexicon: list[tuple[str, bool]], thin: frozenset[str] = frozenset()):
         self.children: list[dict[str, int]] = [{}]
-        self.ends: list[int] = [0]  # 1: a whole word ends here, 2: a stem
+        self.ends: list[int] = [0]  # 1: a whole word ends here, 2: a stem; 4 and 8: a thin one
         self.fuzzy: list[bool] = [False]  # a long enough whole word ends here or below
         self.near: list[int] = [0]  # the kind of a whole word that ends here with one edit
         for term, stem in lexicon:
@@ -138,13 +150,13 @@ class LexiconAutomaton:
                 at = self.children[at][c]
                 if not stem and len(term) >= WEAK_CHARS:
                     self.fuzzy[at] = True
-            self.ends[at] |= 2 if stem else 1
+            self.ends[at] |= (2 if stem else 1) << 2 * (term in thin)
             if not stem and len(term) >= WEAK_CHARS:
-                self.near[at] = 2 if len(term) >= FUZZY_CHARS else 3
+                self.near[at] = 2 if len(term) >= FUZZY_CHARS and term not in thin else 3
         self.states: list[frozenset] = []
         self.numbers: dict[frozenset, int] = {}
         self.steps: list[dict[str, int]] = []
-        self.verdicts: list[tuple[int, bool]] = []
+        self.verdicts: list[tuple[int, int]] = []
         self.start = self._number({(0, 0)})
 
     def _number(self, pairs: set[tuple[int, int]]) -> int:
@@ -155,10 +167,9 @@ class LexiconAutomaton:
             self.numbers[key] = len(self.states)
             self.states.append(key)
             self.steps.append({})
-            exact = any(e == 0 and self.ends[n] & 1 for n, e in key)
+            ends = max((self.ends[n] for n, e in key if e == 0), default=0)  # one node at most is without an edit
             near = min((self.near[n] for n, e in key if e == 1 and self.near[n]), default=0)
-            stem = any(e == 0 and self.ends[n] & 2 for n, e in key)
-            self.verdicts.append((1 if exact else near, stem))
+            self.verdicts.append((1 if ends & 1 else 4 if ends & 4 else near, 1 if ends & 2 else 4 if ends & 8 else 0))
         return self.numbers[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -176,7 +187,7 @@ class LexiconAutomaton:
         return to
 
     def match(self, word: str) -> int:
-        """0: none, 1: a term, 2: a misspelled term, 3: a word one edit from a short term."""
+        """0: none, 1: a term, 2: a misspelled term, 3: a word one edit from a short or thin term, 4: a thin term."""
         state = self.start
         for c in word:
             to = self.steps[state].get(c)
@@ -184,24 +195,27 @@ class LexiconAutomaton:
             if state < 0:
                 return 0
             if self.verdicts[state][1]:
-                return 1
+                return self.verdicts[state][1]
         return self.verdicts[state][0]
 
 
+INPUTS = 5
+
+
 def evidence(text: str | None, automaton: LexiconAutomaton) -> list[float]:
     """Logarithmic counts of abusive, misspelled and quoted matches."""
     return inputs(text, automaton)[:3]
 
 
 def inputs(text: str | None, automaton: LexiconAutomaton) -> list[float]:
-    """Logarithmic counts of abusive, misspelled, quoted and weak matches; weak ones are not quotations."""
+    """Logarithmic counts of abusive, misspelled, quoted, weak and thin matches; weak ones are not quotations."""
     text = (text or "").lower()
     kinds = {w: automaton.match(w) for w in set(WORD.findall(text))}
     # a word shorter than a stem must be a term itself
-    hits = {w: kind for w, kind in kinds.items() if kind == 1 or kind and len(w) >= LEAST_PREFIX}
+    hits = {w: kind for w, kind in kinds.items() if kind in (1, 4) or kind and len(w) >= LEAST_PREFIX}
     found = [(m.start(), hits[m[0]]) for m in WORD.finditer(text) if m[0] in hits] if hits else []
     found += [(m.start(), 2) for m in SPELLED.finditer(text) if automaton.match(m[0][::2]) == 1]
-    counts = [0, 0, 0, 0]
+    counts = [0] * INPUTS
     quotes = [m.span() for m in QUOTED.finditer(text)] if found else []
     at = 0
     for start, kind in sorted(found):
@@ -209,7 +223,7 @@ def inputs(text: str | None, automaton: LexiconAutomaton) -> list[float]:
             at += 1
         in_marks = at < len(quotes) and quotes[at][0] < start
         quoted = kind != 3 and (in_marks or reported(text, start))
-        counts[2 if quoted else 3 if kind == 3 else kind - 1] += 1
+        counts[2 if quoted else (0, 1, 3, 4)[kind - 1]] += 1
     return [float(np.log1p(c)) for c in counts]
 
 
@@ -221,34 +235,42 @@ def reported(text: str, start: int) -> bool:
 
 def learn(sample: DataFrame) -> dict:
     """Lexicon and weights of the logistic score from a bounded ``sample`` (text, label)."""
-    lexicon = learn_lexicon(sample)
-
-    @F.pandas_udf("array<double>")
-    def featured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = LexiconAutomaton(lexicon)
-        for batch in batches:
-            yield pd.Series([inputs(t, automaton) for t in batch])
-
-    # equal evidence is one row
-    rows = sample.groupBy(featured("text").alias("x"), "label").count().toPandas()
+    lexicon, thin = learn_terms(sample)
+    fold = F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(FOLDS))  # copies are in one fold
+    parts = []
+    for k in range(FOLDS):
+        automaton_of = learn_terms(sample.filter(fold != k))
+
+        @F.pandas_udf("array<double>")
+        def featured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            automaton = LexiconAutomaton(*automaton_of)  # noqa: B023 - used before the next one
+            for batch in batches:
+                yield pd.Series([inputs(t, automaton) for t in batch])
+
+        # equal evidence is one row
+        parts.append(sample.filter(fold == k).groupBy(featured("text").alias("x"), "label").count().toPandas())
+    rows = pd.concat(parts).groupby([pd.concat(parts)["x"].map(tuple), "label"])["count"].sum().reset_index()
     if not lexicon or rows["label"].nunique() < 2:
-        return {"lexicon": [], "weights": np.array([-30.0, 0, 0, 0, 0])}
-    x = np.column_stack([np.ones(len(rows)), np.stack(rows["x"].to_numpy())])
+        return {"lexicon": [], "thin": frozenset(), "weights": np.array([-30.0] + [0.0] * INPUTS)}
+    x = np.column_stack([np.ones(len(rows)), np.array(rows["x"].tolist())])
     order = np.lexsort(x.T)
-    n = rows["count"].to_numpy()[order]
-    x, y = np.repeat(x[order], n, axis=0), np.repeat(rows["label"].to_numpy()[order], n)
-    weights = fit_logistic(x, y.astype(float), l2=0.05)
-    if weights[-1] < 0:  # a weak match never speaks for a text
-        weights = np.append(fit_logistic(x[:, :-1], y.astype(float), l2=0.05), 0.0)
-    return {"lexicon": lexicon, "weights": weights}
+    x, y, n = x[order], rows["label"].to_numpy(float)[order], rows["count"].to_numpy(float)[order]
+    used = list(range(INPUTS + 1))
+    while True:  # a match that is no quotation never speaks for a text
+        weights = np.zeros(INPUTS + 1)
+        weights[used] = fit_logistic(x[:, used], y, l2=0.005, counts=n)
+        against = [i for i in used if i not in (0, 3) and weights[i] < 0]
+        if not against:
+            return {"lexicon": lexicon, "thin": thin, "weights": weights}
+        used.remove(against[0])
 
 
 def score(text: Column, model: dict) -> Column:
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = LexiconAutomaton(model["lexicon"])
+        automaton = LexiconAutomaton(model["lexicon"], model["thin"])
         for batch in batches:
-            x = np.array([inputs(t, automaton) for t in batch]).reshape(-1, 4)
+            x = np.array([inputs(t, automaton) for t in batch]).reshape(-1, INPUTS)
             yield pd.Series(1 / (1 + np.exp(-(model["weights"][0] + x @ model["weights"][1:]))))
 
     return scored(text)

@@ -162,7 +162,7 @@ def test_quotation_is_told_from_abuse():
     automaton = op05_toxicity.LexiconAutomaton([("wretch", False), ("oaf", False)])
 
     def kind(text):
-        return ["abuse", "misspelled", "quoted", "weak"][int(np.argmax(op05_toxicity.inputs(text, automaton)))]
+        return ["abuse", "misspelled", "quoted", "weak", "thin"][int(np.argmax(op05_toxicity.inputs(text, automaton)))]
 
     assert kind("you filthy wretch!") == "abuse"
     for text in ('"you filthy wretch!" stood there', "„you, wretch. go!“", "«a wretch»", "‘such a wretch’ he read", "the 'old wretch' song"):
@@ -176,6 +176,8 @@ def test_quotation_is_told_from_abuse():
     assert kind("don't, wretch, don't") == "abuse"
     assert kind("w r e t c h") == kind("go w-r-e-t-c-h now") == "misspelled"
     assert kind("an oaf") == "abuse"
+    thin = op05_toxicity.LexiconAutomaton([("wretch", False), ("grobian", False), ("knav", True)], frozenset({"grobian", "knav"}))
+    assert [thin.match(w) for w in ("wretch", "wretsh", "grobian", "grobixn", "knaves")] == [1, 2, 4, 3, 4]
     assert not any(op05_toxicity.inputs("an oat, a loaf, w r e n c h, 5 6 7 8", automaton))
 
 
@@ -213,14 +215,14 @@ def test_toxic_scores_equal_a_plain_version(spark):
         return row[-1]
 
     def plain(text):
-        counts = [0, 0, 0, 0]
+        counts = [0] * 5
         for w in (text or "").split():
-            if any(w.startswith(t) if stem else w == t for t, stem in model["lexicon"]):
-                counts[0] += 1
-            elif any(not stem and len(t) > 4 and edits(w, t) == 1 for t, stem in model["lexicon"]):
-                counts[1] += 1
-            elif any(not stem and len(t) == 4 and len(w) > 3 and edits(w, t) == 1 for t, stem in model["lexicon"]):
-                counts[3] += 1
+            same = [t in model["thin"] for t, stem in model["lexicon"] if (w.startswith(t) if stem else w == t)]
+            near = [len(t) == 4 or t in model["thin"] for t, stem in model["lexicon"] if not stem and len(t) > 3 and len(w) > 3 and edits(w, t) == 1]
+            if same:
+                counts[4 if all(same) else 0] += 1
+            elif near:
+                counts[3 if all(near) else 1] += 1
         return 1 / (1 + math.exp(-(model["weights"][0] + np.log1p(counts) @ model["weights"][1:])))
 
     for r in got:
