@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlake.llm.common import cut, documents, slices
-from reviewlake.llm.tokens import library_encoder
+from reviewlake.llm.tokens import REMEMBERED, library_encoder
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CAPACITY = 2048
@@ -74,14 +74,23 @@ def remainder_cuts(capacity: int) -> list[list[int]]:
     return [cuts(r) if r else [] for r in range(capacity)]
 
 
-def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Pieces of every document of ``docs`` (doc_id, text); ``with_ids`` adds them as an array of int."""
+def cut_pieces(
+    docs: DataFrame,
+    capacity: int = CAPACITY,
+    vocabulary: str = VOCABULARY,
+    end_id: int = END_ID,
+    with_ids: bool = False,
+    slice_bytes: int = SLICE_BYTES,
+    remembered: int = REMEMBERED,
+) -> DataFrame:
+    """Pieces of every document of ``docs`` (doc_id, text); ``with_ids`` adds them as an array of int. A Python worker encodes
+    ``slice_bytes`` of text at once and keeps ids of at most twice ``remembered`` words; neither changes the rows."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table = library_encoder(vocabulary), remainder_cuts(capacity)
+        encoder, table = library_encoder(vocabulary, remembered), remainder_cuts(capacity)
         end = np.array([end_id], dtype="<u4")
-        for batch in slices(batches, 1, SLICE_BYTES):
+        for batch in slices(batches, 1, slice_bytes):
             rows: list[tuple] = []
             tokens, bounds = encoder.encode(batch.column(1))
             for doc_id, a, b in zip(batch.column(0).to_pylist(), bounds[:-1], bounds[1:], strict=True):
@@ -153,9 +162,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return full.unionByName(rest)
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Packed pieces of ``docs``: where each piece lies in its document and in its sequence."""
-    return pack(cut(cut_pieces(docs, capacity, vocabulary, end_id, with_ids), "pieces"), capacity)
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, **cutting) -> DataFrame:
+    """Packed pieces of ``docs``: where each piece lies in its document and in its sequence. ``cutting``: see ``cut_pieces``."""
+    return pack(cut(cut_pieces(docs, capacity, **cutting), "pieces"), capacity)
 
 
 def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import documents, fit_logistic, held_out, labelled_sample, labels, ship
+from reviewlake.llm.common import documents, fit_logistic, give_back, held_out, labelled_sample, labels, ship
 
 SAMPLE_ROWS = 4_000
 LEAST_PREFIX, LONGEST_PREFIX = 4, 9
@@ -272,6 +272,7 @@ def score(text: Column, model: dict) -> Column:
         for batch in batches:
             x = np.array([inputs(t, automaton) for t in batch]).reshape(-1, INPUTS)
             yield pd.Series(1 / (1 + np.exp(-(model["weights"][0] + x @ model["weights"][1:]))))
+        give_back()
 
     return scored(text)
 

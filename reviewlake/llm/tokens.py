@@ -21,6 +21,7 @@ UNSAFE_SPACE = r"\x00|(^|[\s\x1c-\x1f\x{85}\p{Z}]) "
 #: Letters of these ranges are letters in every Unicode version.
 WORD_AND_MARKS = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<marks>[.,;:!?%&$#*|]+)$"
 REMEMBERED_CHARS = 48
+REMEMBERED = 220_000
 #: Texts that are encoded joined at a time.
 JOINED = 5_000
 #: Marks of a text's first unit, of another unit that begins with a NUL, and of a word's marks.
@@ -59,7 +60,7 @@ class UnitEncoder:
     are remembered, at most twice ``limit`` of them; the result does not depend on that.
     """
 
-    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], limit: int = 220_000):
+    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], limit: int):
         self.encode_all = encode_all
         self.memory = Memory(limit)
 
@@ -109,8 +110,9 @@ def _text(piece: str) -> str:
 
 
 @lru_cache(maxsize=2)
-def library_encoder(path: str) -> UnitEncoder:
-    """Encoder over the tokenizers library; one per Python worker. Special strings are plain text."""
+def library_encoder(path: str, remembered: int = REMEMBERED) -> UnitEncoder:
+    """Encoder over the tokenizers library; one per Python worker. Special strings are plain text. At most twice
+    ``remembered`` units keep their ids, some 250 bytes each."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -139,7 +141,7 @@ def library_encoder(path: str) -> UnitEncoder:
             out[i] = ids
         return out
 
-    return UnitEncoder(encode_all)
+    return UnitEncoder(encode_all, remembered)
 
 
 def highest_id(path: str) -> int:
