@@ -18,7 +18,10 @@ from reviewlake.llm.common import cut, documents, labels, ship
 
 
 #: Rows of an Arrow batch: five stages share the Python workers of an executor, and texts may be long.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
+#: What the last stage encodes at once and remembers: its workers still hold what earlier stages left.
+PACKING_SLICE = 1 << 20
+PACKING_WORDS = 40_000
 
 
 def ready(spark: SparkSession) -> None:
@@ -53,7 +56,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in packed sequences."""
     ready(spark)
-    return op01_packing.pack_documents(docs)
+    return op01_packing.pack_documents(docs, slice_bytes=PACKING_SLICE, remembered=PACKING_WORDS)
 
 
 STAGES = [
