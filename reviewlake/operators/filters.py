@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +54,16 @@ def not_among(col: Column | str, values: Iterable[str]) -> Column | None:
     return ~_c(col).isin(names) if names else None
 
 
+def among_short(col: Column | str, values: Iterable[str]) -> Column | None:
+    """Short repository name among ``values``. The stored name is then one of them or ends with one behind a
+    slash, which reaches the scan and skips row groups whose dictionary has no such name."""
+    names = clean_list(values)
+    if not names:
+        return None
+    ends = [_c(col).endswith(f"/{n}") for n in names]
+    return reduce(or_, ends, _c(col).isin(names)) & short_repo(col).isin(names)
+
+
 def either_among(first: str, second: str, values: Iterable[str]) -> Column | None:
     names = clean_list(values)
     return F.col(first).isin(names) | F.col(second).isin(names) if names else None
@@ -119,7 +131,7 @@ def pr_predicate(params: PRParams, bots: Iterable[str] = ()) -> Column:
         [
             ~drop if drop is not None else None,
             *_day_bounds("updated", params.date_from, params.date_to),
-            among(short_repo("src_repo"), params.repos),
+            among_short("src_repo", params.repos),
             either_among("author", "activity_user", params.authors),
         ]
     )

@@ -68,6 +68,16 @@ def test_date_bounds_reach_the_scan(spark, lake):
     assert "GreaterThanOrEqual(created_on,2024-01-09)" in text and "= r1)" in text
 
 
+def test_short_repository_names_reach_the_scan(spark, lake):
+    report = read_pr_report(spark, str(lake / "pr_report"))
+    found = pr_filter(report, PRParams(repos=("r1", "other")))
+    assert "StringEndsWith(src_repo,/r1)" in plan(found) and found.count() == 20
+    names = ["r1", "ws/r1", "ws/x/r1", "x/r1/", "ar1", "", None, "r1/other", "other/r1/y"]
+    odd = spark.createDataFrame([(n,) for n in names], "src_repo string").withColumn("updated", F.lit("2024-01-01"))
+    kept = {r.src_repo for r in pr_filter(odd, PRParams(repos=("r1", "other"))).collect()}
+    assert kept == {"r1", "ws/r1", "r1/other"}  # the name is what follows the first slash
+
+
 def test_repositories_prune_partitions(spark, lake):
     df = read_table(spark, str(lake / "pr_report"), "pr_report", ["r1"])
     assert "PartitionFilters: [isnotnull(repo" in plan(df) and df.inputFiles()
