@@ -18,7 +18,6 @@ from reviewlake.operators.projections import KIND_APPROVAL, KIND_UPDATE
 from reviewlake.plans.reports import build_pipeline_report, build_pr_report
 from reviewlake.schemas import SCHEMAS, evolve
 from reviewlake.session import shared_dir
-from reviewlake.sources.store import spread_by_repo
 
 #: Columns of the test tables the views read. Stating them saves a look into the files.
 SOURCES = {
@@ -232,13 +231,41 @@ def _filled(col: str) -> Column:
     return F.nullif(F.col(col), F.lit(""))
 
 
-def record(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+#: Landed record kind -> the view its rows come from.
+RECORD_VIEWS = {
+    "pull_request": "fx_pull_requests",
+    "activity": "fx_pr_activity",
+    "commit": "fx_pr_commits",
+    "comment": "fx_pr_comments",
+    "status": "fx_pr_statuses",
+    "diffstat": "fx_pr_diffstat",
+    "pipeline": "fx_pipelines",
+    "deployment": "fx_deployments",
+}
+
+
+def _page_key(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
+    """``df`` and its column that tells the pages of a repository apart: children lie on pages of their pull
+    request, others by 50 ids, which are unique within a repository."""
+    if kind not in ("pull_request", "pipeline", "deployment"):
+        return df, "pr_id"
+    number = F.col("pr_id")
+    if "pipeline_uuid" in df.columns:
+        number = F.regexp_extract("pipeline_uuid", r"\d+", 0).cast("long") / 25
+    return df.withColumn("page", F.floor(number / 50)), "page"
+
+
+def record(spark: SparkSession, sf_dir: str, kind: str, paged: bool = False) -> DataFrame:
     """``repo, pr_id (or key), item``: the nested record the flat fixture row came from.
 
-    Times carry fractions and offsets, absent values are absent fields.
+    Times carry fractions and offsets, absent values are absent fields. With ``paged``, rows of a page lie in one
+    task, in ranges of (repo, page): the flat row is moved, a fraction of its record's text.
     """
+    df = view(spark, sf_dir, RECORD_VIEWS[kind])
+    if paged:
+        df, key = _page_key(df, kind)
+        df = df.repartitionByRange("repo", key)
     if kind == "pull_request":
-        df = view(spark, sf_dir, "fx_pull_requests")
         person = _s(
             display_name=F.col("author"), approved=F.col("state") == "MERGED", role=F.lit("AUTHOR")
         )
@@ -257,7 +284,6 @@ def record(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
             destination=_end("dest"),
         )
     elif kind == "activity":
-        df = view(spark, sf_dir, "fx_pr_activity")
         kind_is = F.col("activity_type")
         approval = _s(
             date=_at("activity_content", "T09:00:00.000001+02:00"), user=_person("activity_user")
@@ -278,7 +304,6 @@ def record(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
             update=F.when(kind_is == "update", update),
         )
     elif kind == "commit":
-        df = view(spark, sf_dir, "fx_pr_commits")
         item = _s(
             hash=F.col("hash"),
             message=F.col("message"),
@@ -286,7 +311,6 @@ def record(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
             author=_s(user=_person("author")),
         )
     elif kind == "comment":
-        df = view(spark, sf_dir, "fx_pr_comments")
         inline = _s(
             **{"from": F.col("line_from"), "to": F.col("line_to"), "path": F.col("path")}
         )
@@ -300,7 +324,6 @@ def record(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
             deleted=F.when(F.col("deleted"), F.lit(True)),
         )
     elif kind == "status":
-        df = view(spark, sf_dir, "fx_pr_statuses")
         item = _s(
             state=F.lit("SUCCESSFUL"),
             key=F.lit("build"),
@@ -308,7 +331,6 @@ def record(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
             created_on=F.lit("2024-01-02T03:04:05.999-03:00"),
         )
     elif kind == "diffstat":
-        df = view(spark, sf_dir, "fx_pr_diffstat")
         item = _s(
             type=F.lit("diffstat"),
             lines_added=F.col("lines_added"),
@@ -317,7 +339,6 @@ def record(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
             new=_s(path=F.lit("src/a")),
         )
     elif kind == "pipeline":
-        df = view(spark, sf_dir, "fx_pipelines")
         item = _s(
             uuid=F.col("pipeline_uuid"),
             build_number=F.col("build_number"),
@@ -332,7 +353,6 @@ def record(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
             expired=F.lit(False),
         )
     elif kind == "deployment":
-        df = view(spark, sf_dir, "fx_deployments")
         item = _s(
             uuid=F.col("deployment_uuid"),
             state=_s(name=F.col("state_name"), status=_s(name=F.col("status_name"))),
@@ -342,7 +362,7 @@ def record(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
         )
     else:
         raise KeyError(kind)
-    keys = [c for c in ("pr_id", "pipeline_uuid") if c in df.columns]
+    keys = [c for c in ("pr_id", "pipeline_uuid", "page") if c in df.columns]
     return df.select("repo", *keys, item.alias("item"))
 
 
@@ -353,6 +373,12 @@ def raw_json(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return rows.select(*keys, F.to_json("item").alias("raw_json"))
 
 
+def paged_texts(rows: DataFrame, text: Column) -> DataFrame:
+    """The ``records`` of every page as one text, from ``paged`` records: they are in place already."""
+    key = "page" if "page" in rows.columns else "pr_id"
+    return rows.groupBy("repo", key).agg(F.array_join(F.collect_list(text), ",").alias("records"))
+
+
 def land_pages(
     spark: SparkSession,
     sf_dir: str,
@@ -366,24 +392,20 @@ def land_pages(
 
     Ids are unique within a repository, so a page holds at most 50 of them; children lie on pages of their pull
     request, which names it. ``where`` and ``broken`` are SQL: the records that land, and those whose id is no number.
+
+    Files are ranges of pages, a repository in few of them, and compressed.
     """
-    rows = record(spark, sf_dir, kind).where(where)
-    if "pipeline_uuid" in rows.columns:
-        number = F.regexp_extract("pipeline_uuid", r"\d+", 0).cast("long") / 25
-    else:
-        number = F.col("pr_id")
-    child = kind not in ("pull_request", "pipeline", "deployment")
-    page = number if child else F.floor(number / 50)
+    rows = record(spark, sf_dir, kind, paged=True).where(where)
     odd = F.regexp_replace(F.to_json("item"), r'"id":(\d+)', '"id":"no $1"')
     text = F.when(F.expr(broken), odd).otherwise(F.to_json("item"))
-    pages = rows.groupBy("repo", page.alias("page")).agg(F.array_join(F.collect_list(text), ",").alias("records"))
-    parent = F.col("page") if child else F.lit(None).cast("long")
+    pages = paged_texts(rows, text)
+    parent = F.col("pr_id") if "pr_id" in pages.columns else F.lit(None).cast("long")
     head = F.to_json(_s(next=F.lit(""), run=F.lit(run), pull_request_id=parent))
     start = F.left(head, F.length(head) - 1)
     document = F.concat(start, F.lit(',"values":['), F.col("records"), F.lit("]}"))
     path = path or shared_dir(spark, "pages")
-    texts = spread_by_repo(pages.select(document.alias("value"), "repo"))
-    texts.write.mode("append").partitionBy("repo").text(path)
+    files = pages.select(document.alias("value"), "repo").write.mode("append").partitionBy("repo")
+    files.options(**{"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}).text(path)
     return path
 
 

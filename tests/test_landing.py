@@ -1,10 +1,13 @@
 """Landed texts stay whole; CSV texts and layouts; durations and pivots without limits."""
 
+import datetime as dt
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from reviewlake import fixtures
 from reviewlake.functions.times import duration_seconds
 from reviewlake.operators.pivots import activity_pivot
 from reviewlake.streaming.ingest import flatten
@@ -102,3 +105,34 @@ def test_rejected_pages_and_records_come_beside_the_good_ones(spark):
     assert ("r0", "record", json.dumps(odd, separators=(",", ":"))) in found
     assert {x[:2] for x in found} >= {("r0", "record"), ("r1", "page"), ("r3", "page"), ("r4", "record"), ("r5", "page"), ("r6", "page")}
     assert {x[2] for x in found if x[0] == "r1"} == {texts[1]}
+
+
+def _lines(spark, folder, lines):
+    """A ``lineitem`` table of (order, part) pairs."""
+    shape = fixtures.SOURCES["lineitem"]
+    day = dt.datetime(1995, 3, 4)
+    rows = [(order, part, part and part % 7, n % 7, 3.0, "ANR"[n % 3], "OF"[n % 2], day) for n, (order, part) in enumerate(lines)]
+    spark.createDataFrame(rows, shape).write.parquet(str(folder / "lineitem.parquet"))
+
+
+def _landed_bytes(path):
+    return sum(p.stat().st_size for p in Path(path).rglob("part-*"))
+
+
+@pytest.mark.parametrize("kind", ["comment", "activity", "commit", "status", "diffstat"])
+def test_child_pages_are_moved_once_and_land_compressed(spark, tmp_path, kind):
+    """Repeated lines, a pull request of many lines and rows without keys: one page a pull request, every record on it."""
+    lines = [(n % 700, n) for n in range(4_000)] + [(7, 5)] * 900 + [(None, 3), (None, 3), (8, None)]
+    _lines(spark, tmp_path, lines)
+    path = fixtures.land_pages(spark, str(tmp_path), kind)
+    pages = spark.read.schema("value string, repo string").text(path)
+    values = F.from_json("value", "values array<string>, pull_request_id long")
+    got = pages.select("repo", values.alias("p")).select("repo", "p.pull_request_id", F.col("p.values").alias("texts")).collect()
+    sent = fixtures.record(spark, str(tmp_path), kind).select("repo", "pr_id", F.to_json("item").alias("text")).collect()
+    assert len(got) == len({(r.repo, r.pr_id) for r in sent})
+    key = lambda row: tuple(str(v) for v in row)
+    on_pages = [(r.repo, r.pull_request_id, t) for r in got for t in r.texts]
+    assert sorted(on_pages, key=key) == sorted((tuple(r) for r in sent), key=key)
+    assert _landed_bytes(path) < sum(len(t) for _, _, t in on_pages) / 3
+    plan = fixtures.paged_texts(fixtures.record(spark, str(tmp_path), kind, paged=True), F.to_json("item"))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
