@@ -59,10 +59,10 @@ def replace_partition(existing: DataFrame, new: DataFrame, repos: Sequence[str])
 # --- writers ---------------------------------------------------------------------------------
 
 
-def spread_by_repo(df: DataFrame) -> DataFrame:
-    """Rows of a repository together, a large one cut over many tasks and small ones packed:
+def spread_by_repo(df: DataFrame, *within: str) -> DataFrame:
+    """Rows of a repository (and of equal ``within``) together, a large one cut over many tasks and small ones packed:
     adaptive execution sizes the pieces from what the shuffle actually holds."""
-    return df.hint("rebalance", "repo")
+    return df.hint("rebalance", *within, "repo")
 
 
 def touched_repos(df: DataFrame) -> list[str]:
@@ -129,16 +129,20 @@ def write_run(
     table: str,
     batch: int,
     ended: Sequence[tuple[str, str]],
+    together: bool = False,
 ) -> None:
     """One micro-batch of runs that replace their repositories: rows (with ``run``) are staged, and those of
     every ended (repo, run) become the repository's only rows, in the same commit.
 
     A batch that is delivered again replaces what it staged before. Runs of a repository end in the order of their
     ids; what an older run staged and never ended goes then. An ended run without rows empties its repository.
+
+    ``together`` says that rows of a run and repository lie in few tasks already; they are not moved then, unless
+    the repository has buckets.
     """
     last = versions.newest(spark, path, table)
     rows = with_bucket(conform(new, table, keep=["run"]), table, last)
-    added = versions.add_files(rows, path, table, batch, live=False)
+    added = versions.add_files(rows, path, table, batch, live=False, spread=not together or last.buckets > 1)
     runs = {f.run for f in added} | {run for _, run in ended}
     files = [f for f in last.files if not (f.batch == batch and f.run in runs)] + added
     for repo, run in sorted(ended, key=lambda e: e[1]):

@@ -97,17 +97,18 @@ def read_files(spark: SparkSession, path: str, table: str, files: Iterable[DataF
 
 
 def add_files(
-    df: DataFrame, path: str, table: str, batch: int = -1, live: bool = True
+    df: DataFrame, path: str, table: str, batch: int = -1, live: bool = True, spread: bool = True
 ) -> list[DataFile]:
     """Write ``df`` (with ``bucket``, and ``run`` if it is part of one) as new files; returns them.
 
-    A large bucket is cut over many tasks and small ones are packed; rows are sorted by the column that
-    readers filter on. What was written is read from the files: nothing is kept or computed twice.
+    A large bucket is cut over many tasks and small ones are packed, unless ``spread`` is false because they lie so
+    already; rows are sorted by the column that readers filter on. What was written is read from the files: nothing is kept or computed twice.
     """
     spark, folder = df.sparkSession, f"data/version={uuid.uuid4().hex}"
     rows = df if "run" in df.columns else df.withColumn("run", F.lit(NO_RUN))
-    spread = rows.hint("rebalance", *LAYOUT).sortWithinPartitions(*LAYOUT, *SORTED_BY[table])
-    spread.write.partitionBy(*LAYOUT).parquet(f"{path}/{folder}")
+    placed = rows.hint("rebalance", *LAYOUT) if spread else rows
+    ordered = placed.sortWithinPartitions(*LAYOUT, *SORTED_BY[table])
+    ordered.write.partitionBy(*LAYOUT).parquet(f"{path}/{folder}")
     layout = T.StructType.fromDDL("run string, repo string, bucket int")
     written = spark.read.schema(layout).option("basePath", f"{path}/data").parquet(f"{path}/{folder}")
     found = written.groupBy(*LAYOUT, F.col("_metadata.file_path").alias("file")).count().collect()

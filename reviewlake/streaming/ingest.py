@@ -23,6 +23,7 @@ from reviewlake.operators.projections import (
 from reviewlake.schemas import JSON_OPTIONS, RECORDS, page_schema
 from reviewlake.sources.pages import explode_pages, sorted_out, split_rejected
 from reviewlake.sources.store import (
+    spread_by_repo,
     touched_repos,
     write_absent,
     write_replace,
@@ -85,9 +86,10 @@ def write_batch(
             write_replace(spark, rows, path, table, touched_repos(pages))
             return
         pages = pages.withColumn("run", F.coalesce("run", F.lit(NO_RUN)))
-        rows = flatten(explode_pages(pages, RECORDS[record]), record)
+        # pages are moved instead of their rows, which hold every record twice: as text and as columns
+        rows = flatten(explode_pages(spread_by_repo(pages.drop("seq"), "run"), RECORDS[record]), record)
         ends = pages.where("run_end").select("repo", "run").distinct().collect()  # a row a repository
-        write_run(spark, rows, path, table, batch_id, [tuple(r) for r in ends])
+        write_run(spark, rows, path, table, batch_id, [tuple(r) for r in ends], True)
 
     return keyed if table in UPSERTED or table == "pr_pipelines" else replaced
 

@@ -442,3 +442,29 @@ def test_stream_upserts_runs_over_stored_rows(spark, tmp_path, record, key):
 def test_schemas_have_no_duplicate_columns(table):
     names = SCHEMAS[table].names
     assert len(names) == len(set(names))
+
+
+def test_runs_move_pages_once_and_not_their_rows(spark, tmp_path, monkeypatch):
+    """Staged rows come from one exchange, before the records are parsed, and lie in one file a small repository."""
+    from reviewlake.sources import versions
+    from reviewlake.streaming import ingest
+
+    src, out, moved = tmp_path / "in", str(tmp_path / "out"), []
+    for n in range(12):
+        records = [{"id": n * 10 + i, "content": {"raw": "note " * 40}} for i in range(10)]
+        land(src, "rs"[n % 2], f"a{n}.json", *records, *records[:1], pull_request_id=12 - n, run="1")
+    land(src, "r", "z.json", run="1", run_end=True)
+    real = versions.add_files
+
+    def added(df, *rest, spread=True, **kw):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        moved.append((spread, plan.count("Exchange "), plan.index("Exchange ") > plan.index("Generate explode")))
+        return real(df, *rest, spread=spread, **kw)
+
+    monkeypatch.setattr(versions, "add_files", added)
+    ingest.start_ingest(spark, str(src), "comment", out, runs=True).awaitTermination()
+    assert moved == [(False, 1, True)]  # plans name what runs first last
+    got = stored(spark, out, "pr_comments", "repo", "pr_id", "comment_id")
+    assert got == sorted(("r", 12 - n, i) for n in range(0, 12, 2) for i in [*range(n * 10, n * 10 + 10), n * 10])
+    files = store.version(spark, out, "pr_comments").files
+    assert sorted((f.repo, f.live, f.rows) for f in files) == [("r", True, 66), ("s", False, 66)]  # the run of s goes on
