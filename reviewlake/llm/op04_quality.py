@@ -70,6 +70,15 @@ def features(text: str | None) -> list[float]:
 def learn(sample: DataFrame, labelled: DataFrame) -> dict:
     """Model: centre, spread and weights of features from a bounded ``sample`` (text, label), and the threshold from all
     ``labelled`` rows (text, label), which may be many."""
+    model = learn_weights(sample)
+    if not model["weights"].any():
+        return model
+    found = labelled.select(strength(F.col("text"), model).alias("strength"), "label")
+    return model | {"threshold": threshold(cut(found, "strengths"))}
+
+
+def learn_weights(sample: DataFrame) -> dict:
+    """The model without its threshold, which is 0 then; with one label only, or none, it is whole."""
 
     @F.pandas_udf("array<double>")
     def featured(text: pd.Series) -> pd.Series:
@@ -92,13 +101,11 @@ def learn(sample: DataFrame, labelled: DataFrame) -> dict:
     weights = fit_logistic(differences, np.ones(n), l2=1.0)
     strengths = x @ weights
     scale = float(np.abs(strengths[y == 1].mean() - strengths[y == 0].mean())) / 6 + 1e-6
-    model = {"centre": centre, "spread": spread, "weights": weights, "threshold": 0.0, "scale": scale}
-    return model | {"threshold": threshold(labelled, model)}
+    return {"centre": centre, "spread": spread, "weights": weights, "threshold": 0.0, "scale": scale}
 
 
-def threshold(labelled: DataFrame, model: dict) -> float:
-    """The middle between the strength at the share of label 0 among all ``labelled`` rows and the next greater one."""
-    found = cut(labelled.select(strength(F.col("text"), model).alias("strength"), "label"), "strengths")
+def threshold(found: DataFrame) -> float:
+    """The middle between the strength at the share of label 0 among all ``found`` (strength, label) and the next greater one."""
     share = found.agg(F.avg(1 - F.col("label"))).first()[0]
     at = found.agg(F.percentile_approx("strength", share, ACCURACY)).first()[0]
     after = found.filter(F.col("strength") > at).agg(F.min("strength")).first()[0]
@@ -114,15 +121,28 @@ def strength(text: Column, model: dict) -> Column:
     return measured(text)
 
 
-def score(text: Column, model: dict) -> Column:
-    away = (strength(text, model) - F.lit(float(model["threshold"]))) / F.lit(float(model["scale"]))
+def score_of(strength: Column, model: dict) -> Column:
+    away = (strength - F.lit(float(model["threshold"]))) / F.lit(float(model["scale"]))
     return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), away))))
 
 
+def score(text: Column, model: dict) -> Column:
+    return score_of(strength(text, model), model)
+
+
+def scored(docs: DataFrame, marks: DataFrame, sample: DataFrame) -> DataFrame:
+    """(doc_id, score) of all ``docs``: each text is measured once, and only its strength is joined and written."""
+    model = learn_weights(sample)
+    found = cut(docs.select("doc_id", strength(F.col("text"), model).alias("strength")), "strengths")
+    if model["weights"].any():
+        labelled = found.join(known_labels(marks, "quality"), "doc_id")
+        model = model | {"threshold": threshold(labelled.select("strength", "label"))}
+    return found.select("doc_id", score_of(F.col("strength"), model).alias("score"))
+
+
 def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     marks = labels(spark, sf_dir)
-    labelled = docs.select("doc_id", "text").join(known_labels(marks, "quality"), "doc_id")
-    model = learn(labelled_sample(docs, marks, "quality", SAMPLE_ROWS), labelled)
-    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("text"), model).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = scored(docs, marks, labelled_sample(docs, marks, "quality", SAMPLE_ROWS))
+    rows = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score")
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -155,6 +155,29 @@ def test_quality_of_odd_rows(spark, judged):
     assert op04_quality.learn(labelled_sample(empty, marks, "quality", 50), labelled)["threshold"] == 0
 
 
+def test_the_threshold_meets_no_texts(spark, judged, monkeypatch):
+    """Labels meet strengths, so texts are not moved; scores are those of a threshold over joined texts."""
+    docs, marks = judged
+    docs = docs.unionByName(docs.filter("doc_id < 9"))  # repeated ids count as often as they occur
+    sample, plans, real = labelled_sample(docs, marks, "quality", 5_000), [], op04_quality.threshold
+
+    def seen(found):
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return real(found)
+
+    monkeypatch.setattr(op04_quality, "threshold", seen)
+    got = op04_quality.scored(docs, marks, sample).collect()
+    assert len(plans) == 1 and "strength" in plans[0] and "text" not in plans[0]
+    labelled = docs.select("doc_id", "text").join(known_labels(marks, "quality"), "doc_id")
+    model = op04_quality.learn(sample, labelled)
+    plain = docs.select("doc_id", op04_quality.score(F.col("text"), model).alias("score")).collect()
+    key = lambda r: (str(r.doc_id), r.score)
+    assert sorted(got, key=key) == sorted(plain, key=key)
+    for some in (marks.filter("quality = 0"), marks.limit(0)):
+        got = op04_quality.scored(docs, some, labelled_sample(docs, some, "quality", 5_000)).collect()
+        assert len(got) == docs.count() and len({r.score for r in got}) == 1
+
+
 # --- toxicity ----------------------------------------------------------------------------------
 
 
