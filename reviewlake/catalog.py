@@ -78,7 +78,7 @@ from reviewlake.plans.tables import (
     pr_table_rows,
 )
 from reviewlake.schemas import ADDED_LATER, RECORDS, SCHEMAS, evolve
-from reviewlake.session import shared_dir
+from reviewlake.session import kept, shared_dir
 from reviewlake.sources import store
 from reviewlake.sources.csvs import (
     EXPORT_COLUMNS,
@@ -372,7 +372,7 @@ def _(spark, d):
 
 @query("k4_pr_report_rebuild")
 def _(spark, d):
-    report = fixtures.pr_report(spark, d)
+    report = kept(fixtures.pr_report(spark, d), "pr-report-rows")  # both rebuilds write these rows: joined once
     path, repos = shared_dir(spark, "pr-report"), _repos(fixtures.raw(spark, d, "pull_requests"))
     write_pr_report(spark, report, path, repos)
     write_pr_report(spark, report, path, repos)
