@@ -29,6 +29,9 @@ SOURCES = {
     "documents": "doc_id long, text string, source string",
 }
 
+#: Spark's setting for aggregates that collect lists.
+HASHED_LISTS = "spark.sql.execution.useObjectHashAggregateExec"
+
 VIEWS: dict[str, str] = {}
 
 VIEWS["fx_pull_requests"] = """
@@ -264,7 +267,7 @@ def record(spark: SparkSession, sf_dir: str, kind: str, paged: bool = False) ->
     df = view(spark, sf_dir, RECORD_VIEWS[kind])
     if paged:
         df, key = _page_key(df, kind)
-        df = df.repartitionByRange("repo", key)
+        df = df.repartitionByRange("repo", key).sortWithinPartitions("repo", key)
     if kind == "pull_request":
         person = _s(
             display_name=F.col("author"), approved=F.col("state") == "MERGED", role=F.lit("AUTHOR")
@@ -405,7 +408,13 @@ def land_pages(
     document = F.concat(start, F.lit(',"values":['), F.col("records"), F.lit("]}"))
     path = path or shared_dir(spark, "pages")
     files = pages.select(document.alias("value"), "repo").write.mode("append").partitionBy("repo")
-    files.options(**{"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}).text(path)
+    # rows come in the order of their pages: one page is held at a time, where a hash of pages keeps and sorts all texts
+    by_hash = spark.conf.get(HASHED_LISTS)
+    spark.conf.set(HASHED_LISTS, "false")
+    try:
+        files.options(**{"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}).text(path)
+    finally:
+        spark.conf.set(HASHED_LISTS, by_hash)
     return path
 
 

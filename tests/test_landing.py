@@ -125,6 +125,7 @@ def test_child_pages_are_moved_once_and_land_compressed(spark, tmp_path, kind):
     lines = [(n % 700, n) for n in range(4_000)] + [(7, 5)] * 900 + [(None, 3), (None, 3), (8, None)]
     _lines(spark, tmp_path, lines)
     path = fixtures.land_pages(spark, str(tmp_path), kind)
+    assert spark.conf.get(fixtures.HASHED_LISTS) == "true"  # as before
     pages = spark.read.schema("value string, repo string").text(path)
     values = F.from_json("value", "values array<string>, pull_request_id long")
     got = pages.select("repo", values.alias("p")).select("repo", "p.pull_request_id", F.col("p.values").alias("texts")).collect()
